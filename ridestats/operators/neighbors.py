@@ -90,7 +90,7 @@ def _search(visits: DataFrame, placed: DataFrame, k: int, block: int) -> DataFra
         visits.join(F.broadcast(plan), "cell")
         .withColumn("vb", F.pmod(F.xxhash64("pid"), F.col("v_blocks")).cast("int"))
         .withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("p_blocks") - 1)))
-        .select("cell", "vb", "pb", "pid", "x", "bound")
+        .select(*[F.col(c).alias(c) for c in ("cell", "vb", "pb", "pid", "x", "bound")])
     )
     right = (
         placed.join(F.broadcast(plan), "cell")

@@ -12,6 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.pricing import INCLUDED_MINUTES, excess_revenue
+from ..sources.scratch import stage
 
 Star = Mapping[str, DataFrame]
 
@@ -81,10 +82,16 @@ def _critical_shortages(star: Star) -> DataFrame:
 
 
 def training_set(star: Star, year: int | None = YEAR, member: str | None = CASUAL) -> DataFrame:
-    """Priced trips outside critical shortages of their start station."""
-    shortage = _critical_shortages(star).select(
+    """Priced trips outside critical shortages of their start station.
+
+    The shortage moments of the year are written first, so that their size is
+    known: few of them are broadcast and the trips stay where they are; many
+    make a sort-merge anti join.
+    """
+    moments = _timed(_critical_shortages(star), "time_id", star, year).select(
         F.col("station_id").alias("start_station_id"), F.col("time_id").alias("start_time_id")
-    ).distinct()
+    )
+    shortage = stage(moments.distinct(), "shortages")
     calm = star["trips"].join(shortage, ["start_station_id", "start_time_id"], "left_anti")
     return _priced(star, calm, year, member).select(
         F.col("start_station_id").alias("station_id"), F.col("start_time_id").alias("time_id"),

@@ -20,10 +20,10 @@ SEED = 42
 BASE = ["station_id", "month", "bike_type"]
 
 
-def _axis(span: tuple[int, int, int], held: int, vary: bool) -> Column:
+def _axis(span: tuple[int, int, int], held: int, vary: bool, dtype: str = "int") -> Column:
     low, high, step = span
     values = F.sequence(F.lit(low), F.lit(high), F.lit(step)) if vary else F.array(F.lit(held))
-    return F.explode(values)
+    return F.explode(values.cast(f"array<{dtype}>"))
 
 
 def grid(
@@ -40,8 +40,8 @@ def grid(
     return (
         bases.select(*BASE)
         .withColumn("hour", _axis(HOURS, HELD_HOUR, vary_hour))
-        .withColumn("temperature", _axis(TEMPERATURES, HELD_TEMPERATURE, vary_temperature).cast("double"))
-        .withColumn("duration", _axis(DURATIONS, HELD_DURATION, vary_duration).cast("double"))
+        .withColumn("temperature", _axis(TEMPERATURES, HELD_TEMPERATURE, vary_temperature, "double"))
+        .withColumn("duration", _axis(DURATIONS, HELD_DURATION, vary_duration, "double"))
         .withColumn("is_weekend", F.lit(False))
         .withColumn("humidity", F.lit(GRID_HUMIDITY))
     )

@@ -1,8 +1,9 @@
+from .order_star import order_star
 from .scratch import scratch_dir, stage
 from .sink import write_result
 from .star import STAR, load_star, require_columns, validate_dims
 
 __all__ = [
-    "STAR", "load_star", "require_columns", "scratch_dir", "stage",
+    "STAR", "load_star", "order_star", "require_columns", "scratch_dir", "stage",
     "validate_dims", "write_result",
 ]

@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .scratch import stage
+
 # Column names and types of the star schema.
 STAR: dict[str, dict[str, str]] = {
     "trips": {
@@ -91,6 +93,10 @@ def load_star(
                  (``options`` carries url, driver and the partitioning of the
                  read) or any file format (``source`` is the folder).
     ``names``    physical name per logical name, where they differ.
+
+    Dimensions that come over JDBC are copied to the scratch folder once: Catalyst
+    cannot know the size of a remote table, and joining on a member type or a
+    tariff must not shuffle the trips to a handful of keys.
     """
     names, options = dict(names or {}), dict(options or {})
 
@@ -102,7 +108,10 @@ def load_star(
             return spark.read.format("jdbc").options(**options, dbtable=physical).load()
         return spark.read.format(fmt).options(**options).load(f"{source}/{physical}")
 
-    return {table: conform(read(table), table) for table in STAR}
+    star = {table: conform(read(table), table) for table in STAR}
+    if fmt == "jdbc":
+        star.update({table: stage(star[table], table) for table in DIM_KEYS})
+    return star
 
 
 def validate_dims(star: Mapping[str, DataFrame]) -> DataFrame:
