@@ -161,11 +161,11 @@ def _forest_tables() -> dict[str, str]:
         tables[f"pick{d}"] = f"""select *, list_filter(range({len(Z)}), lambda i: lo[i+1] < hi[i+1]) as varied,
                 {_draw("concat_ws('|', 42, tree, node, 'f')")} as uf,
                 {_draw("concat_ws('|', 42, tree, node, 't')")} as ut from group{d}"""
-        tables[f"split{d}"] = f"""select tree, node, n,
-                case when {d} >= (select deepest from size) or n <= 1 or len(varied) = 0 then -1
-                     else varied[1 + cast(floor(uf * len(varied)) as integer)] end as feature,
+        tables[f"split{d}"] = f"""select tree, node, n, feature,
                 case when feature < 0 then 0 else lo[feature+1] + ut * (hi[feature+1] - lo[feature+1]) end as threshold
-            from pick{d}"""
+            from (select p.*, case when {d} >= deepest or p.n <= 1 or len(varied) = 0 then -1
+                     else varied[1 + cast(floor(uf * len(varied)) as integer)] end as feature
+                  from pick{d} p, size)"""
         if d < LEVELS:
             tables[f"level{d + 1}"] = f"""select l.tree, 2*l.node
                     + cast([{ZS}][s.feature+1] > s.threshold as integer) as node, {ZS}
