@@ -22,7 +22,7 @@ from ridestats.operators.sampling import seeded_sample, stratified_split  # noqa
 from ridestats.plans import (  # noqa: E402
     anomalies, artifacts, explore, marts, reports, revenue, scenarios,
 )
-from ridestats.sources import order_star, scratch_dir, validate_dims  # noqa: E402
+from ridestats.sources import order_star, scratch_dir, stage, validate_dims  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,35 +48,46 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
-def _mart(spark: SparkSession, folder: str) -> DataFrame:
-    return marts.trip_mart(order_star(spark, folder))
+# What several queries look at is prepared once per session and folder: the star,
+# the saved mart of the reports, staged analysis tables, fitted models. The queries
+# ``trip_mart``, ``training_set``, ``station_hour_profile`` and ``shortage_events``
+# always compute their table.
+_prepared: dict[tuple[str, str, str], object] = {}
 
 
-def _training(spark: SparkSession, folder: str) -> DataFrame:
-    return marts.training_set(order_star(spark, folder))
+def _once(kind: str, spark: SparkSession, folder: str, build: Callable[[], object]):
+    key = (kind, spark.sparkContext.applicationId, folder)
+    if key not in _prepared:
+        _prepared[key] = build()
+    return _prepared[key]
 
 
-def _profile(spark: SparkSession, folder: str, member: str = marts.CASUAL) -> DataFrame:
-    return marts.station_hour_profile(order_star(spark, folder), member=member)
+def _star(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return _once("star", spark, folder, lambda: order_star(spark, folder))
 
 
-def _events(spark: SparkSession, folder: str) -> DataFrame:
-    return marts.shortage_events(order_star(spark, folder))
+def _mart(spark: SparkSession, folder: str) -> DataFrame:
+    place = f"{scratch_dir(spark)}/ridestats/mart-{spark.sparkContext.applicationId}-{os.path.basename(folder)}"
+    return _once("mart", spark, folder, lambda: marts.saved_mart(_star(spark, folder), place, refresh=True))
 
 
-# Fitted models, once per session and folder; several queries look at each.
-_fitted: dict[tuple[str, str, str], object] = {}
+def _rides(spark: SparkSession, folder: str) -> DataFrame:
+    return _once("rides", spark, folder, lambda: stage(marts.training_set(_star(spark, folder)), "rides"))
 
 
-def _once(kind: str, spark: SparkSession, folder: str, build: Callable[[], object]):
-    key = (kind, spark.sparkContext.applicationId, folder)
-    if key not in _fitted:
-        _fitted[key] = build()
-    return _fitted[key]
+def _profile(spark: SparkSession, folder: str, member: str = marts.CASUAL) -> DataFrame:
+    return _once(
+        f"profile-{member}", spark, folder,
+        lambda: stage(marts.station_hour_profile(_star(spark, folder), member=member), "profile"),
+    )
+
+
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    return _once("events", spark, folder, lambda: stage(marts.shortage_events(_star(spark, folder)), "events"))
 
 
 def _revenue_models(spark: SparkSession, folder: str) -> revenue.RevenueModels:
-    return _once("revenue", spark, folder, lambda: revenue.train(_training(spark, folder)))
+    return _once("revenue", spark, folder, lambda: revenue.train(_rides(spark, folder)))
 
 
 def _anomaly_model(spark: SparkSession, folder: str) -> anomalies.AnomalyModel:
@@ -91,31 +102,32 @@ def _flagged(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dimension_check(spark, folder):
-    return validate_dims(order_star(spark, folder))
+    return validate_dims(_star(spark, folder))
 
 
 def trip_mart(spark, folder):
-    return _rounded(_mart(spark, folder))
+    return _rounded(marts.trip_mart(_star(spark, folder)))
 
 
 def excess_revenue(spark, folder):
-    return _rounded(marts.trip_revenue(order_star(spark, folder)))
+    return _rounded(marts.trip_revenue(_star(spark, folder)))
 
 
 def training_set(spark, folder):
-    return _rounded(_training(spark, folder))
+    return _rounded(marts.training_set(_star(spark, folder)))
 
 
 def station_hour_profile(spark, folder):
-    return _rounded(_profile(spark, folder).orderBy("station_id", "hour"))
+    profile = marts.station_hour_profile(_star(spark, folder))
+    return _rounded(profile.orderBy("station_id", "hour"))
 
 
 def station_stats(spark, folder):
-    return _rounded(marts.station_stats(order_star(spark, folder)))
+    return _rounded(marts.station_stats(_star(spark, folder)))
 
 
 def shortage_events(spark, folder):
-    return _rounded(_events(spark, folder))
+    return _rounded(marts.shortage_events(_star(spark, folder)))
 
 
 # Reports ---------------------------------------------------------------------
@@ -196,24 +208,24 @@ def column_profile(spark, folder):
 
 
 def seeded_sample_rows(spark, folder):
-    return _rounded(seeded_sample(_training(spark, folder), SAMPLE_ROWS, revenue.trip_key()))
+    return _rounded(seeded_sample(_rides(spark, folder), SAMPLE_ROWS, revenue.trip_key()))
 
 
 def train_test_split(spark, folder):
-    split = stratified_split(_training(spark, folder), F.col(revenue.TARGET) > 0, revenue.trip_key())
+    split = stratified_split(_rides(spark, folder), F.col(revenue.TARGET) > 0, revenue.trip_key())
     return _rounded(
         split.select("station_id", "time_id", "bike_type_id", "duracion_minutos", revenue.TARGET, "is_test")
     )
 
 
 def station_codes(spark, folder):
-    return revenue.station_codes(_training(spark, folder))
+    return revenue.station_codes(_rides(spark, folder))
 
 
 def feature_matrix(spark, folder):
-    training = _training(spark, folder)
-    codes = revenue.station_codes(training)
-    return _rounded(revenue.features(training, codes, keep=("station_id", "time_id", revenue.TARGET)))
+    rides = _rides(spark, folder)
+    codes = revenue.station_codes(rides)
+    return _rounded(revenue.features(rides, codes, keep=("station_id", "time_id", revenue.TARGET)))
 
 
 def theoretical(spark, folder):
@@ -246,7 +258,7 @@ def feature_importance(spark, folder):
 
 
 def score_requests(spark, folder):
-    requests = revenue.requests_from(_training(spark, folder))
+    requests = revenue.requests_from(_rides(spark, folder))
     return _rounded(revenue.score(requests, _revenue_models(spark, folder)))
 
 
@@ -257,7 +269,7 @@ def model_roundtrip(spark, folder):
     artifacts.save_anomalies(_anomaly_model(spark, folder), f"{where}/anomalies")
     loaded = artifacts.load_revenue(spark, f"{where}/revenue")
     judged = artifacts.load_anomalies(spark, f"{where}/anomalies")
-    rides = revenue.score(revenue.requests_from(_training(spark, folder)), loaded)
+    rides = revenue.score(revenue.requests_from(_rides(spark, folder)), loaded)
     hours = anomalies.score(_profile(spark, folder), judged)
     scores = rides.select(F.lit("revenue").alias("kind"), "station_id", "hour", F.col("prediction").alias("score"))
     return _rounded(

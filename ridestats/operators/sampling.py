@@ -51,10 +51,14 @@ def take_by_hash(
     at_edge = F.coalesce(at_edge, F.lit(False))
     clear = hashed.where(~at_edge).withColumn(flag, F.coalesce(below, F.lit(False)))
     copies = hashed.where(at_edge).groupBy(*hashed.columns).agg(F.count(F.lit(1)).alias("_n"))
-    inside = repeat_rows(copies, F.least(F.col("_n"), share), "_copy").withColumn(flag, F.lit(True))
-    outside = repeat_rows(copies, F.col("_n") - share, "_copy").withColumn(flag, F.lit(False))
-    whole = clear.unionByName(inside.drop("_n", "_copy")).unionByName(outside.drop("_n", "_copy"))
-    return whole.drop(_HASH, _STRATUM)
+    # ``share`` is below the number of copies: the quota runs out among them.
+    sides = F.array(
+        F.struct(F.lit(True).alias("in"), share.cast("bigint").alias("n")),
+        F.struct(F.lit(False).alias("in"), (F.col("_n") - share).alias("n")),
+    )
+    parted = copies.withColumn("_side", F.explode(sides)).withColumn(flag, F.col("_side.in"))
+    handed = repeat_rows(parted, F.col("_side.n"), "_copy").drop("_n", "_side", "_copy")
+    return clear.unionByName(handed).drop(_HASH, _STRATUM)
 
 
 def _edges(

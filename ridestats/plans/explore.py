@@ -162,7 +162,7 @@ def column_profile(mart: DataFrame) -> DataFrame:
     gathered, in one further pass.
     """
     spark, types = mart.sparkSession, dict(mart.dtypes)
-    rough = mart.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in mart.columns]).first()
+    rough = mart.agg(*[F.approx_count_distinct(c).alias(c) for c in mart.columns]).first()
     few = [c for c in mart.columns if rough[c] <= _CANDIDATE]
     sets: dict[str, tuple[int, list[str]]] = {}
     if few:

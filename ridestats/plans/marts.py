@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.pricing import INCLUDED_MINUTES, excess_revenue
@@ -66,6 +67,18 @@ def trip_mart(star: Star, year: int | None = YEAR) -> DataFrame:
     return _priced(star, star["trips"], year, None).select(*MART_COLUMNS)
 
 
+def saved_mart(star: Star, path: str, refresh: bool = False, year: int | None = YEAR) -> DataFrame:
+    """The trip mart kept as a table: computed on first use or ``refresh``, then read."""
+    spark = star["trips"].sparkSession
+    if not refresh:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException:
+            pass  # not written yet
+    trip_mart(star, year).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def trip_revenue(star: Star) -> DataFrame:
     """Every trip with its tariff and the revenue from excess minutes."""
     priced = star["trips"].join(star["dim_tarifa"], ["member_type_id", "bike_type_id"])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (
     GBTRegressionModel, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor,
@@ -46,8 +48,11 @@ def trip_key() -> list[Column]:
 
 
 def station_codes(training: DataFrame) -> DataFrame:
-    """``(station_id, station_id_encoded)``: 0-based rank of the sorted ids."""
-    return sorted_codes(training, "station_id", "station_id_encoded")
+    """``(station_id, station_id_encoded)``: 0-based rank of the sorted ids.
+
+    Written as a table: joins to it broadcast it by its known size.
+    """
+    return stage(sorted_codes(training, "station_id", "station_id_encoded"), "station-codes")
 
 
 def features(rides: DataFrame, codes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -66,7 +71,7 @@ def train(training: DataFrame, max_rows: int | None = None, seed: int = SEED) ->
     """
     require_columns(training, [TARGET, "station_id", "time_id"], "training set")
     rides = stage(training if max_rows is None else seeded_sample(training, max_rows, trip_key(), seed), "rides")
-    codes = stage(station_codes(rides), "station-codes")
+    codes = station_codes(rides)
     split = stratified_split(rides, F.col(TARGET) > 0, trip_key(), seed=seed)
     ready = stage(
         _assembled(features(split, codes, keep=(TARGET, "is_test"))).select("features", TARGET, "is_test"),
@@ -74,14 +79,19 @@ def train(training: DataFrame, max_rows: int | None = None, seed: int = SEED) ->
     )
     fit, held_out = ready.where(~F.col("is_test")), ready.where("is_test")
 
-    forest = RandomForestRegressor(
-        labelCol=TARGET, numTrees=50, maxDepth=10, minInstancesPerNode=10,
-        featureSubsetStrategy="sqrt", maxBins=64, seed=seed, predictionCol="forest_prediction",
-    ).fit(fit)
-    boosting = GBTRegressor(
-        labelCol=TARGET, maxIter=50, maxDepth=5, stepSize=0.15, subsamplingRate=0.8,
-        featureSubsetStrategy="sqrt", maxBins=64, seed=seed, predictionCol="boosting_prediction",
-    ).fit(fit)
+    ensembles = [
+        RandomForestRegressor(
+            labelCol=TARGET, numTrees=50, maxDepth=10, minInstancesPerNode=10,
+            featureSubsetStrategy="sqrt", maxBins=64, seed=seed, predictionCol="forest_prediction",
+        ),
+        GBTRegressor(
+            labelCol=TARGET, maxIter=50, maxDepth=5, stepSize=0.15, subsamplingRate=0.8,
+            featureSubsetStrategy="sqrt", maxBins=64, seed=seed, predictionCol="boosting_prediction",
+        ),
+    ]
+    # Two independent fits: their jobs share the cluster.
+    with ThreadPoolExecutor(2) as pool:
+        forest, boosting = pool.map(inheritable_thread_target(fit.sparkSession)(lambda e: e.fit(fit)), ensembles)
 
     scored = boosting.transform(forest.transform(held_out))
     both = scored.select(
