@@ -34,5 +34,5 @@ def equal_width_bin(value: Column, low: Column, high: Column, bins: int = 10) ->
 def histogram_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
     """0-based left-closed equal-width bin; the maximum is in the last bin."""
     width = (high - low) / F.lit(float(bins))
-    position = F.floor(F.try_divide(value - low, width)).cast("int")
-    return F.coalesce(F.least(position, F.lit(bins - 1)), F.lit(0))
+    position = F.coalesce(F.floor(F.try_divide(value - low, width)), F.lit(0))
+    return F.least(position, F.lit(bins - 1)).cast("int")

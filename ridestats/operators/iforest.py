@@ -67,14 +67,13 @@ def fit_forest(
     share = min(1.0, (sample + 10.0 * math.sqrt(sample) + 30.0) / max(n, 1))
     draws = F.transform(
         F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.struct(t.alias("tree"), uniform(F.col(key), t.cast("string"), seed).alias("u")),
+        lambda t: F.struct(t.alias("tree"), uniform(F.col("key"), t.cast("string"), seed).alias("u")),
     )
     tagged = (
         rows.select(
-            F.col(key).alias("key"),
-            F.array(*[F.col(f).cast("double") for f in features]).alias("x"),
-            F.explode(F.filter(draws, lambda d: d["u"] <= F.lit(share))).alias("d"),
+            F.col(key).alias("key"), F.array(*[F.col(f).cast("double") for f in features]).alias("x")
         )
+        .select("key", "x", F.explode(F.filter(draws, lambda d: d["u"] <= F.lit(share))).alias("d"))
         .select("key", "x", "d.tree", "d.u")
     )
     nodes = tagged.groupBy("tree").applyInPandas(_grower(sample, seed), NODE_SCHEMA)
