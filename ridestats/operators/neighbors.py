@@ -21,6 +21,7 @@ from ..sources.scratch import stage
 CELL_POINTS = 512     # aimed-at points per cell
 MAX_PIVOTS = 2_048    # pivots travel to every task
 BLOCK = 2_048         # rows per side of one comparison
+_SLICE = 256          # rows compared with all pivots in one step
 
 
 def nearest_neighbors(
@@ -116,13 +117,19 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pieces small enough to be compared with all pivots at once."""
+    for batch in batches:
+        for start in range(0, len(batch), _SLICE):
+            yield batch.iloc[start : start + _SLICE]
+
+
 def _placer(pivots: np.ndarray):
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                away = _distances(_matrix(batch["x"]), pivots)
-                cell = away.argmin(axis=1)
-                yield batch.assign(cell=cell.astype("int32"), away=away[np.arange(len(batch)), cell])
+        for batch in _slices(batches):
+            away = _distances(_matrix(batch["x"]), pivots)
+            cell = away.argmin(axis=1)
+            yield batch.assign(cell=cell.astype("int32"), away=away[np.arange(len(batch)), cell])
 
     return place
 
@@ -162,9 +169,7 @@ def _visitor(pivots: np.ndarray, radii: dict[int, tuple[float, float]]):
     centre = pivots[cells]
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
+        for batch in _slices(batches):
             x, home = _matrix(batch["x"]), batch["cell"].to_numpy()
             to_cell = _distances(x, centre)
             apart = _distances(pivots[home], centre)

@@ -77,7 +77,7 @@ def train(training: DataFrame, max_rows: int | None = None, seed: int = SEED) ->
         _assembled(features(split, codes, keep=(TARGET, "is_test"))).select("features", TARGET, "is_test"),
         "assembled",
     )
-    fit, held_out = ready.where(~F.col("is_test")), ready.where("is_test")
+    fit, held_out = _spread(ready.where(~F.col("is_test"))), ready.where("is_test")
 
     ensembles = [
         RandomForestRegressor(
@@ -106,6 +106,12 @@ def train(training: DataFrame, max_rows: int | None = None, seed: int = SEED) ->
     return RevenueModels(forest, boosting, codes, metrics, choose(metrics))
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Few, full files would keep most cores idle over the many passes of a fit."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def choose(metrics: DataFrame) -> str:
     """The forest only when its R2 is strictly greater."""
     r2 = {r["model"]: r["r2"] for r in metrics.collect()}
