@@ -119,7 +119,7 @@ def training_set(spark, folder):
 
 def station_hour_profile(spark, folder):
     profile = marts.station_hour_profile(_star(spark, folder))
-    return _rounded(profile.orderBy("station_id", "hour"))
+    return _rounded(profile.orderBy("station_id", "hour"), 8)
 
 
 def station_stats(spark, folder):
@@ -286,7 +286,7 @@ def model_roundtrip(spark, folder):
 
 
 def anomaly_features(spark, folder):
-    return _rounded(anomalies.clean_features(_profile(spark, folder)))
+    return _rounded(anomalies.clean_features(_profile(spark, folder)), 8)
 
 
 def anomaly_scaled(spark, folder):
@@ -295,15 +295,15 @@ def anomaly_scaled(spark, folder):
 
 
 def iforest_scores(spark, folder):
-    return _rounded(_flagged(spark, folder).select("row_key", "score_iso", "anomalia_iso"))
+    return _rounded(_flagged(spark, folder).select("row_key", "score_iso", "anomalia_iso"), _SCORE_DIGITS)
 
 
 def lof_scores(spark, folder):
-    return _rounded(_flagged(spark, folder).select("row_key", "lof", "anomalia_lof"))
+    return _rounded(_flagged(spark, folder).select("row_key", "lof", "anomalia_lof"), 9)
 
 
 def anomaly_consensus(spark, folder):
-    return _rounded(anomalies.consensus(_flagged(spark, folder)).select(*_JUDGED))
+    return _judged(anomalies.consensus(_flagged(spark, folder)))
 
 
 def anomaly_stats(spark, folder):
@@ -311,7 +311,7 @@ def anomaly_stats(spark, folder):
 
 
 def anomaly_top(spark, folder):
-    return _rounded(anomalies.top(_flagged(spark, folder)).select(*_JUDGED))
+    return _judged(anomalies.top(_flagged(spark, folder)))
 
 
 def anomalies_by_hour(spark, folder):
@@ -324,7 +324,7 @@ def anomaly_scatter(spark, folder):
 
 def score_station_hours(spark, folder):
     scored = anomalies.score(_profile(spark, folder, "member"), _anomaly_model(spark, folder))
-    return _rounded(scored.select("station_id", "hour", "is_weekend", "month", "anomaly_score", "is_anomaly"))
+    return _rounded(scored.select("station_id", "hour", "is_weekend", "month", "anomaly_score", "is_anomaly"), _SCORE_DIGITS)
 
 
 def kpis_with_anomalies(spark, folder):
@@ -334,10 +334,16 @@ def kpis_with_anomalies(spark, folder):
     )
 
 
-_JUDGED = [
-    "station_id", "hour", "is_weekend", "month", "viajes_count", "ingreso_promedio",
-    "score_iso", "anomalia_iso", "anomalia_lof",
-]
+# Forest scores have 9 digits and their cut a few more: 12 leave nothing to round.
+_SCORE_DIGITS = 12
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "station_id", "hour", "is_weekend", "month", "viajes_count",
+        F.round("ingreso_promedio", 8).alias("ingreso_promedio"),
+        F.round("score_iso", _SCORE_DIGITS).alias("score_iso"), "anomalia_iso", "anomalia_lof",
+    )
 
 
 # Scenarios -------------------------------------------------------------------

@@ -213,7 +213,7 @@ def _outlier_tables() -> dict[str, str]:
             {' and '.join(f's.{z} = p.{z}' for z in Z)} join factor f using (pid)""",
         "cuts": """select (select quantile_cont(score, 0.1) from fit_score) as iso_cut,
             (select quantile_cont(-lof, 0.1) from lof_rows) as lof_cut""",
-        "flagged": """select s.*, lof, round(score - iso_cut, 9) as score_iso,
+        "flagged": """select s.*, lof, score - iso_cut as score_iso,
                 case when score < iso_cut then -1 else 1 end as anomalia_iso,
                 case when -lof < lof_cut then -1 else 1 end as anomalia_lof
             from scaled s join fit_score using (row_key) join lof_rows using (row_key), cuts""",
@@ -339,7 +339,7 @@ def _split() -> str:
 
 
 _JUDGED = (
-    f"station_id, hour, is_weekend, month, viajes_count, {_r('ingreso_promedio')}, {_r('score_iso')}, "
+    f"station_id, hour, is_weekend, month, viajes_count, {_r('ingreso_promedio', digits=8)}, {_r('score_iso', digits=12)}, "
     "anomalia_iso, anomalia_lof"
 )
 _EVENT = (
@@ -348,7 +348,7 @@ _EVENT = (
     f"{_r('prop_bike_type_1')}, minutos_incluidos, {_r('viajes_perdidos_estimados')}"
 )
 _PROFILE = ", ".join(
-    _r(c) for c in ["ingreso_promedio", "ingreso_total", "duracion_promedio", "temperatura_promedio",
+    _r(c, digits=8) for c in ["ingreso_promedio", "ingreso_total", "duracion_promedio", "temperatura_promedio",
                     "variabilidad_ingresos", "ingreso_maximo"]
 )
 _KPIS = """count(*) as total_viajes, round(coalesce(sum(ingreso_min_excedente), 0), {d}) as ingresos_totales,
@@ -447,11 +447,11 @@ def statements() -> dict[str, str]:
                   from values_of, (select min(v) as lo, max(v) as hi, avg(v) as mean from values_of))
             group by bin, lo, hi""",
         "anomaly_features": "select station_id, "
-        + ", ".join(_r(c) for c in ["ingreso_total", "ingreso_maximo", *FEATURES]) + " from clean",
+        + ", ".join(_r(c, digits=8) for c in ["ingreso_total", "ingreso_maximo", *FEATURES]) + " from clean",
         "anomaly_scaled": "select station_id, hour, is_weekend, month, "
         + ", ".join(_r(f"z_{f}", f"z{i}") for i, f in enumerate(FEATURES)) + " from scaled",
-        "iforest_scores": f"select row_key, {_r('score_iso')}, anomalia_iso from flagged",
-        "lof_scores": f"select row_key, {_r('lof')}, anomalia_lof from flagged",
+        "iforest_scores": f"select row_key, {_r('score_iso', digits=12)}, anomalia_iso from flagged",
+        "lof_scores": f"select row_key, {_r('lof', digits=9)}, anomalia_lof from flagged",
         "anomaly_consensus": f"select {_JUDGED} from consensus",
         "anomaly_stats": f"""select *, {_r('anomaly_rate', '100.0::double * num_anomalies / total_records')}
             from anomaly_counts""",
@@ -464,7 +464,7 @@ def statements() -> dict[str, str]:
              order by md5(row_key || '|42') limit 500)
             union all (select *, 'anomaly' from consensus))""",
         "score_station_hours": f"""select station_id, hour, is_weekend, month,
-            {_r('anomaly_score', 'score - iso_cut')}, score < iso_cut as is_anomaly
+            {_r('anomaly_score', 'score - iso_cut', 12)}, score < iso_cut as is_anomaly
             from new_scaled join new_score using (row_key),
                  (select quantile_cont(score, 0.1) as iso_cut from fit_score)""",
         "kpis_with_anomalies": f"""select {_KPIS.format(d=4)},

@@ -130,7 +130,7 @@ def row_key_of_clean():
 
 
 def _decision(score: str, cut: float | None):
-    return F.round(F.col(score) - F.lit(cut).cast("double"), 9)
+    return F.col(score) - F.lit(cut).cast("double")
 
 
 def score(station_hours: DataFrame, model: AnomalyModel) -> DataFrame:
