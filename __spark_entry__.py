@@ -22,7 +22,7 @@ from ridestats.operators.sampling import seeded_sample, stratified_split  # noqa
 from ridestats.plans import (  # noqa: E402
     anomalies, artifacts, explore, marts, reports, revenue, scenarios,
 )
-from ridestats.sources import order_star, scratch_dir, stage, validate_dims  # noqa: E402
+from ridestats.sources import order_star, register_star, scratch_dir, stage, validate_dims  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,6 +105,22 @@ def dimension_check(spark, folder):
     return validate_dims(_star(spark, folder))
 
 
+def sql_over_star(spark, folder):
+    """Free SQL over the star, as a user would type it."""
+    register_star(_star(spark, folder), {"trips": "ride_trips", "dim_time": "ride_time", "weather": "ride_weather"})
+    return _rounded(
+        spark.sql(
+            """
+            select t.day_name, t.is_weekend, count(*) as trips, avg(w.temperature_2m) as avg_temperature,
+                   sum(case when r.duracion_minutos > 60 then 1 else 0 end) as long_trips
+            from ride_trips r join ride_time t on r.start_time_id = t.time_id
+                 join ride_weather w on r.start_time_id = w.time_id
+            group by t.day_name, t.is_weekend
+            """
+        )
+    )
+
+
 def trip_mart(spark, folder):
     return _rounded(marts.trip_mart(_star(spark, folder)))
 
@@ -405,6 +421,7 @@ def loss_by_station(spark, folder):
 def queries() -> dict[str, Query]:
     return {
         "dimension_check": dimension_check,
+        "sql_over_star": sql_over_star,
         "trip_mart": trip_mart,
         "excess_revenue": excess_revenue,
         "training_set": training_set,

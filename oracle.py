@@ -373,6 +373,11 @@ def _dimension_check() -> str:
 def statements() -> dict[str, str]:
     finals = {
         "dimension_check": _dimension_check(),
+        "sql_over_star": f"""select t.day_name, t.is_weekend, count(*) as trips,
+            {_r('avg_temperature', 'avg(temperature_2m)')},
+            cast(sum(case when duracion_minutos > 60 then 1 else 0 end) as bigint) as long_trips
+            from trips join dim_time t on start_time_id = t.time_id join weather w on start_time_id = w.time_id
+            group by 1, 2""",
         "trip_mart": f"select {_mart_columns()} from mart",
         "excess_revenue": f"""select start_station_id, start_time_id, member_type_id, bike_type_id, {_r('duracion_minutos')},
             minutos_incluidos, {_r('tarifa_minuto_excedente')},

@@ -78,7 +78,7 @@ def _edges(
         wanted, quota = F.lit(False), F.lit(None).cast("bigint")
         for s, (prefix, left) in open_.items():
             here = F.col(_STRATUM) == F.lit(s)
-            wanted = wanted | (here & F.col(_HASH).startswith(prefix))
+            wanted = wanted | (here & F.col(_HASH).startswith(prefix) if prefix else here)
             quota = F.when(here, F.lit(left)).otherwise(quota)
         counts = (
             hashed.where(wanted)

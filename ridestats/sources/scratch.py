@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR_KEY = "spark.checkpoint.dir"
+_local_folders: dict[str, str] = {}  # own folders of local sessions without the setting
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -26,9 +27,11 @@ def scratch_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_DIR_KEY} to a folder all executors share")
-    fallback = tempfile.mkdtemp(prefix="ridestats-")
-    spark.conf.set(_DIR_KEY, fallback)
-    return fallback
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="ridestats-")
+        spark.sparkContext.setCheckpointDir(_local_folders[app])
+    return _local_folders[app]
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -114,6 +114,12 @@ def load_star(
     return star
 
 
+def register_star(star: Mapping[str, DataFrame], names: Mapping[str, str] | None = None) -> None:
+    """Make the tables known to ``spark.sql`` as views, under ``names`` where given."""
+    for table, df in star.items():
+        df.createOrReplaceTempView((names or {}).get(table, table))
+
+
 def validate_dims(star: Mapping[str, DataFrame]) -> DataFrame:
     """Duplicate keys per dimension; any of them multiplies joined trips."""
 

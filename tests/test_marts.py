@@ -2,7 +2,7 @@ import pytest
 from conftest import BALANCE, TRIPS, WEATHER, make_star, rows
 
 from ridestats.plans import marts
-from ridestats.sources import load_star, scratch_dir, stage, validate_dims, write_result
+from ridestats.sources import load_star, register_star, scratch_dir, stage, validate_dims, write_result
 from ridestats.sources.star import STAR
 
 
@@ -103,6 +103,76 @@ def test_saved_mart_is_read_until_refreshed(spark, star, tmp_path):
     assert marts.saved_mart(fewer, path, refresh=True).count() == 2
 
 
+class FakeSession:
+    """A session without the checkpoint setting."""
+
+    class conf:
+        @staticmethod
+        def get(key, default):
+            return default
+
+    class sparkContext:
+        master = "yarn"
+        applicationId = "app"
+        folders: list = []
+
+        @classmethod
+        def setCheckpointDir(cls, folder):
+            cls.folders.append(folder)
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_dir(FakeSession)
+
+
+def test_a_local_session_gets_one_folder_of_its_own(monkeypatch):
+    monkeypatch.setattr(FakeSession.sparkContext, "master", "local[2]")
+    assert scratch_dir(FakeSession) == scratch_dir(FakeSession)
+    assert len(FakeSession.sparkContext.folders) == 1
+
+
+def test_free_sql_over_the_star(spark, star):
+    register_star(star, {"trips": "my_trips"})
+    assert spark.sql("select count(*) from my_trips join dim_time on start_time_id = time_id").first()[0] == 9
+
+
+def hot_star(spark):
+    """Half of the trips leave one station in one hour, which is also short there."""
+    trips = [("a", "b", 1, 1, 1, 40.0 + i % 50) for i in range(4000)]
+    trips += [(f"s{i % 40}", "a", 1 + i % 4, 1 + i % 2, 1 + i % 2, float(i % 90)) for i in range(4000)]
+    balance = [("a", 1, -3.0, "DESABASTO", True)] * 500 + [(f"s{i}", 2, -2.0, "DESABASTO", True) for i in range(0, 40, 3)]
+    return make_star(spark, trips=trips, balance=balance)
+
+
+def test_joins_without_broadcast_and_with_a_hot_key_give_the_same(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1KB",
+    }
+
+    def results():
+        hot = hot_star(spark)
+        return [
+            sorted(map(tuple, df.collect()), key=repr)
+            for df in (marts.training_set(hot), marts.trip_mart(hot), marts.shortage_events(hot))
+        ]
+
+    usual = results()
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        shuffled = results()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert [len(r) for r in usual][:2] == [len(r) for r in shuffled][:2] and usual == shuffled
+    assert len(usual[0]) > 0 and not any(r[0] == "a" for r in usual[0])
+
+
 def test_stage_uses_the_configured_folder(spark):
     staged = stage(spark.range(3).toDF("n"), "unit")
     assert staged.count() == 3
