@@ -62,13 +62,20 @@ def _once(kind: str, spark: SparkSession, folder: str, build: Callable[[], objec
     return _prepared[key]
 
 
+def _place(spark: SparkSession, folder: str, what: str) -> str:
+    source = folder.strip("/").replace("/", "-")
+    return f"{scratch_dir(spark)}/ridestats/{what}-{spark.sparkContext.applicationId}-{source}"
+
+
 def _star(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return _once("star", spark, folder, lambda: order_star(spark, folder))
 
 
 def _mart(spark: SparkSession, folder: str) -> DataFrame:
-    place = f"{scratch_dir(spark)}/ridestats/mart-{spark.sparkContext.applicationId}-{os.path.basename(folder)}"
-    return _once("mart", spark, folder, lambda: marts.saved_mart(_star(spark, folder), place, refresh=True))
+    return _once(
+        "mart", spark, folder,
+        lambda: marts.saved_mart(_star(spark, folder), _place(spark, folder, "mart"), refresh=True),
+    )
 
 
 def _rides(spark: SparkSession, folder: str) -> DataFrame:
@@ -280,7 +287,7 @@ def score_requests(spark, folder):
 
 def model_roundtrip(spark, folder):
     """Scores of both model kinds after saving and loading them."""
-    where = f"{scratch_dir(spark)}/ridestats/models-{spark.sparkContext.applicationId}"
+    where = _place(spark, folder, "models")
     artifacts.save_revenue(_revenue_models(spark, folder), f"{where}/revenue")
     artifacts.save_anomalies(_anomaly_model(spark, folder), f"{where}/anomalies")
     loaded = artifacts.load_revenue(spark, f"{where}/revenue")

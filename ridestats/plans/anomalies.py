@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.hashing import key_text
@@ -111,13 +113,23 @@ def fit(
     scaler, cleaned = fit_scaler(rows)
     ready = stage(scale(cleaned.withColumn("row_key", row_key_of_clean()), scaler), "scaled")
 
-    forest = fit_forest(ready, "row_key", SCALED, trees, max_samples, seed)
-    forest = Forest(stage(forest.nodes, "forest"), forest.features, forest.trees, forest.sample)
-    scored = stage(ready.withColumn("score", forest_score(forest)), "forest-scores")
-    cut = exact_quantiles(scored, ["score"], contamination)["score"]
-    judged = local_outlier_factor(scored, "row_key", SCALED, contamination)
+    def isolate() -> tuple[Forest, float | None]:
+        grown = fit_forest(ready, "row_key", SCALED, trees, max_samples, seed)
+        forest = Forest(stage(grown.nodes, "forest"), grown.features, grown.trees, grown.sample)
+        scores = stage(ready.select(forest_score(forest).alias("score")), "forest-scores")
+        return forest, exact_quantiles(scores, ["score"], contamination)["score"]
+
+    def neighbors() -> DataFrame:
+        return local_outlier_factor(ready, "row_key", SCALED, contamination)
+
+    # Two independent detectors: their jobs share the cluster.
+    with ThreadPoolExecutor(2) as pool:
+        (forest, cut), judged = pool.map(
+            inheritable_thread_target(ready.sparkSession)(lambda detect: detect()), [isolate, neighbors]
+        )
     flagged = (
-        judged.withColumn("score_iso", _decision("score", cut))
+        judged.withColumn("score", forest_score(forest))
+        .withColumn("score_iso", _decision("score", cut))
         .withColumn("anomalia_iso", outlier_label(F.col("score"), cut))
         .drop("score", *SCALED)
     )
