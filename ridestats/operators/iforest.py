@@ -59,7 +59,10 @@ def fit_forest(
     max_samples: int = 1_000,
     seed: int = 42,
 ) -> Forest:
-    """Grow ``trees`` trees on ``max_samples`` rows each (all rows if fewer)."""
+    """Grow ``trees`` trees on ``max_samples`` rows each (all rows if fewer).
+
+    ``key`` must be unique: it decides which trees see a row.
+    """
     n = rows.count()
     sample = min(max_samples, n)
     # Enough for the sample with a margin of ten standard deviations; the grower

@@ -29,7 +29,8 @@ def local_outlier_factor(
     """``rows`` with ``lof`` and ``anomalia_lof`` (-1 outlier, 1 inlier).
 
     Rows at the same position share all their distances, so they are merged to
-    one weighted point first: copies, however many, cost one point.
+    one weighted point first: copies, however many, cost one point. ``key`` must
+    be unique.
     """
     k = k or neighbor_count(rows.count())
     points = stage(

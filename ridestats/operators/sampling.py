@@ -29,7 +29,7 @@ def take_by_hash(
     The hash at which the quota runs out is found from bucket counts, so rows
     are not sorted or gathered. Rows with exactly that hash are copies of each
     other; they are counted, and handed out as copies on either side.
-    ``key`` must determine the row. Strata are few (they sit in the plan).
+    ``key`` should determine the row. Strata are few (they sit in the plan).
     """
     hashed = df.withColumn(_HASH, digest(key_text(key), seed)).withColumn(
         _STRATUM, stratum if stratum is not None else F.lit(0)
@@ -51,13 +51,17 @@ def take_by_hash(
     at_edge = F.coalesce(at_edge, F.lit(False))
     clear = hashed.where(~at_edge).withColumn(flag, F.coalesce(below, F.lit(False)))
     copies = hashed.where(at_edge).groupBy(*hashed.columns).agg(F.count(F.lit(1)).alias("_n"))
-    # ``share`` is below the number of copies: the quota runs out among them.
+    # The quota runs out among these copies. Should rows of one key differ after
+    # all, they are served in column order; the window sees one row per content.
+    order = Window.partitionBy(_STRATUM).orderBy(*df.columns)
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = copies.withColumn("_served", F.greatest(F.lit(0), F.least(F.col("_n"), share - before)))
     sides = F.array(
-        F.struct(F.lit(True).alias("in"), share.cast("bigint").alias("n")),
-        F.struct(F.lit(False).alias("in"), (F.col("_n") - share).alias("n")),
+        F.struct(F.lit(True).alias("in"), F.col("_served").alias("n")),
+        F.struct(F.lit(False).alias("in"), (F.col("_n") - F.col("_served")).alias("n")),
     )
-    parted = copies.withColumn("_side", F.explode(sides)).withColumn(flag, F.col("_side.in"))
-    handed = repeat_rows(parted, F.col("_side.n"), "_copy").drop("_n", "_side", "_copy")
+    parted = counted.withColumn("_side", F.explode(sides)).withColumn(flag, F.col("_side.in"))
+    handed = repeat_rows(parted, F.col("_side.n"), "_copy").drop("_n", "_served", "_side", "_copy")
     return clear.unionByName(handed).drop(_HASH, _STRATUM)
 
 

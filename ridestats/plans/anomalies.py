@@ -112,6 +112,8 @@ def fit(
         rows = seeded_sample(rows, max_rows, [row_key()], seed)
     scaler, cleaned = fit_scaler(rows)
     ready = stage(scale(cleaned.withColumn("row_key", row_key_of_clean()), scaler), "scaled")
+    if ready.groupBy("row_key").count().where(F.col("count") > 1).limit(1).count():
+        raise ValueError("a station, hour, weekend flag and month must name one row of the profile")
 
     def isolate() -> tuple[Forest, float | None]:
         grown = fit_forest(ready, "row_key", SCALED, trees, max_samples, seed)

@@ -64,10 +64,17 @@ def _assembled(matrix: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(matrix)
 
 
-def train(training: DataFrame, max_rows: int | None = None, seed: int = SEED) -> RevenueModels:
+def train(
+    training: DataFrame,
+    max_rows: int | None = None,
+    seed: int = SEED,
+    trees: int = 50,
+    rounds: int = 50,
+) -> RevenueModels:
     """Fit both ensembles on 80% of the rows and measure them on the rest.
 
-    All rows are used unless ``max_rows`` asks for a seeded sample.
+    All rows are used unless ``max_rows`` asks for a seeded sample. A leaf holds
+    at least 10 rows, so no node under 20 rows is split.
     """
     require_columns(training, [TARGET, "station_id", "time_id"], "training set")
     rides = stage(training if max_rows is None else seeded_sample(training, max_rows, trip_key(), seed), "rides")
@@ -81,11 +88,11 @@ def train(training: DataFrame, max_rows: int | None = None, seed: int = SEED) ->
 
     ensembles = [
         RandomForestRegressor(
-            labelCol=TARGET, numTrees=50, maxDepth=10, minInstancesPerNode=10,
+            labelCol=TARGET, numTrees=trees, maxDepth=10, minInstancesPerNode=10,
             featureSubsetStrategy="sqrt", maxBins=64, seed=seed, predictionCol="forest_prediction",
         ),
         GBTRegressor(
-            labelCol=TARGET, maxIter=50, maxDepth=5, stepSize=0.15, subsamplingRate=0.8,
+            labelCol=TARGET, maxIter=rounds, maxDepth=5, stepSize=0.15, subsamplingRate=0.8,
             featureSubsetStrategy="sqrt", maxBins=64, seed=seed, predictionCol="boosting_prediction",
         ),
     ]

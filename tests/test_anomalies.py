@@ -220,6 +220,11 @@ def test_scores_of_fit_rows_agree_with_their_flags(spark, fitted):
     assert joined.where((F.col("is_anomaly") != (F.col("anomalia_iso") == -1)) | (F.col("anomaly_score") != F.col("score_iso"))).count() == 0
 
 
+def test_repeated_station_hours_are_refused(spark):
+    with pytest.raises(ValueError, match="one row"):
+        anomalies.fit(profile(spark, 40).union(profile(spark, 40)))
+
+
 def test_fit_on_a_sample(spark):
     model = anomalies.fit(profile(spark), max_rows=100, trees=5)
     assert model.flagged.count() == 100

@@ -64,6 +64,13 @@ def test_take_by_hash_cuts_among_copies(spark):
     assert got.where("taken").count() == 123 and got.where("not taken").count() == 377
 
 
+def test_take_by_hash_keeps_the_quota_when_rows_of_a_key_differ(spark):
+    mixed = spark.createDataFrame([("k", i % 7) for i in range(100)], "k string, i int")
+    got = take_by_hash(mixed, {0: 30}, [F.col("k")])
+    assert got.where("taken").count() == 30
+    assert Counter(r["i"] for r in got.collect()) == Counter(i % 7 for i in range(100))
+
+
 def test_sample_does_not_depend_on_partitioning(spark):
     df = copies(spark)
     key = [F.col("k"), F.col("i")]

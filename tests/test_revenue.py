@@ -102,7 +102,7 @@ def test_anomaly_model_survives_saving(spark, tmp_path):
 
 
 def test_train_on_a_sample(spark):
-    small = revenue.train(marts.training_set(order_star(spark, SF)), max_rows=400)
+    small = revenue.train(marts.training_set(order_star(spark, SF)), max_rows=400, trees=3, rounds=3)
     assert small.metrics.count() == 2
 
 
