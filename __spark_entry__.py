@@ -24,6 +24,13 @@ from ridestats.plans import (  # noqa: E402
 )
 from ridestats.sources import order_star, register_star, scratch_dir, stage, validate_dims  # noqa: E402
 
+try:  # the text operators and their pipeline can be left out as a whole
+    from ridestats.llm import queries as text_queries  # noqa: E402
+except ModuleNotFoundError as missing:
+    if missing.name not in ("ridestats.llm", "corpus_pipeline"):
+        raise
+    text_queries = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Arguments that the registered queries and their SQL share.
@@ -484,9 +491,10 @@ def queries() -> dict[str, Query]:
         "model_roundtrip": model_roundtrip,
         "scenario_model_top": scenario_model_top,
         "counterfactual_model_loss": counterfactual_model_loss,
+        **(text_queries.queries() if text_queries else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for every query but those that look at the tree ensembles."""
-    return oracle.statements()
+    """SQL for every query that SQL can express."""
+    return {**oracle.statements(), **(text_queries.oracle_sql() if text_queries else {})}
