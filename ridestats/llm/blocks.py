@@ -23,6 +23,7 @@ from ridestats.llm.packing import coded, pack_ints, pack_strings, text_bytes
 from ridestats.sources.scratch import stage
 
 BLOCK_BYTES = 24 << 20  # text in a block; a longer single text makes a block of its own
+BLOCK_ROWS = 1 << 18  # rows in a block, at most 2**20
 SHARD_BYTES = 24 << 20  # text per shard of the words or n-grams
 
 Splitter = Callable[[np.ndarray, np.ndarray], tuple[pa.Array, np.ndarray]]
@@ -62,14 +63,14 @@ def cut(docs: DataFrame, split: Splitter, id_col: str = "doc_id", text_col: str
         )
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = TaskContext.get().partitionId() << 24, [], 0
+        number, held, size, rows = TaskContext.get().partitionId() << 12, [], 0, 0
         for batch in batches:
             for part in slices(batch, "text", BLOCK_BYTES):
                 held.append(part)
-                size += part.column("text").nbytes
-                if size >= BLOCK_BYTES:
+                size, rows = size + part.column("text").nbytes, rows + part.num_rows
+                if size >= BLOCK_BYTES or rows >= BLOCK_ROWS:
                     yield one(number, pa.Table.from_batches(held))
-                    number, held, size = number + 1, [], 0
+                    number, held, size, rows = number + 1, [], 0, 0
         if held:
             yield one(number, pa.Table.from_batches(held))
 

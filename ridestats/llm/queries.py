@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ridestats.llm import bpe, lm
+from ridestats.llm import bpe, jaccard, lm
 from ridestats.llm.common import table
 
 
@@ -24,6 +24,10 @@ def digests(encoded: DataFrame, ranks: bytes) -> DataFrame:
         "key.doc_id", "key.n_tokens", "key.ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7
     scored, model = lm.fit_and_score(table(spark, sf_dir, "documents"), remainder != 2)
@@ -34,6 +38,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_byte_bpe": op5_byte_bpe,
         "op10_lm_score": op10_lm_score,
     }
