@@ -7,7 +7,7 @@ distinct things of a block are shuffled to the shard that owns them; answers go
 the block in the same order. A hot word costs one entry per block, not one row per
 occurrence, and a shard's size does not depend on how often a word occurs.
 
-The table of blocks is written once, so block numbers stay valid when a task is repeated.
+Where several jobs need the blocks, they are written once to the shared folder.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ridestats.llm.packing import coded, pack_ints, pack_strings, text_bytes
 from ridestats.sources.scratch import stage
 
-BLOCK_BYTES = 24 << 20  # text in a block; a longer single text makes a block of its own
+BLOCK_BYTES = 8 << 20  # text in a block; a longer single text makes a block of its own
 BLOCK_ROWS = 1 << 18  # rows in a block, at most 2**20
 SHARD_BYTES = 24 << 20  # text per shard of the words or n-grams
 
@@ -39,15 +39,18 @@ def shard_count(n_bytes: int) -> int:
 
 
 def cut(docs: DataFrame, split: Splitter, id_col: str = "doc_id", text_col: str = "text",
-        flag: Column | None = None, label: str = "blocks") -> DataFrame:
+        flag: Column | None = None, label: str | None = "blocks",
+        block_bytes: int | None = None) -> DataFrame:
     """Blocks (block, ids, flags, counts, codes, words) of all documents.
 
     ``counts`` are the words of each document, ``codes`` index ``words``. A null text has
-    no words; null and repeated ids are kept as they are.
+    no words; null and repeated ids are kept as they are. Without a label the blocks are
+    not written but dealt out by number; every use in one plan reads the same exchange.
+    A block depends on its input partition alone, so a repeated task makes it again.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
                          (F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))).alias("flag"))
-    kind = narrow.schema["id"].dataType.simpleString()
+    kind, most = narrow.schema["id"].dataType.simpleString(), block_bytes or BLOCK_BYTES
 
     def one(block: int, batch: pa.Table) -> pa.RecordBatch:
         texts = batch["text"].combine_chunks()
@@ -65,17 +68,18 @@ def cut(docs: DataFrame, split: Splitter, id_col: str = "doc_id", text_col: str
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size, rows = TaskContext.get().partitionId() << 12, [], 0, 0
         for batch in batches:
-            for part in slices(batch, "text", BLOCK_BYTES):
+            for part in slices(batch, "text", most):
                 held.append(part)
                 size, rows = size + part.column("text").nbytes, rows + part.num_rows
-                if size >= BLOCK_BYTES or rows >= BLOCK_ROWS:
+                if size >= most or rows >= BLOCK_ROWS:
                     yield one(number, pa.Table.from_batches(held))
                     number, held, size, rows = number + 1, [], 0, 0
         if held:
             yield one(number, pa.Table.from_batches(held))
 
     schema = f"block long, ids array<{kind}>, flags binary, counts binary, codes binary, words binary"
-    return stage(narrow.mapInArrow(blocks, schema), label)
+    made = narrow.mapInArrow(blocks, schema)
+    return stage(made, label) if label else made.repartition("block")
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:

@@ -23,9 +23,11 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from ridestats.llm.blocks import by_shard, cut, shard_count, text_size
+from ridestats.llm.blocks import BLOCK_BYTES, by_shard, cut, shard_count, text_size
 from ridestats.llm.packing import hashes, pack_ints, pack_strings, split_pieces, unpack_ints, unpack_strings
 
+_AT_ONCE = 1 << 18  # words whose ids are put together at a time
+
 
 def read_ranks(path: str) -> bytes:
     """Content of a rank file (base64 token, rank). Read once, by the driver."""
@@ -61,7 +63,7 @@ def _by_owner(words: bytes, n_shards: int) -> tuple[pa.Array, np.ndarray, np.nda
 def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token ids (id_col, ids) of every whole text."""
     n_shards = shard_count(text_size(docs, text_col))
-    blocks = cut(docs, split_pieces, id_col, text_col, label="bpe-blocks")
+    blocks = cut(docs, split_pieces, id_col, text_col, label=None, block_bytes=2 * BLOCK_BYTES)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,7 +80,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
         asked = [unpack_strings(x.as_py()) for x in group["words"]]
         merged = pa.chunked_array(asked).combine_chunks().dictionary_encode()
         encoder = _encoder(ranks, pattern)
-        ids = encoder.encode_ordinary_batch([w.decode() for w in merged.dictionary.to_pylist()], num_threads=1)
+        ids = [encoder.encode_ordinary(w.decode()) for w in merged.dictionary.to_pylist()]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         flat, starts = np.fromiter((i for x in ids for i in x), np.uint32, lengths.sum()), np.cumsum(lengths) - lengths
         codes, at, out = np.asarray(merged.indices), 0, []
@@ -91,31 +93,33 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
                          "ids": pa.array([x for _, x in out], pa.binary())})
 
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
-    answers = blocks.select("block", "words").mapInArrow(ask, "shard int, block long, words binary").groupBy(
+    answers = blocks.mapInArrow(ask, "shard int, block long, words binary").groupBy(
         "shard").applyInArrow(answer, "block long, shard int, lengths binary, ids binary")
 
     def reassemble(own: pa.Table, answers: pa.Table) -> pa.Table:
         codes, counts = unpack_ints(own["codes"][0].as_py()), unpack_ints(own["counts"][0].as_py())
         pieces, order, _ = _by_owner(own["words"][0].as_py(), n_shards)
-        by = np.argsort(np.asarray(answers["shard"]))
-        lengths, ids = np.empty(len(pieces), np.int64), np.empty(0, np.uint32)
-        if len(pieces):
-            sorted_lengths = np.concatenate([unpack_ints(answers["lengths"][i].as_py()) for i in by.tolist()])
-            ids = np.concatenate([unpack_ints(answers["ids"][i].as_py()) for i in by.tolist()])
-            lengths[order] = sorted_lengths
-            starts = np.empty(len(pieces), np.int64)
-            starts[order] = np.cumsum(sorted_lengths, dtype=np.int64) - sorted_lengths
-            per_word = lengths[codes]
-            ids = ids[spans(starts[codes], per_word)]
-        else:
-            per_word = np.empty(0, np.int64)
-        after = np.concatenate([[0], np.cumsum(per_word)])
+        by = np.argsort(np.asarray(answers["shard"])).tolist()
+        ids = [unpack_ints(answers["ids"][i].as_py()) for i in by]
+        ids = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+        told = [unpack_ints(answers["lengths"][i].as_py()) for i in by]
+        told = np.concatenate(told) if told else np.empty(0, np.uint32)
+        lengths, starts = np.empty(len(pieces), np.int32), np.empty(len(pieces), np.int64)
+        lengths[order] = told
+        starts[order] = np.cumsum(told, dtype=np.int64) - told
         ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-        values = pa.ListArray.from_arrays(pa.array(after[ends], pa.int32()), pa.array(ids.astype(np.int32)))
-        return pa.table({id_col: own["ids"].combine_chunks().flatten(), "ids": values})
-
-    return blocks.select("block", "ids", "counts", "codes", "words").groupBy("block").cogroup(
-        answers.groupBy("block")).applyInArrow(
+        after = np.concatenate([[0], np.cumsum(lengths[codes], dtype=np.int64)])[ends]
+        out = np.empty(after[-1], np.int32)
+        at = 0
+        for a in range(0, len(codes), _AT_ONCE):
+            some = codes[a : a + _AT_ONCE]
+            found = ids[spans(starts[some], lengths[some])]
+            out[at : at + len(found)] = found
+            at += len(found)
+        values = pa.LargeListArray.from_arrays(pa.array(after), pa.array(out))
+        return pa.table({id_col: own["ids"].combine_chunks().flatten(), "ids": values.cast(pa.list_(pa.int32()))})
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         reassemble, f"`{id_col}` {kind}, ids array<int>")
 
 

@@ -102,7 +102,7 @@ def split_words(data: np.ndarray, ends: np.ndarray, lower: bool = True) -> tuple
     start[first] = solid[first]
     starts = np.flatnonzero(start)
     counts = np.diff(np.searchsorted(starts, ends))
-    before = np.cumsum(solid)
+    before = np.cumsum(solid, dtype=np.int32 if len(solid) < 1 << 31 else np.int64)
     offsets = np.empty(len(starts) + 1, np.int64)
     offsets[:-1] = before[starts] - 1
     offsets[-1] = before[-1] if len(before) else 0
