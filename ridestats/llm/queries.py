@@ -4,9 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ridestats.llm import bpe, jaccard, lm
+from ridestats.llm import bpe, jaccard, lm, packer, quality, sql, urls
 from ridestats.llm.common import table
 
+# Host and path rules of the URL query.
+URL_RULES = (
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+)
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -28,6 +38,18 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        tokenizer = f.read()
+    return packer.pack(packer.pieces(table(spark, sf_dir, "documents"), tokenizer, 2048), 2048)
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7
     scored, model = lm.fit_and_score(table(spark, sf_dir, "documents"), remainder != 2)
@@ -38,11 +60,17 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_url_filter": op2_url_filter,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_byte_bpe": op5_byte_bpe,
+        "op8_quality_rules": op8_quality_rules,
+        "op9_best_fit_packing": op9_best_fit_packing,
         "op10_lm_score": op10_lm_score,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_url_filter": urls.urls_sql(URL_RULES),
+        "op8_quality_rules": sql.QUALITY,
+    }
