@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ridestats.llm import bpe, jaccard, lm, packer, quality, sql, urls
+from ridestats.llm import bpe, jaccard, licenses, lines, lm, packer, quality, sql, urls
 from ridestats.llm.common import table
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 # Host and path rules of the URL query.
 URL_RULES = (
     ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -38,6 +42,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -60,9 +68,11 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_url_filter": op2_url_filter,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_byte_bpe": op5_byte_bpe,
+        "op7_license_scan": op7_license_scan,
         "op8_quality_rules": op8_quality_rules,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_lm_score": op10_lm_score,
@@ -71,6 +81,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_line_dedup": sql.LINES,
         "op2_url_filter": urls.urls_sql(URL_RULES),
+        "op7_license_scan": sql.LICENSES,
         "op8_quality_rules": sql.QUALITY,
     }

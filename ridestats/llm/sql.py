@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ridestats.llm.licenses import GAP, K, PHRASES, SHARE, TEMPLATES, template_runs
 from ridestats.llm.quality import BOILERPLATE, SEPARATORS, Rules
 
 _R = Rules()
@@ -51,3 +52,69 @@ select doc_id, n_words, coalesce(word_chars, 0)::bigint as word_chars, n_symbols
          and lost_words <= cast({_R.lost} as double) * n_words and n_words - lost_words >= {_R.left} as kept,
        n_lines, lost_lines, lost_words::bigint as lost_words
 from all_counts"""
+
+
+def lines_cte(source: str, min_words: int = 50) -> str:
+    """Tables ``cut`` (doc_id, pos, line) and ``gone`` (doc_id, pos) of the lines of a table."""
+    return rf"""
+split_text as (select doc_id, string_split(text, chr(10)) as lines from {source}),
+cut as (select doc_id, i as pos, lines[i + 1] as line from split_text, unnest(range(0, len(lines))) t(i)),
+worded as (select doc_id, pos, line, len(regexp_extract_all(line, {_WORD})) as n from cut where regexp_matches(line, {_WORD})),
+summed as (
+  select *, sum(n) over w as after, sum(n) over w - n as before, row_number() over w as ord
+  from worded window w as (partition by doc_id order by pos)),
+ends as (
+  select a.doc_id, a.ord, min(b.ord) as till from summed a join summed b on a.doc_id = b.doc_id and b.after >= a.before + {min_words} and b.ord >= a.ord
+  group by a.doc_id, a.ord
+  union
+  select a.doc_id, max(b.ord), a.ord from summed a join summed b on a.doc_id = b.doc_id and b.before <= a.after - {min_words} and b.ord <= a.ord
+  group by a.doc_id, a.ord),
+listed as (select doc_id, list(line order by pos) as lines, list(pos order by pos) as places from worded group by doc_id),
+runs as (select doc_id, array_to_string(list_slice(lines, ord, till), chr(10)) as run, list_slice(places, ord, till) as places from ends join listed using (doc_id)),
+firsts as (select run, min((doc_id, places[1])) as first from runs group by run having count(*) > 1),
+gone as (select distinct doc_id, unnest(places) as pos from runs join firsts using (run) where (doc_id, places[1]) <> first)"""
+
+
+LINES = f"""
+with {lines_cte('documents')}
+select d.doc_id,
+       case when n_removed is null then text else coalesce(left_over, '') end as text, coalesce(len(string_split(text, chr(10))), 0) as n_lines,
+       coalesce(n_removed, 0) as n_removed, coalesce(removed, []) as removed
+from documents d
+left join (select doc_id, count(*) as n_removed, list(pos order by pos) as removed from gone group by doc_id) using (doc_id)
+left join (select doc_id, string_agg(line, chr(10) order by pos) as left_over from cut anti join gone using (doc_id, pos) group by doc_id) using (doc_id)"""
+
+
+def _licenses() -> str:
+    runs = ", ".join(f"({t}, '{label}', {size}, {q}, '{run}')" for t, label, size, q, run in template_runs(TEMPLATES, K))
+    phrases = " union all ".join(
+        f"select rid, p, '{label}' as label from d, unnest(range(0, len(w))) t(p) where "
+        + " and ".join(f"w[p + {j + 1}] = '{part}'" for j, part in enumerate(parts)) for label, parts in PHRASES)
+    return rf"""
+with d as (
+  select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+known as (select * from (values {runs}) t(template, label, size, q, run)),
+base as ({phrases}),
+bases as (select rid, count(*) as n_base, min(p) as first_word, max(p) as last_word, list(distinct label) as labels from base group by rid),
+grams as (select rid, p, array_to_string(list_slice(w, p + 1, p + {K}), ' ') as run from d, unnest(range(0, len(w) - {K} + 1)) t(p)),
+votes as (select rid, template, label, size, p, q, p - q as diagonal from grams join known using (run)),
+diagonals as (select rid, template, label, size, diagonal, min(p) as first, max(p) as last, list(distinct q) as qs from votes group by all),
+flagged as (select *, case when diagonal - lag(diagonal) over (partition by rid, template order by diagonal) > {GAP} then 1 else 0 end as new from diagonals),
+banded as (select *, sum(new) over (partition by rid, template order by diagonal) as band from flagged),
+merged as (select rid, template, label, size, band, min(first) as first, max(last) + {K} as till, flatten(list(qs)) as qs from banded group by all),
+scored as (
+  select rid, first, till, label,
+         len(list_distinct(flatten(list_transform(qs, lambda q: range(q, q + {K}))))) / cast(size as double) as score from merged),
+spans as (
+  select rid, list(struct_pack(first_word := first, end_word := till, label := label, score := score) order by first, till, label, score) as spans,
+         max(score) as best, list(distinct label) as labels
+  from scored where score >= {SHARE} group by rid)
+select doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(bases.labels), ','), '') as base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(bases.labels, []), coalesce(spans.labels, [])))), ','), '') as labels,
+       case when n_base > 0 then 1.0::double else coalesce(best, 0.0::double) end as score
+from d left join bases using (rid) left join spans using (rid)"""
+
+
+LICENSES = _licenses()
