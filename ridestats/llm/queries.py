@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ridestats.llm import bpe, jaccard, licenses, lines, lm, packer, quality, sql, urls
+from ridestats.llm import bpe, jaccard, licenses, lines, lm, packer, quality, sql, urls, vectors
 from ridestats.llm.common import table
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,10 @@ def digests(encoded: DataFrame, ranks: bytes) -> DataFrame:
         "key.doc_id", "key.n_tokens", "key.ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -70,6 +74,7 @@ def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_url_filter": op2_url_filter,
+        "op3_embedding_near_dedup": op3_embedding_near_dedup,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_byte_bpe": op5_byte_bpe,
         "op7_license_scan": op7_license_scan,
@@ -83,6 +88,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": sql.LINES,
         "op2_url_filter": urls.urls_sql(URL_RULES),
+        "op3_embedding_near_dedup": sql.VECTORS,
+        "op4_jaccard_join": sql.JACCARD,
         "op7_license_scan": sql.LICENSES,
         "op8_quality_rules": sql.QUALITY,
     }

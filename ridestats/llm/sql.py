@@ -118,3 +118,50 @@ from d left join bases using (rid) left join spans using (rid)"""
 
 
 LICENSES = _licenses()
+
+
+# Links between all pairs of equal label, and what they reach.
+VECTORS = """
+with recursive v as (
+  select row_number() over () as rid, vec_id, label, embedding::double[] as e from embeddings),
+u as (
+  select rid, label, e from v
+  where label is not null and e is not null and len(e) > 0 and list_count(e) = len(e)
+    and len(list_filter(e, lambda x: not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (
+  select a.rid as a, b.rid as b from u a join u b on a.label = b.label and a.rid <> b.rid and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+reach as (select rid as a, rid as b from v union select r.a, l.b from reach r join links l on r.b = l.a),
+least as (select r.a as rid, min(vec_id) as component_id from reach r join v on v.rid = r.b group by r.a)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id is not distinct from component_id as kept
+from v join least using (rid) left join (select a as rid, count(*) as n from links group by a) using (rid)"""
+
+
+def groups_cte(source: str, k: int, num: int, den: int) -> str:
+    """Tables ``doc`` (rid, doc_id, n) and ``least`` (rid, root, component_id) of n-gram similarity."""
+    return rf"""
+doc_words as (
+  select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), {_WORD}) as w from {source}),
+grams as (
+  select distinct rid, md5(array_to_string(list_slice(w, i, least(len(w), i + {k} - 1)), ' ')) as g
+  from doc_words, unnest(range(1, greatest(len(w) - {k} + 1, least(len(w), 1)) + 1)) t(i)),
+doc as (select rid, doc_id, coalesce(n, 0) as n from doc_words left join (select rid, count(*) as n from grams group by rid) using (rid)),
+-- The rarest n-grams of each text: two similar texts share one of them.
+ranked as (
+  select rid, g, row_number() over (partition by rid order by df, g) as r
+  from grams join (select g, count(*) as df from grams group by g) using (g) where df > 1),
+few as (select ranked.rid, g from ranked join doc using (rid) where r <= n - ceil(n * {num} / {den}.0) + 1),
+near as (select distinct a.rid as a, b.rid as b from few a join few b using (g) where a.rid < b.rid),
+links as (
+  select near.a, near.b from near join grams x on x.rid = near.a join grams y on y.rid = near.b and x.g = y.g
+    join doc p on p.rid = near.a join doc q on q.rid = near.b
+  group by near.a, near.b, p.n, q.n having {den} * count(*) >= {num} * (p.n + q.n - count(*))),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (select rid as a, rid as b from doc union select r.a, l.b from reach r join both_ways l on r.b = l.a),
+least as (select r.a as rid, min(r.b) as root, min(doc_id) as component_id from reach r join doc on doc.rid = r.b group by r.a)"""
+
+
+JACCARD = f"""
+with recursive {groups_cte('documents', 3, 90, 100)}
+select doc_id, n as n_shingles, component_id from doc join least using (rid)"""
