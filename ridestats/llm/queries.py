@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ridestats.llm import bpe, jaccard, licenses, lines, lm, packer, quality, sql, urls, vectors
+from ridestats.llm import bpe, content, jaccard, layouts, licenses, lines, lm, packer, quality, sql, urls, vectors
 from ridestats.llm.common import table
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,12 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    weights = content.fit(layouts.labelled_layouts() + content.labelled_sample(pages))
+    return content.extract(pages, weights)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -77,6 +83,7 @@ def queries() -> dict:
         "op3_embedding_near_dedup": op3_embedding_near_dedup,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_html_extraction": op6_html_extraction,
         "op7_license_scan": op7_license_scan,
         "op8_quality_rules": op8_quality_rules,
         "op9_best_fit_packing": op9_best_fit_packing,
