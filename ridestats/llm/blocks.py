@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ridestats.llm.packing import coded, pack_ints, pack_strings, text_bytes
+from ridestats.llm.packing import coded, give_back, pack_ints, pack_strings, text_bytes
 from ridestats.sources.scratch import stage
 
 BLOCK_BYTES = 8 << 20  # text in a block; a longer single text makes a block of its own
@@ -74,8 +74,10 @@ def cut(docs: DataFrame, split: Splitter, id_col: str = "doc_id", text_col: str
                 if size >= most or rows >= BLOCK_ROWS:
                     yield one(number, pa.Table.from_batches(held))
                     number, held, size, rows = number + 1, [], 0, 0
+                    give_back()
         if held:
             yield one(number, pa.Table.from_batches(held))
+        give_back()
 
     schema = f"block long, ids array<{kind}>, flags binary, counts binary, codes binary, words binary"
     made = narrow.mapInArrow(blocks, schema)

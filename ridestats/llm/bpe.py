@@ -23,18 +23,12 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from ridestats.llm.blocks import BLOCK_BYTES, by_shard, cut, shard_count, text_size
-from ridestats.llm.packing import hashes, pack_ints, pack_strings, split_pieces, unpack_ints, unpack_strings
+from ridestats.llm.blocks import by_shard, cut, shard_count, text_size
+from ridestats.llm.packing import give_back, hashes, pack_ints, pack_strings, split_pieces, unpack_ints, unpack_strings
 
 _AT_ONCE = 1 << 18  # words whose ids are put together at a time
 
 
-def read_ranks(path: str) -> bytes:
-    """Content of a rank file (base64 token, rank). Read once, by the driver."""
-    with open(path, "rb") as f:
-        return f.read()
-
-
 @lru_cache(maxsize=2)
 def _ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines())}
@@ -63,7 +57,7 @@ def _by_owner(words: bytes, n_shards: int) -> tuple[pa.Array, np.ndarray, np.nda
 def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token ids (id_col, ids) of every whole text."""
     n_shards = shard_count(text_size(docs, text_col))
-    blocks = cut(docs, split_pieces, id_col, text_col, label=None, block_bytes=2 * BLOCK_BYTES)
+    blocks = cut(docs, split_pieces, id_col, text_col, label=None)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,6 +69,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
                         yield pa.RecordBatch.from_pydict(
                             {"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int64()),
                              "words": pa.array([pack_strings(pieces.take(pa.array(mine)))], pa.binary())})
+                give_back()
 
     def answer(group: pa.Table) -> pa.Table:
         asked = [unpack_strings(x.as_py()) for x in group["words"]]
@@ -88,6 +83,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
             own = codes[at : at + len(words)]
             at += len(words)
             out.append((pack_ints(lengths[own].astype(np.uint32)), pack_ints(flat[spans(starts[own], lengths[own])])))
+        give_back()
         return pa.table({"block": group["block"], "shard": group["shard"],
                          "lengths": pa.array([x for x, _ in out], pa.binary()),
                          "ids": pa.array([x for _, x in out], pa.binary())})
@@ -117,6 +113,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
             out[at : at + len(found)] = found
             at += len(found)
         values = pa.LargeListArray.from_arrays(pa.array(after), pa.array(out))
+        give_back()
         return pa.table({id_col: own["ids"].combine_chunks().flatten(), "ids": values.cast(pa.list_(pa.int32()))})
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from ridestats.llm.blocks import cut, shard_count, text_size
 from ridestats.llm.components import Forest, components
 from ridestats.llm.packing import (
-    hashes, joined, mix, pack_ints, pack_sorted, split_words, unpack_ints, unpack_sorted, unpack_strings,
+    give_back, hashes, joined, mix, pack_ints, pack_sorted, split_words, unpack_ints, unpack_sorted, unpack_strings,
 )
 from ridestats.llm.bpe import spans
 from ridestats.sources.scratch import stage
@@ -105,6 +105,24 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
     return placed.join(least, "root").select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with all their columns, one of each group of similar documents.
+
+    The row with the smallest id stays (null ids first, equal ids by a hash of the text);
+    all rows without words stay.
+    """
+    digest = F.xxhash64(F.col(text_col).cast("string"))
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col(id_col).alias("id"), digest.alias("digest")).alias("key"), F.col(text_col).alias("text"))
+    groups = jaccard_groups(own.select("key", "text"), k, num, den, "key", "text")
+    keys = groups.groupBy(F.col("doc_id.id").alias("_id"), F.col("doc_id.digest").alias("_digest")).agg(
+        F.first("doc_id").alias("key"), F.min("component_id").alias("least"), F.count_if(F.col("n_shingles") > 0).alias("times"))
+    keys = stage(keys.filter(F.col("key").eqNullSafe(F.col("least"))).select("_id", "_digest", "times"), "kept-keys")
+    kept = own.join(keys, F.col("key.id").eqNullSafe(F.col("_id")) & (F.col("key.digest") == F.col("_digest")))
+    if not keys.filter("times > 1").isEmpty():  # equal rows: their keys say nothing about which of them stays
+        kept = kept.filter("times <= 1").unionByName(kept.filter("times > 1").dropDuplicates(["_id", "_digest"]))
+    return kept.select("row.*")
+
+
 def _profiles(blocks: DataFrame, k: int, num: int, den: int, n_shards: int) -> tuple[DataFrame, DataFrame]:
     """Size and digest of every set; and for each block the frequencies of its n-grams."""
     limit = np.uint64(_limit(num, den))
@@ -113,6 +131,7 @@ def _profiles(blocks: DataFrame, k: int, num: int, den: int, n_shards: int) -> t
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, row in enumerate(batch.select(_BLOCK).to_pylist()):
+                give_back()
                 sets, block = _Sets(row, k), row["block"]
                 all_sets = [sets[i] for i in range(len(sets))]
                 n = np.fromiter(map(len, all_sets), np.int64, len(all_sets))
@@ -162,6 +181,7 @@ def _meeting(blocks: DataFrame, rarity: DataFrame, classes: DataFrame, k: int, n
     limit = np.uint64(_limit(num, den))
 
     def rarest(own: pa.Table, told: pa.Table) -> pa.Table:
+        give_back()
         out = [[], [], []]
         if own.num_rows:
             (row,), told = own.to_pylist(), told.to_pylist()
@@ -210,6 +230,7 @@ def _links(blocks: DataFrame, meeting: DataFrame, k: int, num: int, den: int) ->
         F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("node"), F.col("chunks"))).otherwise(F.lit(0)).alias("chunk"))
 
     def fetch(own: pa.Table, asked: pa.Table) -> pa.Table:
+        give_back()
         out = []
         if own.num_rows and asked.num_rows:
             (row,) = own.to_pylist()
@@ -253,6 +274,7 @@ def _links(blocks: DataFrame, meeting: DataFrame, k: int, num: int, den: int) ->
 
 def _searcher(num: int, den: int):
     def search(group: pa.Table) -> pa.Table:
+        give_back()
         a, b = [], []
         clusters = np.asarray(group["cluster"])
         order = np.argsort(clusters, kind="stable")

@@ -125,3 +125,17 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
         F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+
+
+def drop_repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with all their columns, later copies of passages taken out of the text.
+
+    Rows that had words and have none left are dropped.
+    """
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"),
+                      F.col(text_col).cast("string").alias("text"))
+    gone = repeated_lines(own.select("id", "digest", "text"), min_words).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "removed")
+    joined = own.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    left = joined.select("row", "removed", _without("text", "removed").alias("text")).filter(
+        F.col("removed").isNull() | F.col("text").rlike(_WORD))
+    return left.select(*[F.col("text").cast(docs.schema[c].dataType).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

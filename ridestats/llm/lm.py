@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ridestats.llm.blocks import cut, shard_count, text_size
 from ridestats.llm.packing import (
-    hashes, joined, pack_ints, pack_sorted, split_words, unpack_ints, unpack_sorted, unpack_strings,
+    give_back, hashes, joined, pack_ints, pack_sorted, split_words, unpack_ints, unpack_sorted, unpack_strings,
 )
 from ridestats.sources.scratch import stage
 
@@ -164,6 +164,7 @@ def _merge(group: pa.Table) -> pa.Table:
         free[place] = False
         out.append((shard, block, None, [pack_ints(np.asarray(c)) for c in _found(store, wide, keys)],
                     pack_ints(np.packbits(own)), None))
+    give_back()
     return _told(out)
 
 
@@ -200,6 +201,7 @@ def _ask_top(order: int, n_shards: int):
                 keys, at, _ = b.distinct(order, True)
                 counts = np.bincount(at, b.train, len(keys)).astype(np.uint32)
                 yield from _cut_by_range(row["block"], keys, [counts], n_shards)
+                give_back()
 
     return ask
 
@@ -224,6 +226,7 @@ def _ask_lower(m: int, order: int, n_shards: int):
         if m == 1:
             out.append(np.bincount(words, b.train, n))
         batches = list(_cut_by_range(row["block"], keys, [c.astype(np.uint32) for c in out], n_shards))
+        give_back()
         return pa.Table.from_batches(batches)
 
     return ask
@@ -298,6 +301,7 @@ def _score(model_facts: KneserNey, kind: str):
         logs, seen = _scores(b, told, model_facts)
         starts = np.cumsum(b.n_tokens) - b.n_tokens
         base = np.log10((seen + 1.0) / (model_facts.train_tokens + model_facts.vocabulary + 1.0))
+        give_back()
         sums = [np.add.reduceat(x, starts) for x in (logs, base, (seen > 0).astype(np.int64))]
         return pa.table({"doc_id": own["ids"].combine_chunks().flatten(),
                          "train": pa.array(unpack_ints(row["flags"]).astype(bool)),

@@ -7,11 +7,15 @@ is plain numpy and Arrow on one bounded block.
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 _ZSTD = pa.Codec("zstd", compression_level=1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -25,6 +29,13 @@ _SOLID[0xC3:0xE1] = True
 _SOLID[0xE4:0xF5] = True
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def pack_ints(values: np.ndarray) -> bytes:
     """Byte planes of the values, compressed; the type is kept."""
     values = np.ascontiguousarray(values)

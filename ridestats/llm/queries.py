@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from ridestats.llm import bpe, content, jaccard, layouts, licenses, lines, lm, packer, quality, sql, urls, vectors
-from ridestats.llm.common import table
+from ridestats.llm.common import file_of, table
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"))
@@ -25,7 +26,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    ranks = file_of("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
     return digests(encoded, ranks)
 
@@ -61,11 +62,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
-        tokenizer = f.read()
-    return packer.pack(packer.pieces(table(spark, sf_dir, "documents"), tokenizer, 2048), 2048)
+    return packer.pack(packer.pieces(table(spark, sf_dir, "documents"), file_of("word_bpe_49k.json"), 2048), 2048)
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +85,7 @@ def queries() -> dict:
         "op8_quality_rules": op8_quality_rules,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_lm_score": op10_lm_score,
+        "pipeline": corpus_pipeline.run,
     }
 
 
