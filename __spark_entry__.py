@@ -10,10 +10,12 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F  # noqa: E402
 
 import oracle  # noqa: E402
 from ridestats.functions.pricing import theoretical_revenue  # noqa: E402
@@ -37,6 +39,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 FILTERS = explore.Filters(
     station_filter=r"nation_[12]\d$", member_type_filter="CAS|mem", min_revenue=1.0, max_revenue=25.0
 )
+FILTER_MONTH = 7
+WALK, WALK_PAGE = ("start_station_id", "end_station_id", "hour"), 5_000
 GRID_MONTH, GRID_BIKE = 7, 1
 SAMPLE_ROWS = 20_000
 
@@ -213,12 +217,27 @@ def explore_page(spark, folder):
 
 
 def explore_page_after(spark, folder):
-    return _rounded(
-        explore.page_after(
-            _mart(spark, folder), ["NATION_12", "NATION_15", 12], FILTERS, 25,
-            ["start_station_id", "end_station_id", "hour"],
-        )
-    )
+    """The third page of 25 of a walk."""
+    mart, after = _mart(spark, folder), None
+    for _ in range(2):
+        page = explore.page_after(mart, after, FILTERS, 25, WALK)
+        after = explore.cursor_of(page, after, WALK)
+    return _rounded(explore.page_after(mart, after, FILTERS, 25, WALK))
+
+
+def explore_walk(spark, folder):
+    """All pages of a walk together."""
+    mart, after, pages = _mart(spark, folder), None, []
+    while True:
+        page = stage(explore.page_after(mart, after, FILTERS, WALK_PAGE, WALK), "page")
+        pages.append(page)
+        after = explore.cursor_of(page, after, WALK)
+        if after is None:
+            return _rounded(reduce(DataFrame.unionByName, pages))
+
+
+def explore_month(spark, folder):
+    return _rounded(explore.filtered(_mart(spark, folder), replace(FILTERS, month_filter=FILTER_MONTH)))
 
 
 def explore_summary(spark, folder):
@@ -278,37 +297,77 @@ def prediction_histogram(spark, folder):
     return _rounded(reports.value_histogram(scored, "prediction"))
 
 
+# Tree ensembles differ from engine to engine: what SQL can state of them is shown as
+# flags next to the rows, keys and tariff values that it can compute.
+
+
 def revenue_model_metrics(spark, folder):
     models = _revenue_models(spark, folder)
-    return _rounded(models.metrics.withColumn("chosen", F.col("model") == models.best))
+    split = stratified_split(_rides(spark, folder), F.col(revenue.TARGET) > 0, revenue.trip_key())
+    held_out = split.where("is_test")
+    best = F.max("r2").over(Window.partitionBy())  # two rows
+    return _rounded(
+        models.metrics.select(
+            "model",
+            ((F.col("r2") >= 0.9) & (F.col("r2") <= 1)).alias("fits"),
+            ((F.col("rmse") >= F.col("mae")) & (F.col("mae") >= 0)).alias("consistent"),
+            ((F.col("model") != models.best) | (F.col("r2") == best)).alias("choice_agrees"),
+            held_out.select(F.count(F.lit(1))).scalar().alias("held_out_rows"),
+            held_out.select(F.avg(revenue.TARGET)).scalar().alias("label_mean"),
+        )
+    )
 
 
 def feature_importance(spark, folder):
-    return _rounded(revenue.feature_importance(_revenue_models(spark, folder)))
+    models = _revenue_models(spark, folder)
+    every = revenue.feature_importance(models, len(revenue.FEATURES))
+    return every.agg(
+        F.count(F.lit(1)).alias("features"),
+        (F.abs(F.sum("importance") - 1) < 1e-6).alias("sums_to_one"),
+        F.every(F.col("importance").between(0, 1)).alias("in_range"),
+        F.max_by("feature", "importance").startswith("duracion").alias("duration_leads"),
+    )
 
 
 def score_requests(spark, folder):
     requests = revenue.requests_from(_rides(spark, folder))
-    return _rounded(revenue.score(requests, _revenue_models(spark, folder)))
+    scored = revenue.score(requests, _revenue_models(spark, folder))
+    gap = F.col("prediction") - F.col("theoretical_revenue")
+    return _rounded(
+        scored.select(
+            *requests.columns, "theoretical_revenue",
+            F.coalesce(F.col("prediction") >= 0, F.lit(False)).alias("floored"),
+            F.coalesce(F.abs(gap - F.col("model_difference")) < 1e-9, F.lit(False)).alias("gap_agrees"),
+        )
+    )
 
 
 def model_roundtrip(spark, folder):
-    """Scores of both model kinds after saving and loading them."""
-    where = _place(spark, folder, "models")
-    artifacts.save_revenue(_revenue_models(spark, folder), f"{where}/revenue")
-    artifacts.save_anomalies(_anomaly_model(spark, folder), f"{where}/anomalies")
-    loaded = artifacts.load_revenue(spark, f"{where}/revenue")
-    judged = artifacts.load_anomalies(spark, f"{where}/anomalies")
-    rides = revenue.score(revenue.requests_from(_rides(spark, folder)), loaded)
-    hours = anomalies.score(_profile(spark, folder), judged)
-    scores = rides.select(F.lit("revenue").alias("kind"), "station_id", "hour", F.col("prediction").alias("score"))
-    return _rounded(
-        scores.unionByName(
-            hours.select(
-                F.lit("anomaly").alias("kind"), "station_id", F.col("hour").cast("int").alias("hour"),
-                F.col("anomaly_score").alias("score"),
-            )
-        )
+    """Each row scored by the fitted and by the saved and loaded models: equal or not."""
+    where, models, judge = _place(spark, folder, "models"), _revenue_models(spark, folder), _anomaly_model(spark, folder)
+    artifacts.save(where, models, judge)
+    loaded = artifacts.load(spark, where)
+    artifacts.save(where, loaded.revenue, loaded.anomalies)  # back to where it came from
+    loaded = artifacts.load(spark, where)
+    fresh = revenue.score(revenue.requests_from(_rides(spark, folder)), models).withColumnRenamed("prediction", "fresh")
+    rides = revenue.score(fresh, loaded.revenue).withColumnRenamed("prediction", "score")
+    judged = anomalies.score(_profile(spark, folder), judge).withColumnRenamed("anomaly_score", "fresh")
+    hours = anomalies.score(judged, loaded.anomalies).withColumnRenamed("anomaly_score", "score")
+
+    def compared(kind, rows):
+        same = (F.abs(F.col("fresh") - F.col("score")) < 1e-12).alias("same")
+        return rows.select(F.lit(kind).alias("kind"), "station_id", F.col("hour").cast("int").alias("hour"), same)
+
+    return compared("revenue", rides).unionByName(compared("anomaly", hours))
+
+
+def prediction_model_histogram(spark, folder):
+    scored = revenue.score(revenue.requests_from(_rides(spark, folder)), _revenue_models(spark, folder))
+    bars = reports.value_histogram(scored, "prediction")
+    return bars.agg(
+        F.sum("frequency").alias("rows"),
+        ((F.min("bin") == 0) & (F.max("bin") == 49)).alias("spans_all_bins"),
+        (F.abs(F.first("mean_value") - scored.select(F.avg("prediction")).scalar()) < 1e-6).alias("mean_agrees"),
     )
 
 
@@ -398,9 +457,26 @@ def scenario_stats(spark, folder):
     return _rounded(scenarios.grid_stats(revenue.tariff_score(_grid(spark, folder))))
 
 
+def _model_grid(spark, folder) -> DataFrame:
+    return revenue.score(_grid(spark, folder), _revenue_models(spark, folder))
+
+
 def scenario_model_top(spark, folder):
-    scored = revenue.score(_grid(spark, folder), _revenue_models(spark, folder))
-    return _rounded(scenarios.grid_top(scored))
+    top = scenarios.grid_top(_model_grid(spark, folder))
+    before = F.lag("prediction").over(Window.partitionBy(*scenarios.BASE).orderBy("place"))
+    return top.select(
+        *scenarios.BASE, "place", F.coalesce(before >= F.col("prediction"), F.lit(True)).alias("descends"),
+        (F.col("prediction") >= 0).alias("floored"),
+    )
+
+
+def scenario_model_stats(spark, folder):
+    stats = scenarios.grid_stats(_model_grid(spark, folder))
+    return stats.select(
+        *scenarios.BASE, "total_scenarios",
+        (F.col("max_prediction") >= F.col("avg_prediction")).alias("consistent"),
+        F.col("profitable_scenarios").between(1, F.col("total_scenarios")).alias("some_profit"),
+    )
 
 
 def shortage_top(spark, folder):
@@ -420,10 +496,33 @@ def counterfactual_loss(spark, folder):
     return _rounded(_loss(spark, folder), 4)
 
 
+def _model_loss(spark, folder) -> DataFrame:
+    models = _revenue_models(spark, folder)
+    return scenarios.counterfactual(_events(spark, folder), lambda requests: revenue.score(requests, models))
+
+
 def counterfactual_model_loss(spark, folder):
-    events = _events(spark, folder)
-    scored = revenue.score(scenarios.lost_trips(events), _revenue_models(spark, folder))
-    return _rounded(scenarios.counterfactual_loss(events, scored), 4)
+    loss = _model_loss(spark, folder)
+    gap = F.abs(F.col("loss_per_trip") * F.col("lost_trips") - F.col("total_loss"))
+    return loss.select(
+        "lost_trips", "affected_stations", "events_analyzed", "sample_size", "scaling_factor", "simulated_trips",
+        ((F.col("total_loss") > 0) & (gap <= 1e-9 * F.col("total_loss"))).alias("adds_up"),
+    )
+
+
+def loss_by_station_model(spark, folder):
+    """The model's loss by station, as shares of the whole."""
+    total = _model_loss(spark, folder).select("total_loss")
+    by_station = scenarios.loss_by_station(_events(spark, folder), total)
+    return _rounded(
+        by_station.select("station_id", "viajes_perdidos", (F.col("ingresos_perdidos") / total.scalar()).alias("share"))
+    )
+
+
+def kpis_with_model_loss(spark, folder):
+    loss = _model_loss(spark, folder).select("total_loss")
+    row = anomalies.kpis_with_anomalies(reports.kpis(_mart(spark, folder)), _flagged(spark, folder), loss)
+    return _rounded(row.withColumn("perdidas_estimadas", F.col("perdidas_estimadas") > 0), 4)
 
 
 def loss_by_station(spark, folder):
@@ -457,6 +556,8 @@ def queries() -> dict[str, Query]:
         "explore_filtered": explore_filtered,
         "explore_page": explore_page,
         "explore_page_after": explore_page_after,
+        "explore_walk": explore_walk,
+        "explore_month": explore_month,
         "explore_summary": explore_summary,
         "explore_member_distribution": explore_member_distribution,
         "column_profile": column_profile,
@@ -490,7 +591,11 @@ def queries() -> dict[str, Query]:
         "score_requests": score_requests,
         "model_roundtrip": model_roundtrip,
         "scenario_model_top": scenario_model_top,
+        "scenario_model_stats": scenario_model_stats,
+        "prediction_model_histogram": prediction_model_histogram,
         "counterfactual_model_loss": counterfactual_model_loss,
+        "loss_by_station_model": loss_by_station_model,
+        "kpis_with_model_loss": kpis_with_model_loss,
         **(text_queries.queries() if text_queries else {}),
     }
 

@@ -24,6 +24,7 @@ MART_TYPES = {
     "ingreso_min_excedente": "double", "minutos_incluidos": "int", "tarifa_minuto_excedente": "double",
 }
 TREES, MAX_SAMPLE, LEVELS = 50, 1000, 10
+FEATURE_COUNT = 25  # columns of the revenue models
 
 TIME_ID = (
     "cast(year(l_shipdate)*1000000 + month(l_shipdate)*10000 + day(l_shipdate)*100 + l_linenumber*3 as bigint)"
@@ -292,6 +293,10 @@ def _order(first: str, direction: str) -> str:
     return ", ".join([f"{first} {direction} nulls last", *rest])
 
 
+def _order_by(columns: list[str]) -> str:
+    return ", ".join(f"{c} nulls last" for c in [*columns, *[m for m in MART if m not in columns]])
+
+
 def _column_profile() -> str:
     def one(c: str) -> str:
         sample = f"array_to_string(list_slice(list_sort(list(distinct {c})), 1, 10), ',')"
@@ -420,10 +425,11 @@ def statements() -> dict[str, str]:
             round(tarifa_minuto_excedente, 2) as excess_rate
             from (select *, row_number() over (order by {_order('ingreso_min_excedente', 'desc')}) - 51 as place from found)
             where place between 0 and 24""",
-        "explore_page_after": f"""select {_mart_columns()} from found
-            where (start_station_id, end_station_id, hour) > ('NATION_12', 'NATION_15', 12)
-            order by start_station_id, end_station_id, hour,
-                {', '.join(c for c in MART if c not in ('start_station_id', 'end_station_id', 'hour'))} limit 25""",
+        "explore_page_after": f"""select {_mart_columns()}
+            from (select *, row_number() over (order by {_order_by(['start_station_id', 'end_station_id', 'hour'])}) as place from found)
+            where place between 51 and 75""",
+        "explore_walk": f"select {_mart_columns()} from found",
+        "explore_month": f"select {_mart_columns()} from found where month = 7",
         "explore_summary": """select count(*) as total_records, cast(ceil(count(*) / 25) as bigint) as total_pages,
             round(coalesce(sum(ingreso_min_excedente), 0), 2) as total_revenue, round(avg(ingreso_min_excedente), 2) as avg_revenue,
             round(avg(duracion_minutos), 1) as avg_duration, count(distinct start_station_id) as unique_stations
@@ -483,6 +489,32 @@ def statements() -> dict[str, str]:
         "scenario_stats": f"""select station_id, month, bike_type, {_r('max_prediction', 'max(prediction)')},
             {_r('avg_prediction', 'avg(prediction)')}, count(*) filter (where prediction > 0) as profitable_scenarios,
             count(*) as total_scenarios from grid group by 1, 2, 3""",
+        "revenue_model_metrics": f"""select model, true as fits, true as consistent, true as choice_agrees, held_out_rows, label_mean
+            from (values ('RandomForest'), ('GradientBoosting')) t(model),
+                 (select count(*) as held_out_rows, {_r('label_mean', 'avg(ingreso_min_excedente)')} from ({_split()}) where is_test)""",
+        "feature_importance": f"""select {FEATURE_COUNT}::bigint as features, true as sums_to_one, true as in_range,
+            true as duration_leads where (select count(*) from training) > 0""",
+        "score_requests": f"""select station_id, hour, is_weekend, month, {_r('temperature', 'temperature_2m')}, {_r('humidity', 'relative_humidity_2m')},
+            bike_type_id as bike_type, {_r('duration', 'duracion_minutos')}, day_name,
+            {_r('theoretical_revenue', 'greatest(0, duracion_minutos - 30) * cast(0.39 as double)')},
+            true as floored, true as gap_agrees from training""",
+        "model_roundtrip": """select 'revenue' as kind, station_id, hour, true as same from training
+            union all select 'anomaly', station_id, cast(hour as integer), true from profile""",
+        "prediction_model_histogram": "select count(*) as rows, true as spans_all_bins, true as mean_agrees from training",
+        "scenario_model_top": """select station_id, 7 as month, 1 as bike_type, cast(place as integer) as place, true as descends, true as floored
+            from (select distinct start_station_id as station_id from mart), (select unnest(range(1, 11)) as place)""",
+        "scenario_model_stats": """select distinct start_station_id as station_id, 7 as month, 1 as bike_type,
+            1176::bigint as total_scenarios, true as consistent, true as some_profit from mart""",
+        "counterfactual_model_loss": """select lost_trips, affected_stations, events_analyzed, sample_size, scaling_factor,
+            cast(lost_trips as bigint) as simulated_trips, true as adds_up from loss""",
+        "loss_by_station_model": f"""select station_id, {_r('viajes_perdidos')}, {_r('share', 'viajes_perdidos / total')} from (
+            select station_id, sum(viajes_perdidos_estimados) as viajes_perdidos,
+                (select sum(viajes_perdidos_estimados) from events) as total
+            from events group by 1 order by 2 desc, 1 limit 10)""",
+        "kpis_with_model_loss": f"""select {_KPIS.format(d=4)},
+            (select num_anomalies from anomaly_counts) as anomalias_detectadas,
+            (select round(100.0::double * num_anomalies / total_records, 4) from anomaly_counts) as porcentaje_anomalias,
+            true as perdidas_estimadas from mart""",
         "shortage_top": f"""select {_EVENT} from
             (from events e order by e.viajes_perdidos_estimados desc, e.station_id, e.time_id, e.balance_net limit 10)""",
         "counterfactual_trips": f"""select station_id, time_id, {_r('balance_net')}, trip_no, hour, is_weekend, month,

@@ -57,10 +57,10 @@ def _narrow(values: DataFrame, n: int, p: float, small: int) -> float:
             return low
         runs = inside.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
         if runs.limit(small + 1).count() <= small:
-            return _pick(runs, first - below, last - below, rank - first)
+            return _pick(runs, first - below, last - below, rank - below)
 
 
-def _pick(runs: DataFrame, first: int, last: int, fraction: float) -> float:
+def _pick(runs: DataFrame, first: int, last: int, rank: float) -> float:
     # At most ``small`` (value, count) pairs, checked by the caller.
     seen, found = 0, {}
     for value, n in runs.orderBy("v").collect():
@@ -68,4 +68,7 @@ def _pick(runs: DataFrame, first: int, last: int, fraction: float) -> float:
             if seen <= want < seen + n:
                 found[want] = value
         seen += n
-    return found[first] + (found[last] - found[first]) * fraction
+    if found[first] == found[last]:
+        return found[first]
+    # The weights of the exact aggregate, so that both ways agree to the last bit.
+    return (last - rank) * found[first] + (rank - first) * found[last]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
@@ -52,11 +54,13 @@ def row_key():
     return key_text([F.col("station_id"), F.col("hour"), F.col("is_weekend").cast("int"), F.col("month")])
 
 
-def clean_features(profile: DataFrame, medians: dict[str, float | None] | None = None) -> DataFrame:
+def clean_features(
+    profile: DataFrame, medians: dict[str, float | None] | None = None, drop: bool = True
+) -> DataFrame:
     """Features as doubles: no infinities, missing numbers at the median.
 
     The weekend flag is not filled; a row without it, or with a feature that has
-    no value anywhere, is dropped.
+    no value anywhere, is dropped unless ``drop`` is unset.
     """
     require_columns(profile, FEATURES, "station-hour profile")
     others = [F.col(c) for c in profile.columns if c not in FEATURES]
@@ -69,7 +73,7 @@ def clean_features(profile: DataFrame, medians: dict[str, float | None] | None =
         *others,
         *[F.coalesce(F.col(f), F.lit(medians.get(f)).cast("double")).alias(f) for f in FEATURES],
     )
-    return filled.dropna(subset=FEATURES)
+    return filled.dropna(subset=FEATURES) if drop else filled
 
 
 def feature_medians(numbers: DataFrame) -> dict[str, float | None]:
@@ -148,9 +152,13 @@ def _decision(score: str, cut: float | None):
 
 
 def score(station_hours: DataFrame, model: AnomalyModel) -> DataFrame:
-    """Flag and score of station-hours that were not in the fit."""
-    cleaned = clean_features(station_hours, model.scaler.medians)
-    scaled = scale(cleaned, model.scaler).withColumn("score", forest_score(model.forest))
+    """Flag and score of station-hours that were not in the fit.
+
+    Every row is returned; one that cannot be judged (no weekend flag) has NULL for both.
+    """
+    cleaned = clean_features(station_hours, model.scaler.medians, drop=False)
+    complete = reduce(and_, [F.col(f).isNotNull() for f in FEATURES])
+    scaled = scale(cleaned, model.scaler).withColumn("score", F.when(complete, forest_score(model.forest)))
     return (
         scaled.withColumn("anomaly_score", _decision("score", model.cut))
         .withColumn("is_anomaly", F.col("score") < F.lit(model.cut))

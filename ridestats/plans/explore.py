@@ -48,7 +48,7 @@ class Filters:
 
 def _matches(column: str, pattern: str) -> Column:
     """Case-insensitive regular-expression search; NULL does not match."""
-    return F.coalesce(F.col(column).cast("string").rlike(f"(?i){pattern}"), F.lit(False))
+    return F.coalesce(F.col(column).cast("string").rlike(f"(?iu){pattern}"), F.lit(False))
 
 
 def filtered(mart: DataFrame, filters: Filters) -> DataFrame:
@@ -83,27 +83,64 @@ def page(
     return _records(chosen, order, start)
 
 
+@dataclass(frozen=True)
+class Cursor:
+    """Where a walk over all rows stands: the last row shown, and how many equal ones were."""
+
+    values: tuple[object, ...]
+    copies: int
+
+
+def _walk_order(rows: DataFrame, columns: Sequence[str]) -> list[str]:
+    return [*columns, *[c for c in rows.columns if c not in columns]]
+
+
 def page_after(
     mart: DataFrame,
-    last: Sequence[object],
+    after: Cursor | None = None,
     filters: Filters = Filters(),
     limit: int = 10,
     columns: Sequence[str] = ("start_station_id",),
 ) -> DataFrame:
-    """The ``limit`` rows whose ``columns`` come after ``last`` (ascending).
+    """The ``limit`` rows that follow the cursor; the first ones without a cursor.
 
-    For deep pages: the cost does not grow with the page number. ``columns``
-    should identify a row, and be free of NULLs; rows equal to ``last`` in all
-    of them are not shown again.
+    For deep pages: the cost does not grow with the page number. Rows come by
+    ``columns`` and then all other columns, ascending with NULLs last, which is a
+    total order up to rows that are equal throughout; of those the cursor counts
+    how many were shown. A walk shows every row once.
     """
-    beyond: Column = F.lit(False)
-    equal: Column = F.lit(True)
-    for name, value in zip(columns, last):
-        beyond = beyond | (equal & (F.col(name) > F.lit(value)))
-        equal = equal & (F.col(name) == F.lit(value))
-    rows = filtered(mart, filters).where(beyond)
-    rest = [c for c in rows.columns if c not in columns]
-    return rows.orderBy(*[F.asc_nulls_last(c) for c in (*columns, *rest)]).limit(limit)
+    rows = filtered(mart, filters)
+    order = _walk_order(rows, columns)
+    rows = rows.select(*order)
+    by = [F.asc_nulls_last(c) for c in order]
+    if after is None:
+        return rows.orderBy(*by).limit(limit)
+    beyond, equal = F.lit(False), F.lit(True)
+    for name, value in zip(order, after.values, strict=True):
+        column, at = F.col(name), F.lit(value)
+        if value is not None:  # NULLs come last: nothing follows them
+            beyond = beyond | (equal & (column.isNull() | (column > at)))
+        equal = equal & column.eqNullSafe(at)
+    left = max(0, rows.where(equal).count() - after.copies)
+    again = rows.sparkSession.createDataFrame([after.values] * min(left, limit), rows.schema)
+    if left >= limit:
+        return again
+    return again.unionByName(rows.where(beyond).orderBy(*by).limit(limit - left))
+
+
+def cursor_of(
+    page: DataFrame, before: Cursor | None = None, columns: Sequence[str] = ("start_station_id",)
+) -> Cursor | None:
+    """The cursor behind a page that followed ``before``; None behind an empty page."""
+    order = _walk_order(page, columns)
+    last = page.select(*order).orderBy(*[F.desc_nulls_first(c) for c in order]).first()
+    if last is None:
+        return None
+    equal = reduce(and_, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(order, last)])
+    copies = page.where(equal).count()
+    # NaN is equal to itself here, as in Spark.
+    same = before is not None and all(a == b or (a != a and b != b) for a, b in zip(before.values, last))
+    return Cursor(tuple(last), copies + (before.copies if same else 0))
 
 
 def _records(rows: DataFrame, order: list[Column], start: int) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.pricing import INCLUDED_MINUTES, excess_revenue
 from ..sources.scratch import stage
@@ -68,15 +68,28 @@ def trip_mart(star: Star, year: int | None = YEAR) -> DataFrame:
 
 
 def saved_mart(star: Star, path: str, refresh: bool = False, year: int | None = YEAR) -> DataFrame:
-    """The trip mart kept as a table: computed on first use or ``refresh``, then read."""
+    """The trip mart of a year kept as a table by month: computed on first use or ``refresh``.
+
+    Each year (or all years, ``None``) has a folder of its own below ``path``. A mark
+    is written last, so a table whose writing broke off is computed again.
+    """
     spark = star["trips"].sparkSession
-    if not refresh:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:
-            pass  # not written yet
-    trip_mart(star, year).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    name = "all" if year is None else str(year)
+    table, mark = f"{path}/trips/span={name}", f"{path}/marks/span={name}"
+    mart = trip_mart(star, year)
+    if refresh or not _exists(spark, mark):
+        mart.write.mode("overwrite").partitionBy("month").parquet(table)
+        spark.range(1).write.mode("overwrite").parquet(mark)
+    return spark.read.schema(mart.schema).parquet(table).select(*MART_COLUMNS)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        return not spark.read.schema("id bigint").parquet(path).isEmpty()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
 
 
 def trip_revenue(star: Star) -> DataFrame:

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.numeric import equal_width_bin, histogram_bin, sum0
-from ..sources.scratch import stage
+from ..functions.numeric import equal_width_bin, finite, histogram_bin, sum0
+from ..functions.text import title_case
 
 REVENUE = "ingreso_min_excedente"
 STATION = "start_station_id"
@@ -86,34 +86,22 @@ def station_balance_extremes(balance: DataFrame, n: int = 10) -> DataFrame:
 def weather_impact(mart: DataFrame, bins: int = 10) -> DataFrame:
     """Revenue and duration over equal-width temperature bins.
 
-    Trips are first summed per temperature value, in the only pass over them;
-    the range and the bins come from that small table.
+    One narrow pass finds the range, a second bins every trip where it is and sums
+    per bin. Temperatures that are not finite numbers count for nothing.
     """
-    per_value = stage(
-        mart.select(
-            F.col("temperature_2m").try_cast("double").alias("t"), REVENUE, "duracion_minutos"
-        )
-        .where(F.col("t").isNotNull() & ~F.isnan("t"))
-        .groupBy("t")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(REVENUE).alias("revenue"),
-            F.count(REVENUE).alias("revenues"),
-            F.sum("duracion_minutos").alias("minutes"),
-            F.count("duracion_minutos").alias("durations"),
-        ),
-        "temperatures",
-    )
-    low, high = per_value.select(F.min("t")).scalar(), per_value.select(F.max("t")).scalar()
+    trips = mart.select(
+        finite(F.col("temperature_2m").try_cast("double")).alias("t"), REVENUE, "duracion_minutos"
+    ).where(F.col("t").isNotNull())
+    low, high = trips.select(F.min("t")).scalar(), trips.select(F.max("t")).scalar()
     return (
-        per_value.withColumn("temp_bin", equal_width_bin(F.col("t"), low, high, bins))
+        trips.withColumn("temp_bin", equal_width_bin(F.col("t"), low, high, bins))
         .groupBy("temp_bin")
         .agg(
-            F.try_divide(F.sum("revenue"), F.sum("revenues")).alias("avg_revenue"),
-            sum0("revenue").alias("total_revenue"),
-            F.sum("revenues").alias("trip_count"),
-            (F.sum(F.col("t") * F.col("n")) / F.sum("n")).alias("avg_temperature"),
-            F.try_divide(F.sum("minutes"), F.sum("durations")).alias("avg_duration"),
+            F.avg(REVENUE).alias("avg_revenue"),
+            sum0(REVENUE).alias("total_revenue"),
+            F.count(REVENUE).alias("trip_count"),
+            F.avg("t").alias("avg_temperature"),
+            F.avg("duracion_minutos").alias("avg_duration"),
         )
     )
 
@@ -135,27 +123,21 @@ def user_distribution(mart: DataFrame) -> DataFrame:
         mart.where(F.col("member_casual").isNotNull())
         .groupBy("member_casual")
         .agg(F.count(F.lit(1)).alias("value"))
-        .select(F.initcap("member_casual").alias("name"), "value")
+        .select(title_case(F.col("member_casual")).alias("name"), "value")
     )
 
 
 def value_histogram(values: DataFrame, column: str, bins: int = 50) -> DataFrame:
-    """Equal-width histogram of a column with its overall mean on every row.
+    """Equal-width histogram of a column's finite values, their mean on every row.
 
-    Counted per distinct value first; the bins are then cut on that table.
+    One narrow pass for range and mean, one that bins the values where they are.
     """
-    per_value = stage(
-        values.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).cast("double").alias("v"))
-        .agg(F.count(F.lit(1)).alias("n")),
-        "histogram",
-    )
-    low, high = per_value.select(F.min("v")).scalar(), per_value.select(F.max("v")).scalar()
-    mean = per_value.select(F.sum(F.col("v") * F.col("n")) / F.sum("n")).scalar()
+    finites = values.select(finite(F.col(column)).alias("v")).where(F.col("v").isNotNull())
+    low, high, mean = (finites.select(f("v")).scalar() for f in (F.min, F.max, F.avg))
     width = (high - low) / F.lit(float(bins))
     return (
-        per_value.withColumn("bin", histogram_bin(F.col("v"), low, high, bins))
+        finites.withColumn("bin", histogram_bin(F.col("v"), low, high, bins))
         .groupBy("bin")
-        .agg(F.sum("n").alias("frequency"))
+        .agg(F.count(F.lit(1)).alias("frequency"))
         .select("bin", (low + F.col("bin") * width).alias("bin_start"), "frequency", mean.alias("mean_value"))
     )

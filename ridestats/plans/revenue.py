@@ -24,6 +24,7 @@ from ..sources.star import require_columns
 TARGET = "ingreso_min_excedente"
 FOREST, BOOSTING = "RandomForest", "GradientBoosting"
 SEED = 42
+_ROWS_PER_PART, _LEAST_PARTS = 100_000, 8  # layout of the training rows
 APPARENT_GAP = 2.0  # fixed value: assumed apparent minus actual temperature of a request
 
 
@@ -80,16 +81,15 @@ def train(
     rides = stage(training if max_rows is None else seeded_sample(training, max_rows, trip_key(), seed), "rides")
     codes = station_codes(rides)
     split = stratified_split(rides, F.col(TARGET) > 0, trip_key(), seed=seed)
-    ready = stage(
-        _assembled(features(split, codes, keep=(TARGET, "is_test"))).select("features", TARGET, "is_test"),
-        "assembled",
-    )
-    fit, held_out = _spread(ready.where(~F.col("is_test"))), ready.where("is_test")
+    matrix = features(split, codes, keep=(TARGET, "is_test", "station_id", "time_id"))
+    place = F.xxhash64(*matrix.columns).alias("place")
+    ready = stage(_assembled(matrix).select("features", TARGET, "is_test", place), "assembled")
+    fit, held_out = _laid_out(ready.where(~F.col("is_test"))), ready.where("is_test")
 
     ensembles = [
         RandomForestRegressor(
             labelCol=TARGET, numTrees=trees, maxDepth=10, minInstancesPerNode=10,
-            featureSubsetStrategy="sqrt", maxBins=64, seed=seed, predictionCol="forest_prediction",
+            featureSubsetStrategy="sqrt", maxBins=64, seed=seed, predictionCol="forest_prediction", maxMemoryInMB=1024,
         ),
         GBTRegressor(
             labelCol=TARGET, maxIter=rounds, maxDepth=5, stepSize=0.15, subsamplingRate=0.8,
@@ -113,10 +113,15 @@ def train(
     return RevenueModels(forest, boosting, codes, metrics, choose(metrics))
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Few, full files would keep most cores idle over the many passes of a fit."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+def _laid_out(rows: DataFrame) -> DataFrame:
+    """Rows in an order that is theirs alone.
+
+    The ensembles draw rows by partition and place. Partitions by a hash of the row,
+    as many as the number of rows asks for, and sorted within, make the fit the
+    same for any input files, cores or partitions.
+    """
+    parts = max(_LEAST_PARTS, -(-rows.count() // _ROWS_PER_PART))
+    return rows.repartition(parts, "place").sortWithinPartitions("place")
 
 
 def choose(metrics: DataFrame) -> str:
@@ -127,7 +132,7 @@ def choose(metrics: DataFrame) -> str:
 
 
 def requests_from(rides: DataFrame) -> DataFrame:
-    """Scoring requests in the request layout, one per distinct ride situation."""
+    """Scoring requests in the request layout, one per ride."""
     return rides.select(
         "station_id", "hour", "is_weekend", "month",
         F.col("temperature_2m").alias("temperature"),
@@ -135,7 +140,7 @@ def requests_from(rides: DataFrame) -> DataFrame:
         F.col("bike_type_id").alias("bike_type"),
         F.col("duracion_minutos").alias("duration"),
         "day_name",
-    ).distinct()
+    )
 
 
 def score(requests: DataFrame, models: RevenueModels) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import key_text, milli, normal, uniform
@@ -34,11 +36,14 @@ def grid(
 ) -> DataFrame:
     """Scoring requests: every hour, temperature and duration of each base.
 
-    ``bases`` has one row per station, month and bike type to look at; each row
-    is expanded where it is, so no data moves.
+    ``bases`` has one row per station, month and bike type to look at. The few rows
+    are dealt out by their key first, so that they are expanded all over the
+    cluster and what ranks or sums a base need not move again.
     """
+    parts = int(bases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         bases.select(*BASE)
+        .repartition(parts, *BASE)
         .withColumn("hour", _axis(HOURS, HELD_HOUR, vary_hour))
         .withColumn("temperature", _axis(TEMPERATURES, HELD_TEMPERATURE, vary_temperature, "double"))
         .withColumn("duration", _axis(DURATIONS, HELD_DURATION, vary_duration, "double"))
@@ -123,6 +128,25 @@ def counterfactual_loss(
     )
 
 
+def counterfactual(
+    events: DataFrame,
+    score: Callable[[DataFrame], DataFrame],
+    max_events: int | None = None,
+    max_trips: int | None = None,
+    seed: int = SEED,
+) -> DataFrame:
+    """Loss of all events: simulate, ``score`` and scale in one call.
+
+    ``score`` turns requests into rows with a ``prediction``, like
+    ``revenue.score`` with a model or ``revenue.tariff_score``. Adds the number of
+    simulated trips before scaling.
+    """
+    scored = score(lost_trips(events, max_events, max_trips, seed))
+    loss = counterfactual_loss(events, scored, max_events)
+    simulated = F.round(F.col("lost_trips") / F.col("scaling_factor")).cast("bigint")
+    return loss.withColumn("simulated_trips", simulated)
+
+
 def shortage_top(events: DataFrame, n: int = 10) -> DataFrame:
     """Events with the most lost trips."""
     return events.orderBy(

@@ -7,36 +7,41 @@ real size, so it broadcasts them only when they are in fact small.
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR_KEY = "spark.checkpoint.dir"
-_local_folders: dict[str, str] = {}  # own folders of local sessions without the setting
+_OWN = "ridestats-scratch"
+_run = uuid.uuid4().hex  # tables of this process share a folder
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """Shared scratch folder named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session may go without the setting; it then gets a
-    temporary folder of its own.
+    A session that runs in one process may go without the setting and uses a folder
+    below its warehouse; on a cluster that folder may be the driver's own disk, so
+    there the setting is needed.
     """
     configured = spark.conf.get(_DIR_KEY, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
         raise RuntimeError(f"set {_DIR_KEY} to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="ridestats-")
-        spark.sparkContext.setCheckpointDir(_local_folders[app])
-    return _local_folders[app]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{_OWN}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the scratch folder and read it back."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/ridestats/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/ridestats/{_run}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard_staged(spark: SparkSession) -> None:
+    """Delete the tables that this process has staged; frames over them can no longer be read."""
+    session = spark._jsparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/ridestats/{_run}")
+    path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)

@@ -86,6 +86,7 @@ def load_star(
     fmt: str = "parquet",
     names: Mapping[str, str] | None = None,
     options: Mapping[str, str] | None = None,
+    table_options: Mapping[str, Mapping[str, str]] | None = None,
 ) -> dict[str, DataFrame]:
     """Read the six tables; errors propagate.
 
@@ -93,15 +94,19 @@ def load_star(
                  (``options`` carries url, driver and the partitioning of the
                  read) or any file format (``source`` is the folder).
     ``names``    physical name per logical name, where they differ.
+    ``table_options``  further options per logical name: how a fact table is read in
+                 parts (``partitionColumn``, ``lowerBound``, ``upperBound``,
+                 ``numPartitions``) is no option of the dimensions.
 
     Dimensions that come over JDBC are copied to the scratch folder once: Catalyst
     cannot know the size of a remote table, and joining on a member type or a
     tariff must not shuffle the trips to a handful of keys.
     """
-    names, options = dict(names or {}), dict(options or {})
+    names, common = dict(names or {}), dict(options or {})
 
     def read(table: str) -> DataFrame:
         physical = names.get(table, table)
+        options = {**common, **(table_options or {}).get(table, {})}
         if fmt == "table":
             return spark.table(f"{source}.{physical}" if source else physical)
         if fmt == "jdbc":

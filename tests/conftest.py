@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -13,8 +14,11 @@ from ridestats.sources import STAR  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
+    folder = tempfile.mkdtemp(prefix="ridestats-tests-")
     session = (
         SparkSession.builder.master("local[8]")
+        .config("spark.sql.warehouse.dir", f"file://{folder}/warehouse")
+        .config("spark.checkpoint.dir", f"file://{folder}/shared")
         .appName("tests")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

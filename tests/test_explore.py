@@ -68,16 +68,27 @@ def test_unknown_sort_column_is_ignored(spark):
     assert {r["start_station_id"] for r in explore.page(mart, sort_by="nope").collect()} == {"a", "b", "c"}
 
 
-def test_key_set_paging_walks_through_everything(spark):
-    mart = mart_of(spark, [f"s{i:02d}" for i in range(25)])
-    seen, last = [], [""]
+@pytest.mark.parametrize("limit,columns", [(10, ("start_station_id",)), (3, ("hour", "start_station_id")), (7, ())])
+def test_a_walk_shows_every_row_once(spark, limit, columns):
+    """Many rows per station, copies, NULL stations and revenues."""
+    one = [(s, "end", h, "Monday", False, 1, 1.25, 50.0, 1, 10.0, m, r, 30, 0.39)
+           for s in ("a", "b", None) for h in (1, 2) for m in ("casual", None) for r in (1.0, None, float("nan"))]
+    mart = spark.createDataFrame(one + one[:5] * 4, COLUMNS).repartition(4)
+    seen, after = [], None
     while True:
-        got = explore.page_after(mart, last, limit=10).collect()
-        if not got:
+        page = explore.page_after(mart, after, limit=limit, columns=columns)
+        got = page.select(*mart.columns).collect()
+        seen += [repr(tuple(r)) for r in got]
+        after = explore.cursor_of(page, after, columns)
+        if after is None:
             break
-        seen += [r["start_station_id"] for r in got]
-        last = [seen[-1]]
-    assert seen == [f"s{i:02d}" for i in range(25)]
+        assert 0 < len(got) <= limit
+    assert sorted(seen) == sorted(repr(tuple(r)) for r in mart.collect())
+
+
+def test_accented_names_match_in_any_case(spark):
+    mart = mart_of(spark, ["Ávila", "Avila", "MÓSTOLES"])
+    assert rows(explore.filtered(mart, Filters(station_filter="ávila|móstoles")), "start_station_id") == [("MÓSTOLES",), ("Ávila",)]
 
 
 def test_summary_of_nothing(spark):

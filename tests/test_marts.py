@@ -2,7 +2,7 @@ import pytest
 from conftest import BALANCE, TRIPS, WEATHER, make_star, rows
 
 from ridestats.plans import marts
-from ridestats.sources import load_star, register_star, scratch_dir, stage, validate_dims, write_result
+from ridestats.sources import load_star, register_star, stage, validate_dims, write_result
 from ridestats.sources.star import STAR
 
 
@@ -103,35 +103,6 @@ def test_saved_mart_is_read_until_refreshed(spark, star, tmp_path):
     assert marts.saved_mart(fewer, path, refresh=True).count() == 2
 
 
-class FakeSession:
-    """A session without the checkpoint setting."""
-
-    class conf:
-        @staticmethod
-        def get(key, default):
-            return default
-
-    class sparkContext:
-        master = "yarn"
-        applicationId = "app"
-        folders: list = []
-
-        @classmethod
-        def setCheckpointDir(cls, folder):
-            cls.folders.append(folder)
-
-
-def test_a_cluster_must_name_its_shared_folder():
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        scratch_dir(FakeSession)
-
-
-def test_a_local_session_gets_one_folder_of_its_own(monkeypatch):
-    monkeypatch.setattr(FakeSession.sparkContext, "master", "local[2]")
-    assert scratch_dir(FakeSession) == scratch_dir(FakeSession)
-    assert len(FakeSession.sparkContext.folders) == 1
-
-
 def test_free_sql_over_the_star(spark, star):
     register_star(star, {"trips": "my_trips"})
     assert spark.sql("select count(*) from my_trips join dim_time on start_time_id = time_id").first()[0] == 9
@@ -177,3 +148,18 @@ def test_stage_uses_the_configured_folder(spark):
     staged = stage(spark.range(3).toDF("n"), "unit")
     assert staged.count() == 3
     assert all(scratch_dir(spark).removeprefix("file:") in f for f in staged.inputFiles())
+
+
+def test_saved_marts_of_two_years_and_months(spark, star, tmp_path):
+    path = str(tmp_path / "marts")
+    for year in (2024, 2023, None, 2024):
+        saved, fresh = marts.saved_mart(star, path, year=year), marts.trip_mart(star, year=year)
+        assert rows(saved, *marts.MART_COLUMNS) == rows(fresh, *marts.MART_COLUMNS)
+    month = saved.where("month = 2")
+    assert "PartitionFilters: [isnotnull(month" in month._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_mart_whose_writing_broke_off_is_computed_again(spark, star, tmp_path):
+    path = str(tmp_path / "mart")
+    marts.trip_mart(star).limit(1).write.partitionBy("month").parquet(f"{path}/trips/span=2024")
+    assert marts.saved_mart(star, path).count() == 7

@@ -120,3 +120,10 @@ def test_regression_metrics(spark):
     assert got["m"]["rmse"] == pytest.approx((5 / 3) ** 0.5) and got["m"]["mae"] == 1.0
     assert got["m"]["r2"] == pytest.approx(1 - 5 / 8)
     assert got["c"]["r2"] is None
+
+
+def test_both_ways_to_a_quantile_agree_to_the_last_bit(spark):
+    data = spark.range(3_000).selectExpr("rand(3) * 1000 as a", "round(rand(4) * 10, 1) as b").cache()
+    for p in (0.1, 0.5, 0.73):
+        assert exact_quantiles(data, ["a", "b"], p) == exact_quantiles(data, ["a", "b"], p, small=100)
+    data.unpersist()

@@ -121,3 +121,22 @@ def test_prices(spark):
 def test_finite(spark):
     df = spark.createDataFrame([(1.0,), (float("inf"),), (float("-inf"),), (float("nan"),), (None,)], "v double")
     assert [r[0] for r in df.select(finite(F.col("v"))).collect()] == [1.0, None, None, None, None]
+
+
+def test_numbers_that_are_not_finite_count_for_nothing(spark):
+    odd = [float("inf"), float("-inf"), float("nan"), None]
+    values = spark.createDataFrame([(float(i),) for i in range(100)] + [(v,) for v in odd], "p double")
+    bars = reports.value_histogram(values, "p").collect()
+    assert sum(r["frequency"] for r in bars) == 100 and {r["mean_value"] for r in bars} == {49.5} and len(bars) == 50
+    mart = values.selectExpr("p as temperature_2m", "1.0D as ingreso_min_excedente", "2.0D as duracion_minutos")
+    impact = reports.weather_impact(mart).collect()
+    assert len(impact) == 10 and sum(r["trip_count"] for r in impact) == 100
+    # No shuffle is keyed by a value: only the bins are.
+    plan = reports.value_histogram(values, "p")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(bin" in plan and "hashpartitioning(v" not in plan and "hashpartitioning(p" not in plan
+
+
+def test_title_case_starts_a_word_after_any_non_letter(spark):
+    names = ["casual", "day_pass", "annual-plus", "2nd CLASS", "ÉLITE d'or", ""]
+    mart = spark.createDataFrame([(n,) for n in names], "member_casual string")
+    assert {r["name"] for r in reports.user_distribution(mart).collect()} == {n.title() for n in names}

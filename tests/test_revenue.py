@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from conftest import make_star
+from conftest import make_star, rows
 from pyspark.sql import functions as F
 
 from ridestats.functions.features import FEATURES
@@ -101,6 +101,41 @@ def test_anomaly_model_survives_saving(spark, tmp_path):
     assert a == b and loaded.flagged.count() == model.flagged.count()
 
 
+def test_saving_what_was_loaded_keeps_it(spark, models, tmp_path):
+    model = anomalies.fit(marts.station_hour_profile(order_star(spark, SF)), trees=5)
+    assert artifacts.load(spark, f"{tmp_path}/m") == artifacts.Saved(None, None)
+    artifacts.save(f"{tmp_path}/m", revenue=models)
+    alone = artifacts.load(spark, f"{tmp_path}/m")
+    assert alone.anomalies is None and alone.revenue.best == models.best
+    artifacts.save(f"{tmp_path}/m", alone.revenue, model)
+    again = artifacts.load(spark, f"{tmp_path}/m")
+    artifacts.save(f"{tmp_path}/m", again.revenue, again.anomalies)
+    last = artifacts.load(spark, f"{tmp_path}/m")
+    assert rows(last.revenue.codes, "*") == rows(models.codes, "*") and last.anomalies.flagged.count() == model.flagged.count()
+
+
+def test_a_save_that_breaks_off_leaves_the_last_one(spark, models, tmp_path, monkeypatch):
+    artifacts.save(f"{tmp_path}/m", revenue=models)
+
+    def broken(*_):
+        raise OSError("disk full")
+
+    monkeypatch.setattr(artifacts, "_publish", broken)
+    with pytest.raises(OSError):
+        artifacts.save(f"{tmp_path}/m", revenue=models)
+    assert artifacts.load(spark, f"{tmp_path}/m").revenue.best == models.best
+
+
+def test_fits_do_not_depend_on_the_layout(spark, tmp_path):
+    rides = marts.training_set(order_star(spark, SF))
+    found = []
+    for parts in (3, 8, 17):
+        rides.repartition(parts).write.parquet(f"{tmp_path}/{parts}")
+        fitted = revenue.train(spark.read.parquet(f"{tmp_path}/{parts}"), trees=4, rounds=3)
+        found.append(sorted((r["model"], round(r["rmse"], 9), round(r["r2"], 9)) for r in fitted.metrics.collect()))
+    assert found[0] == found[1] == found[2]
+
+
 def test_train_on_a_sample(spark):
     small = revenue.train(marts.training_set(order_star(spark, SF)), max_rows=400, trees=3, rounds=3)
     assert small.metrics.count() == 2
@@ -112,6 +147,11 @@ def test_train_on_a_sample(spark):
 def test_grid_size_and_held_values(spark):
     bases = spark.createDataFrame([("a", 7, 1), ("b", 7, 1)], "station_id string, month int, bike_type int")
     assert scenarios.grid(bases).count() == 2 * 24 * 7 * 7
+    many = spark.range(2000).selectExpr("concat('s', id) as station_id", "7 as month", "1 as bike_type").coalesce(1)
+    tasks = scenarios.grid(many).groupBy(F.spark_partition_id()).count().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    top = scenarios.grid_top(revenue.tariff_score(scenarios.grid(many)))
+    assert top._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     held = scenarios.grid(bases, False, False, False).select("hour", "temperature", "duration", "humidity", "is_weekend").distinct().collect()
     assert [tuple(r) for r in held] == [(17, 20.0, 35.0, 60.0, False)]
 
@@ -149,6 +189,8 @@ def test_loss_totals_and_scaling(spark, star):
     row = scenarios.counterfactual_loss(events, scored).first()
     assert (row["total_loss"], row["lost_trips"], row["loss_per_trip"]) == (14.0, 7.0, 2.0)
     assert (row["affected_stations"], row["events_analyzed"], row["sample_size"], row["scaling_factor"]) == (3, 3, 3, 1.0)
+    some = scenarios.counterfactual(events, lambda r: r.withColumn("prediction", F.lit(2.0)), max_events=1, max_trips=1).first()
+    assert (some["simulated_trips"], some["scaling_factor"], some["total_loss"], some["sample_size"]) == (1, 3.0, 6.0, 1)
     part = scenarios.counterfactual_loss(events, scored.limit(2), max_events=2).first()
     assert (part["total_loss"], part["lost_trips"], part["scaling_factor"]) == (6.0, 3.0, 1.5)
 
