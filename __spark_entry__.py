@@ -105,11 +105,11 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _revenue_models(spark: SparkSession, folder: str) -> revenue.RevenueModels:
-    return _once("revenue", spark, folder, lambda: revenue.train(_rides(spark, folder)))
+    return _once("revenue", spark, folder, lambda: revenue.train(_rides(spark, folder), staged=True))
 
 
 def _anomaly_model(spark: SparkSession, folder: str) -> anomalies.AnomalyModel:
-    return _once("anomalies", spark, folder, lambda: anomalies.fit(_profile(spark, folder)))
+    return _once("anomalies", spark, folder, lambda: anomalies.fit(_profile(spark, folder), staged=True))
 
 
 def _flagged(spark: SparkSession, folder: str) -> DataFrame:

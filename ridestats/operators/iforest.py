@@ -116,30 +116,33 @@ def _grower(sample: int, seed: int):
 
 def forest_score(forest: Forest) -> Column:
     """Score column over the forest's features: -1 (isolated) to 0 (normal)."""
-    depth = depth_limit(forest.sample)
-    shape = (forest.trees, 2 ** (depth + 1))
-    feature = np.full(shape, -1, dtype="int32")
-    threshold, path = np.zeros(shape), np.zeros(shape)
     # At most trees * 2 * sample nodes, whatever the number of rows.
-    for tree, node, f, t, p in forest.nodes.collect():
-        feature[tree, node], threshold[tree, node], path[tree, node] = f, t, p
-    tables = forest.nodes.sparkSession.sparkContext.broadcast((feature, threshold, path))
+    nodes = sorted(tuple(n) for n in forest.nodes.collect())
+    place = {(tree, node): i for i, (tree, node, *_) in enumerate(nodes)}
+    feature = np.array([n[2] for n in nodes], dtype="int32")
+    threshold, path = (np.array([n[i] for n in nodes], dtype="float64") for i in (3, 4))
+    # A leaf is its own child; so is a node whose side was never grown.
+    left, right = (
+        np.array([place.get((t, 2 * n + side), i) if f >= 0 else i for i, (t, n, f, *_) in enumerate(nodes)], dtype="int64")
+        for side in (0, 1)
+    )
+    roots = [place[t, 1] for t in range(forest.trees) if (t, 1) in place]
+    depth = depth_limit(forest.sample)
+    tables = forest.nodes.sparkSession.sparkContext.broadcast((feature, threshold, path, left, right))
     scale = average_path(forest.sample) or 1.0
-    trees = forest.trees
 
     @F.pandas_udf("double")
     def score(*columns: pd.Series) -> pd.Series:
-        feature, threshold, path = tables.value
+        feature, threshold, path, left, right = tables.value
         x = np.column_stack([c.to_numpy(dtype="float64") for c in columns])
         rows = np.arange(len(x))
         total = np.zeros(len(x))
-        for tree in range(trees):
-            at = np.ones(len(x), dtype="int64")
+        for root in roots:
+            at = np.full(len(x), root)
             for _ in range(depth):
-                split = feature[tree, at]
-                right = x[rows, split] > threshold[tree, at]
-                at = np.where(split >= 0, 2 * at + right, at)
-            total += path[tree, at]
-        return pd.Series(-np.exp2(-(total / trees) / scale))
+                goes_right = x[rows, feature[at]] > threshold[at]
+                at = np.where(goes_right, right[at], left[at])
+            total += path[at]
+        return pd.Series(-np.exp2(-(total / max(1, len(roots))) / scale))
 
     return F.round(score(*[F.col(f).cast("double") for f in forest.features]), 9)

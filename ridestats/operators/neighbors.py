@@ -3,14 +3,15 @@
 Points are put into the cells of their nearest pivot (pivots are a hash sample
 of the points, so dense regions get many). Each point first looks in its own
 cell, which bounds its k-th distance, and then visits only the cells that the
-triangle inequality cannot exclude. Cells and visitors are cut into blocks, so a
-task sees two bounded blocks whatever the data looks like, and hands on only the
-k best of a block.
+triangle inequality cannot exclude: the few nearest first, then some more, then the
+rest, each time with the bound that the round before has left. Cells and visitors
+are cut into blocks, so a task sees two bounded blocks whatever the data looks like,
+and hands on only the k best of a block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ CELL_POINTS = 512     # aimed-at points per cell
 MAX_PIVOTS = 2_048    # pivots travel to every task
 BLOCK = 2_048         # rows per side of one comparison
 _SLICE = 256          # rows compared with all pivots in one step
+ROUNDS = (4, 16)      # nearest cells visited before the bound is drawn tighter
 
 
 def nearest_neighbors(
@@ -30,6 +32,7 @@ def nearest_neighbors(
     cell_points: int = CELL_POINTS,
     max_pivots: int = MAX_PIVOTS,
     block: int = BLOCK,
+    rounds: Sequence[int] = ROUNDS,
 ) -> DataFrame:
     """``(pid, nbr, dist, w)``: per point the nearest rows until ``k`` are counted.
 
@@ -49,23 +52,28 @@ def nearest_neighbors(
 
     placed = stage(points.mapInPandas(_placer(pivots), "pid string, w bigint, x array<double>, cell int, away double"), "cells")
     own = stage(
-        _search(placed.select("pid", "x", "cell", F.lit(float("inf")).alias("bound")), placed, k, block),
+        _best(_search(placed.select("pid", "x", "cell", F.lit(float("inf")).alias("bound")), placed, k, block), k),
         "own-cell",
     )
-    reach = _best(own, k).groupBy("pid").agg(F.max("dist").alias("d"), F.sum("w").alias("have"))
-    bounded = placed.join(reach, "pid", "left").select(
-        "pid", "x", "cell", "away",
-        F.when(F.col("have") >= k, F.col("d")).otherwise(F.lit(float("inf"))).alias("bound"),
-    )
     # One row per cell: bounded by the number of pivots.
     radii = {
         r["cell"]: (r["near"], r["far"])
         for r in placed.groupBy("cell").agg(F.min("away").alias("near"), F.max("away").alias("far")).collect()
     }
-    visits = bounded.mapInPandas(
-        _visitor(pivots, radii), "pid string, x array<double>, cell int, bound double"
-    )
-    return _best(own.unionByName(_search(stage(visits, "visits"), placed, k, block)), k)
+    found, seen = own, 0
+    for until in (*(r for r in rounds if r < len(radii)), len(radii)):
+        reach = found.groupBy("pid").agg(F.max("dist").alias("d"), F.sum("w").alias("have"))
+        bounded = placed.join(reach, "pid", "left").select(
+            "pid", "x", "cell", "away",
+            F.when(F.col("have") >= k, F.col("d")).otherwise(F.lit(float("inf"))).alias("bound"),
+        )
+        visits = stage(
+            bounded.mapInPandas(_visitor(pivots, radii, seen, until), "pid string, x array<double>, cell int, bound double"),
+            "visits",
+        )
+        found = stage(_best(found.unionByName(_search(visits, placed, k, block)), k), "nearest")
+        seen = until
+    return found
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
@@ -106,7 +114,7 @@ def _search(visits: DataFrame, placed: DataFrame, k: int, block: int) -> DataFra
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), dtype="float64")
+    return np.stack(column.to_numpy()).astype("float64")
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -143,26 +151,37 @@ def _comparer(k: int):
         right = right.sort_values("pid", kind="stable")
         names, weights = right["pid"].to_numpy(), right["w"].to_numpy()
         gaps = _distances(_matrix(left["x"]), _matrix(right["x"]))
+        gaps[gaps > left["bound"].to_numpy()[:, None]] = np.inf
         # A point's other copies count as neighbours at distance 0, it itself does not.
-        same = left["pid"].to_numpy()[:, None] == names[None, :]
-        count = np.where(same, weights[None, :] - 1, weights[None, :])
-        gaps[(count < 1) | (gaps > left["bound"].to_numpy()[:, None])] = np.inf
-        top = np.argsort(gaps, axis=1, kind="stable")[:, :k]
-        row = np.repeat(np.arange(len(left)), top.shape[1])
-        col = top.ravel()
-        keep = np.isfinite(gaps[row, col])
+        place = np.searchsorted(names, left["pid"].to_numpy())
+        place[place == len(names)] = 0
+        own = np.flatnonzero(names[place] == left["pid"].to_numpy())
+        place = place[own]
+        gaps[own[weights[place] < 2], place[weights[place] < 2]] = np.inf
+        # The k smallest of each row; equal distances by name.
+        most = min(k, gaps.shape[1])
+        limit = np.partition(gaps, most - 1, axis=1)[:, most - 1 : most]
+        row, col = np.nonzero((gaps <= limit) & np.isfinite(gaps))
+        order = np.lexsort((col, gaps[row, col], row))
+        row, col = row[order], col[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < most
         row, col = row[keep], col[keep]
+        count = weights[col]
+        itself = np.full(len(left), -1)
+        itself[own] = place
+        count = np.where(itself[row] == col, count - 1, count)
         return pd.DataFrame({
             "pid": left["pid"].to_numpy()[row],
             "nbr": names[col],
             "dist": gaps[row, col],
-            "w": count[row, col],
+            "w": count,
         })
 
     return compare
 
 
-def _visitor(pivots: np.ndarray, radii: dict[int, tuple[float, float]]):
+def _visitor(pivots: np.ndarray, radii: dict[int, tuple[float, float]], seen: int, until: int):
+    """Cells to visit of those that are the ``seen``-th to ``until``-th nearest to a point."""
     cells = np.array(sorted(radii))
     near = np.array([radii[c][0] for c in cells])
     far = np.array([radii[c][1] for c in cells])
@@ -178,7 +197,10 @@ def _visitor(pivots: np.ndarray, radii: dict[int, tuple[float, float]]):
             plane = np.where(apart > 0, plane, 0.0)
             least = np.maximum.reduce([plane, to_cell - far[None, :], near[None, :] - to_cell])
             limit = batch["bound"].to_numpy()[:, None] * (1 + 1e-9) + 1e-9
-            row, col = np.nonzero((least <= limit) & (cells[None, :] != home[:, None]))
+            least[cells[None, :] == home[:, None]] = np.inf
+            rank = np.empty(least.shape, dtype="int64")
+            np.put_along_axis(rank, least.argsort(axis=1, kind="stable"), np.arange(len(cells))[None, :], axis=1)
+            row, col = np.nonzero((least <= limit) & np.isfinite(least) & (rank >= seen) & (rank < until))
             if len(row):
                 yield pd.DataFrame({
                     "pid": batch["pid"].to_numpy()[row],

@@ -109,9 +109,13 @@ def fit(
     contamination: float = CONTAMINATION,
     trees: int = 50,
     max_samples: int = 1_000,
+    staged: bool = False,
 ) -> AnomalyModel:
-    """Run both detectors over a profile (all its rows unless ``max_rows`` is given)."""
-    rows = stage(profile, "profile")
+    """Run both detectors over a profile (all its rows unless ``max_rows`` is given).
+
+    The profile is written first, unless it is a table already (``staged``).
+    """
+    rows = profile if staged else stage(profile, "profile")
     if max_rows is not None:
         rows = seeded_sample(rows, max_rows, [row_key()], seed)
     scaler, cleaned = fit_scaler(rows)

@@ -71,14 +71,17 @@ def train(
     seed: int = SEED,
     trees: int = 50,
     rounds: int = 50,
+    staged: bool = False,
 ) -> RevenueModels:
     """Fit both ensembles on 80% of the rows and measure them on the rest.
 
     All rows are used unless ``max_rows`` asks for a seeded sample. A leaf holds
-    at least 10 rows, so no node under 20 rows is split.
+    at least 10 rows, so no node under 20 rows is split. The rows are written first,
+    unless they are a table already (``staged``).
     """
     require_columns(training, [TARGET, "station_id", "time_id"], "training set")
-    rides = stage(training if max_rows is None else seeded_sample(training, max_rows, trip_key(), seed), "rides")
+    rides = training if max_rows is None else seeded_sample(training, max_rows, trip_key(), seed)
+    rides = rides if staged and max_rows is None else stage(rides, "rides")
     codes = station_codes(rides)
     split = stratified_split(rides, F.col(TARGET) > 0, trip_key(), seed=seed)
     matrix = features(split, codes, keep=(TARGET, "is_test", "station_id", "time_id"))
