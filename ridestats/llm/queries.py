@@ -9,7 +9,7 @@ from ridestats.llm import bpe, content, jaccard, layouts, licenses, lines, lm, p
 from ridestats.llm.common import file_of, table
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).drop("removed")
 
 
 # Host and path rules of the URL query.

@@ -79,9 +79,9 @@ LINES = f"""
 with {lines_cte('documents')}
 select d.doc_id,
        case when n_removed is null then text else coalesce(left_over, '') end as text, coalesce(len(string_split(text, chr(10))), 0) as n_lines,
-       coalesce(n_removed, 0) as n_removed, coalesce(removed, []) as removed
+       coalesce(n_removed, 0) as n_removed
 from documents d
-left join (select doc_id, count(*) as n_removed, list(pos order by pos) as removed from gone group by doc_id) using (doc_id)
+left join (select doc_id, count(*) as n_removed from gone group by doc_id) using (doc_id)
 left join (select doc_id, string_agg(line, chr(10) order by pos) as left_over from cut anti join gone using (doc_id, pos) group by doc_id) using (doc_id)"""
 
 
