@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,21 +29,35 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ridestats.llm.blocks import slices
 from ridestats.llm.bpe import spans
-from ridestats.llm.packing import coded, split_words, text_bytes
+from ridestats.llm.packing import coded, give_back, split_words, text_bytes
 from ridestats.sources.scratch import stage
 
 PART_BYTES = 8 << 20
 END_ID = 0
+MET_WORDS = 400_000  # words whose ids a worker keeps
 
 
 @lru_cache(maxsize=1)
-def _tokenizer(content: bytes):
+def _tokenizer(content: bytes) -> tuple:
+    """The tokenizer, and ids of words that this worker has met."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_buffer(content)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    return tokenizer, {}
+
+
+def _encoded(words: list[bytes], content: bytes) -> list[bytes]:
+    """Ids of each word, four bytes each. Met words are looked up, up to a number of them."""
+    tokenizer, met = _tokenizer(content)
+    ids = list(map(met.get, words))
+    new = [i for i, found in enumerate(ids) if found is None]
+    for i, encoded in zip(new, tokenizer.encode_batch_fast([words[i].decode() for i in new], add_special_tokens=False)):
+        ids[i] = array("I", encoded.ids).tobytes()
+    for i in new[: max(0, MET_WORDS - len(met))]:
+        met[words[i]] = ids[i]
+    return ids
 
 
 def _ids(texts: pa.Array, content: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -53,9 +68,9 @@ def _ids(texts: pa.Array, content: bytes) -> tuple[np.ndarray, np.ndarray]:
     """
     words, counts = split_words(*text_bytes(texts), lower=False)
     codes, distinct = coded(words)
-    encoded = [e.ids for e in _tokenizer(content).encode_batch_fast([w.decode() for w in distinct.to_pylist()], add_special_tokens=False)]
-    per_word = np.fromiter(map(len, encoded), np.int64, len(encoded))
-    flat = np.fromiter((i for ids in encoded for i in ids), np.uint32, per_word.sum())
+    encoded = _encoded(distinct.to_pylist(), content)
+    per_word = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+    flat = np.frombuffer(b"".join(encoded), np.uint32)
     starts = np.cumsum(per_word) - per_word
     sizes = per_word[codes]
     ends = np.cumsum(counts)
@@ -92,6 +107,7 @@ def pieces(docs: DataFrame, tokenizer: bytes, size: int = 2048, with_ids: bool =
                     ends = np.append(at, len(ids))  # pieces lie one after the other
                     columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+                give_back()
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     kind = docs.schema[id_col].dataType.simpleString()
