@@ -43,7 +43,7 @@ def grid(
     parts = int(bases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         bases.select(*BASE)
-        .repartition(parts, *BASE)
+        .repartition(parts, "station_id")  # enough for whatever groups by a base
         .withColumn("hour", _axis(HOURS, HELD_HOUR, vary_hour))
         .withColumn("temperature", _axis(TEMPERATURES, HELD_TEMPERATURE, vary_temperature, "double"))
         .withColumn("duration", _axis(DURATIONS, HELD_DURATION, vary_duration, "double"))

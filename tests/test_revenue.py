@@ -189,10 +189,11 @@ def test_loss_totals_and_scaling(spark, star):
     row = scenarios.counterfactual_loss(events, scored).first()
     assert (row["total_loss"], row["lost_trips"], row["loss_per_trip"]) == (14.0, 7.0, 2.0)
     assert (row["affected_stations"], row["events_analyzed"], row["sample_size"], row["scaling_factor"]) == (3, 3, 3, 1.0)
-    some = scenarios.counterfactual(events, lambda r: r.withColumn("prediction", F.lit(2.0)), max_events=1, max_trips=1).first()
-    assert (some["simulated_trips"], some["scaling_factor"], some["total_loss"], some["sample_size"]) == (1, 3.0, 6.0, 1)
-    part = scenarios.counterfactual_loss(events, scored.limit(2), max_events=2).first()
-    assert (part["total_loss"], part["lost_trips"], part["scaling_factor"]) == (6.0, 3.0, 1.5)
+    double = lambda requests: requests.withColumn("prediction", F.lit(2.0))
+    some = scenarios.counterfactual(events, double, max_trips=1).first()
+    assert (some["simulated_trips"], some["scaling_factor"], some["total_loss"], some["sample_size"]) == (2, 1.0, 4.0, 3)
+    one = scenarios.counterfactual(events, double, max_events=1).first()
+    assert (one["scaling_factor"], one["sample_size"], one["lost_trips"]) == (3.0, 1, 3.0 * one["simulated_trips"])
 
 
 def test_no_shortage_no_loss(spark):
