@@ -25,9 +25,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ridestats.llm.blocks import slices
-from ridestats.llm.packing import _SPACE, _strings, joined, mix, split_words, text_bytes
+from ridestats.llm.packing import _SPACE, _strings, give_back, joined, mix, split_words, text_bytes
 
-PART_BYTES = 8 << 20
+PART_BYTES = 2 << 20
 
 # Phrases of page furniture, in lower case.
 BOILERPLATE = (
@@ -203,6 +203,7 @@ def judge(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_
                     [rows["doc_id"], *(pa.array(c.astype(np.int64)) for c in counts), pa.array(failed), pa.array(kept),
                      *(pa.array(c.astype(np.int64)) for c in lines)],
                     names=["doc_id", *names, "base_failed", "kept", "n_lines", "lost_lines", "lost_words"])
+            give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, {', '.join(f'{c} long' for c in names)}, base_failed boolean, kept boolean, n_lines long, lost_lines long, lost_words long"
@@ -219,5 +220,6 @@ def clean(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> Da
                 part = _Part(rows[text_col], rules)
                 arrays = [part.cleaned().cast(rows[c].type) if c == text_col else rows[c] for c in columns]
                 yield pa.RecordBatch.from_arrays(arrays, schema=rows.schema).filter(pa.array(part.verdicts(rules)[1]))
+            give_back()
 
     return docs.mapInArrow(run, docs.schema)
