@@ -32,9 +32,9 @@ from ridestats.llm.bpe import spans
 from ridestats.llm.packing import coded, give_back, split_words, text_bytes
 from ridestats.sources.scratch import stage
 
-PART_BYTES = 8 << 20
+PART_BYTES = 6 << 20
 END_ID = 0
-MET_WORDS = 400_000  # words whose ids a worker keeps
+MET_WORDS = 250_000  # words whose ids a worker keeps
 
 
 @lru_cache(maxsize=1)
@@ -63,10 +63,13 @@ def _encoded(words: list[bytes], content: bytes) -> list[bytes]:
 def _ids(texts: pa.Array, content: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, each with its end id, and their lengths.
 
-    The tokenizer drops white space and no token spans it, so a text's ids are those of
-    its words; each distinct word of a part is encoded once.
+    The tokenizer drops white space, and no token spans it or goes from a letter on to a
+    stop, so a text's ids are those of its words; each distinct word of a part is encoded
+    once. It lowers case after composing characters: A-Z may be lowered before, unless
+    there are combining marks (lead bytes CC and CD) to compose with.
     """
-    words, counts = split_words(*text_bytes(texts), lower=False)
+    data, ends = text_bytes(texts)
+    words, counts = split_words(data, ends, lower=not ((data == 0xCC) | (data == 0xCD)).any(), stops=True)
     codes, distinct = coded(words)
     encoded = _encoded(distinct.to_pylist(), content)
     per_word = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4

@@ -21,6 +21,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
+_STOP, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[list(b".,")] = True
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
 # Bytes after which a cut before a blank is safe for byte-pair patterns: not a blank of
 # any kind, nor the first byte of one outside ASCII.
 _SOLID = np.zeros(256, bool)
@@ -102,8 +105,11 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def split_words(data: np.ndarray, ends: np.ndarray, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of all texts, and how many each text has."""
+def split_words(data: np.ndarray, ends: np.ndarray, lower: bool = True, stops: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of all texts, and how many each text has.
+
+    With ``stops``, full stops and commas behind an ASCII letter begin a word of their own.
+    """
     if lower:
         data = _LOWER[data]
     solid = ~_SPACE[data]
@@ -111,6 +117,8 @@ def split_words(data: np.ndarray, ends: np.ndarray, lower: bool = True) -> tuple
     start[1:] &= ~solid[:-1]
     first = ends[:-1][ends[:-1] < ends[1:]]
     start[first] = solid[first]
+    if stops:
+        start[1:] |= _STOP[data[1:]] & _LETTER[data[:-1]]
     starts = np.flatnonzero(start)
     counts = np.diff(np.searchsorted(starts, ends))
     before = np.cumsum(solid, dtype=np.int32 if len(solid) < 1 << 31 else np.int64)

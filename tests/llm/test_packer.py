@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -13,7 +14,17 @@ from ridestats.llm import packer
 from ridestats.llm.common import file_of
 
 FILE = file_of("word_bpe_49k.json")
-WORDS = ["The", "É", "e\u0301", "ΟΔΟΣ", "it's", "12", "a\u00a0b", "don't.", "漢字", "x" * 60, "<|endoftext|>", "\u2028", "of", "…", "\x1c"]
+WORDS = ["The", "É", "e\u0301", "ΟΔΟΣ", "it's", "12", "a\u00a0b", "don't.", "漢字", "x" * 60, "<|endoftext|>", "\u2028", "of", "…", "\x1c", "End.", "A,b.c", "T\u0308.", ".,x", "Ab.'s", "\u0130.", "K.\u0301", "1.5,"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from([*"aAbZ.,'sSt1 \n-", "\u0308", "\u030c", "j", "T", "\u0130", "é", "\u00a0", "漢"]), max_size=25), max_size=6))
+def test_ids_of_any_text(texts):
+    tokenizer = Tokenizer.from_buffer(FILE)
+    tokenizer.encode_special_tokens = True
+    ids, lengths = packer._ids(pa.array(texts, pa.string()), FILE)
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
 def checked(rows, size):
