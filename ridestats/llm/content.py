@@ -257,8 +257,11 @@ def _inside(node: Node, other: Node) -> bool:
 
 def labelled_sample(pages: DataFrame, most: int = 100, id_col: str = "page_id", html_col: str = "html") -> list[tuple[Page, np.ndarray]]:
     """Up to ``most`` pages that label themselves, those with the smallest hashes of their ids."""
-    rows = pages.select(F.col(html_col).cast("string").alias("html"), F.xxhash64(F.col(id_col), F.length(html_col)).alias("h")).filter(
-        "html is not null and length(html) < 100000 and (html ilike '%<article%' or html ilike '%<main%')").orderBy("h", "html").limit(most).collect()
+    marked = pages.select(F.col(html_col).cast("string").alias("html"), F.xxhash64(F.col(id_col), F.length(html_col)).alias("h")).filter(
+        "html is not null and length(html) < 100000 and (html ilike '%<article%' or html ilike '%<main%')")
+    # The hashes first: pages are sent for those alone that are among the smallest.
+    last = marked.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    rows = marked.filter(F.col("h") <= F.lit(last)).orderBy("h", "html").limit(most).collect() if last is not None else []
     out = []
     for row in rows:
         nodes = parse(row.html)
