@@ -65,9 +65,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packer.pack(packer.pieces(table(spark, sf_dir, "documents"), file_of("word_bpe_49k.json"), 2048), 2048)
 
 
+LM_ORDER = 3
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7
-    scored, model = lm.fit_and_score(table(spark, sf_dir, "documents"), remainder != 2)
+    scored, model = lm.fit_and_score(table(spark, sf_dir, "documents"), remainder != 2, LM_ORDER)
     return scored.select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from brute_lm import scores
-from ridestats.llm import blocks, lm
+from ridestats.llm import blocks, lm, queries
 
 
 @pytest.fixture(autouse=True)
@@ -40,3 +41,12 @@ def test_empty_table_and_no_training_rows(spark):
     assert lm.fit_and_score(none, F.lit(True))[0].collect() == []
     scored, _ = lm.fit_and_score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), F.lit(False))
     assert [(r.n_tokens, r.n_known, r.score) for r in scored.collect()] == [(3, 0, 0.0)]
+
+
+def test_registered_query_scores_trigrams(spark, tmp_path):
+    rows = corpus()
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((round(r.score, 6) for r in queries.op10_lm_score(spark, str(tmp_path)).collect()))
+    train = [t for i, t in rows if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2]
+    want, smaller = (sorted(round(s[0], 6) for s in scores(train, [t for _, t in rows], order)) for order in (3, 2))
+    assert got == want != smaller
