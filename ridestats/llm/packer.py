@@ -16,6 +16,7 @@ a few entries per length.
 
 from __future__ import annotations
 
+import heapq
 import os
 import zlib
 from array import array
@@ -250,49 +251,56 @@ class _Bins:
         self._add({n: each}, count // each)
         self._add({n: count % each} if count % each else {}, 1)
 
-    def improve(self, steps: int = 400) -> None:
-        """Empty the least filled sequences into the others, by at most ``steps`` changes.
+    def improve(self) -> None:
+        """Empty the least filled sequences into the others, until no change is left.
 
         From the emptiest pattern on, the change with the largest growth of the sum of
         squared fills is made: move a piece, or exchange one or two pieces for a shorter
-        one. A change is made for as many sequences of the two patterns as there are.
+        one. A change is made for as many sequences of the two patterns as there are. The
+        sum grows with every change, so the search ends: when no pattern has a change
+        left, or when there are no more sequences than the pieces need at least.
         """
         least = -(-sum(n * c * times for p, times in self.patterns() for n, c in p.items()) // self.size)
-        stuck: set[Pattern] = set()
-        for _ in range(steps):
-            if sum(c for group in self.by_room for c in group.values()) <= least:
-                break
-            known = [(room, key, c) for room in range(1, self.size) for key, c in self.by_room[room].items()]
-            donors = [(room, key, c) for room, key, c in reversed(known) if key not in stuck]
-            if not donors:
-                break
-            change = self._best_change(*donors[0], known)
-            if change is None:
-                stuck.add(donors[0][1])
-            else:
-                self._exchange(*donors[0][:2], *change)
-                stuck.clear()
-
-    def _best_change(self, room: int, donor: Pattern, count: int, known: list[tuple[int, Pattern, int]]):
-        """Other pattern and its room, pieces given, piece taken (0: none); None if nothing grows."""
-        others = [(r, key, n) for r, key, c in known for n in (0, *(n for n, _ in key)) if key != donor or c > 1]
-        if not others:
-            return None
-        rooms, takes = np.array([o[0] for o in others]), np.array([o[2] for o in others])
-        fills, counts = self.size - rooms, dict(donor)
-        offers = [((n,), False) for n in counts]
-        offers += [((a, b), True) for a in counts for b in counts if a < b or a == b and counts[a] > 1]
-        best = (0, None)
-        for parts, pair in offers:
-            gain = sum(parts) - takes
-            growth = gain * (fills - (self.size - room) + gain)
-            growth[(gain <= 0) | (gain > rooms) | (pair & (takes == 0))] = 0
-            at = int(np.argmax(growth))
-            if growth[at] > best[0]:
-                best = int(growth[at]), (others[at][0], others[at][1], parts, others[at][2])
-        return best[1]
-
-    def _exchange(self, room: int, donor: Pattern, other: int, key: Pattern, parts: tuple[int, ...], gives: int) -> None:
+        bins = sum(c for group in self.by_room for c in group.values())
+        others = _Others(self.size)
+        for room in range(1, self.size):
+            for key in self.by_room[room]:
+                others.add(room, key)
+        seen: dict[Pattern, int] = {}  # up to which entry nothing was found for a pattern
+        before = -1
+        while before < others.last:  # patterns of the last round have not met its new ones
+            before = others.last
+            todo = [(-room, key) for room in range(1, self.size) for key in self.by_room[room]]
+            heapq.heapify(todo)
+            while todo and bins > least:
+                room, key = -todo[0][0], todo[0][1]
+                count = self.by_room[room].get(key, 0)
+                change = others.best(room, key, count, seen.get(key, 0)) if count else None
+                if change is None:
+                    seen[key] = others.last
+                    heapq.heappop(todo)
+                    continue
+                other, parts, gives = change
+                known = {k: self.by_room[self.size - _fill(k)].get(k, 0) for k in (key, other)}
+                left, full, times = self._exchange(room, key, self.size - _fill(other), other, parts, gives)
+                bins -= 0 if left else times
+                for k in (key, other):
+                    if k not in self.by_room[self.size - _fill(k)]:
+                        others.drop(k)
+                for k in {left, full} - {()}:
+                    at = self.size - _fill(k)
+                    if not 0 < at < self.size:
+                        continue
+                    if others.holds(k):  # a second sequence of a pattern can be exchanged with the first
+                        if self.by_room[at][k] > 1 and known.get(k, 0) < 2:
+                            others.drop(k)
+                            others.add(at, k)
+                    else:
+                        others.add(at, k)
+                    heapq.heappush(todo, (-at, k))
+
+    def _exchange(self, room: int, donor: Pattern, other: int, key: Pattern, parts: tuple[int, ...], gives: int) -> tuple[Pattern, Pattern, int]:
+        """The change for as many sequences as there are; both new patterns and that number."""
         same = donor == key and room == other
         times = self.by_room[room][donor] // 2 if same else min(self.by_room[room][donor], self.by_room[other][key])
         if same:
@@ -309,3 +317,81 @@ class _Bins:
             left[gives] = left.get(gives, 0) + 1
         for pattern in (left, full):
             self._add({n: c for n, c in pattern.items() if c}, times)
+        return *(tuple(sorted((n, c) for n, c in p.items() if c)) for p in (left, full)), times
+
+
+def _fill(key: Pattern) -> int:
+    return sum(n * c for n, c in key)
+
+
+class _Others:
+    """What sequences may take part in a change: room, and a piece they give back (0: none).
+
+    Entries are numbered as they come, so that a pattern without a change need only be
+    held against those that are new. Dropped ones stay, without room, until they are many.
+    """
+
+    def __init__(self, size: int):
+        self.size, self.last, self.n, self.dead = size, 0, 0, 0
+        self.number, self.room, self.take = (np.zeros(1024, np.int64) for _ in range(3))
+        self.keys: list[Pattern | None] = []
+        self.at: dict[Pattern, int] = {}
+
+    def holds(self, key: Pattern) -> bool:
+        return key in self.at
+
+    def add(self, room: int, key: Pattern) -> None:
+        end = self.n + len(key) + 1
+        if end > len(self.room):
+            self.number, self.room, self.take = (np.concatenate([x, np.zeros(max(len(x), end), np.int64)]) for x in (self.number, self.room, self.take))
+        self.last += 1
+        self.at[key] = self.n
+        self.number[self.n : end], self.room[self.n : end] = self.last, room
+        self.take[self.n : end] = (0, *(n for n, _ in key))
+        self.keys += [key] * (len(key) + 1)
+        self.n = end
+
+    def drop(self, key: Pattern) -> None:
+        at = self.at.pop(key, None)
+        if at is None:
+            return
+        end = at + len(key) + 1
+        self.room[at:end], self.take[at:end] = -1, 0
+        self.dead += end - at
+        if self.dead > max(1000, self.n // 2):
+            live = np.flatnonzero(self.room[: self.n] >= 0)
+            for x in (self.number, self.room, self.take):
+                x[: len(live)] = x[live]
+            self.keys = [self.keys[i] for i in live.tolist()]
+            self.n, self.dead = len(live), 0
+            self.at = {}
+            for i, k in enumerate(self.keys):
+                self.at.setdefault(k, i)
+
+    def best(self, room: int, donor: Pattern, count: int, seen: int) -> tuple[Pattern, tuple[int, ...], int] | None:
+        """Other pattern, pieces given, piece taken; None if nothing newer than ``seen`` grows.
+
+        For one other the growth, gain * (its fill - own fill + gain), is the largest for the
+        largest gain that there is room for, wherever it is above 0.
+        """
+        first = int(np.searchsorted(self.number[: self.n], seen, side="right"))
+        if first == self.n:
+            return None
+        rooms, takes = self.room[first : self.n], self.take[first : self.n]
+        single = {n: (n,) for n, _ in donor}
+        double = {a + b: (a, b) for a, x in donor for b, _ in donor if a < b or a == b and x > 1} | single
+        limit, gain = rooms + takes, np.zeros(len(rooms), np.int64)
+        for sums, mine in ((single, takes == 0), (double, takes > 0)):
+            offers = np.array([0, *sorted(sums)], np.int64)
+            given = offers[np.maximum(np.searchsorted(offers, limit[mine], side="right") - 1, 0)]
+            gain[mine] = given - takes[mine]
+        growth = gain * (room - rooms + gain)
+        growth[(gain <= 0) | (rooms < 0)] = 0
+        if count == 1 and self.at.get(donor, -1) >= first:
+            at = self.at[donor] - first
+            growth[at : at + len(donor) + 1] = 0
+        at = int(np.argmax(growth))
+        if growth[at] <= 0:
+            return None
+        take = int(takes[at])
+        return self.keys[first + at], (double if take else single)[int(gain[at]) + take], take

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 import zlib
 from collections import defaultdict
@@ -117,3 +118,32 @@ def test_many_equal_lengths_errors_and_empty_table(spark):
             packer.pack(spark.createDataFrame([(bad,)], "length int"), 64).collect()
     assert packer.pack(spark.createDataFrame([], "length long"), 64).collect() == []
     assert packer.pieces(spark.createDataFrame([], "doc_id long, text string"), FILE).collect() == []
+
+
+def grows(one, other, size):
+    """Whether a move, or one or two pieces for a shorter one, makes the squared fills of two sequences grow."""
+    fill = lambda p: sum(n * c for n, c in p)
+    pieces = [n for n, c in one for _ in range(min(c, 2))]
+    a, b = fill(one), fill(other)
+    for take in (0, *(n for n, _ in other)):
+        for parts in [(x,) for x in pieces] + [p for p in itertools.combinations(pieces, 2) if take]:
+            gain = sum(parts) - take
+            if 0 < gain <= size - b and gain * (b - a + gain) > 0:
+                return True
+    return False
+
+
+@pytest.mark.parametrize("low, high, n", [(400, 1100, 5000), (640, 760, 5000)])
+def test_local_search_of_mid_sized_lengths_goes_on_until_nothing_grows(low, high, n):
+    size = 2048
+    lengths = np.random.default_rng(1).integers(low, high + 1, n)
+    plan = packer.plan(np.bincount(lengths, minlength=size + 1), size)
+    held = np.zeros(size + 1, int)
+    for pattern, times in plan.items():
+        for k, c in pattern:
+            held[k] += c * times
+    assert (held == np.bincount(lengths, minlength=size + 1)).all()
+    if sum(plan.values()) > -(-lengths.sum() // size):
+        under = [(p, t) for p, t in plan.items() if sum(k * c for k, c in p) < size]
+        left = [(p, q) for p, t in under for q, u in under if (p != q or t > 1) and grows(p, q, size)]
+        assert not left
