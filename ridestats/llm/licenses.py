@@ -4,7 +4,8 @@ Every run of ``k`` words of a text is hashed; runs that are also runs of a templ
 joined to their positions there. A run at word p that stands at q in the template votes
 for the diagonal p - q. Diagonals of one template that lie next to each other (a word more
 or less here and there) are merged, and the span they cover is verified: the words must
-be equal, not only the hashes, and cover enough of the template.
+be equal, not only the hashes, and cover enough of the template. Where verified spans share
+words, the narrower license stands: one more word, as in "Lesser", is within the gap.
 
 All of it is DataFrame code. Hashes that no template has are dropped where they arise, so
 what is shuffled are the votes and one short row per document. Templates are a parameter
@@ -39,18 +40,37 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public"
      " License as published by the Free Software Foundation"),
-    ("lgpl", "licensed under the GNU Lesser General Public License"),
-    ("agpl", "licensed under the GNU Affero General Public License"),
+    ("gpl", "GNU General Public License"),
+    # Names tell these apart: but for one word their headers are the GPL's.
+    ("lgpl", "GNU Lesser General Public License"),
+    ("lgpl", "GNU Library General Public License"),
+    ("agpl", "GNU Affero General Public License"),
+    ("mpl", "Mozilla Public License"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
      " following conditions are met"),
+    ("bsd", "BSD 2-Clause"), ("bsd", "BSD 3-Clause"), ("bsd", "2-Clause BSD"), ("bsd", "3-Clause BSD"), ("bsd", "the BSD License"),
+    ("bsd", "New BSD License"), ("bsd", "Modified BSD License"), ("bsd", "Simplified BSD License"), ("bsd", "BSD style license"),
+    ("isc", "the ISC License"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-nc", "CC BY-NC"), ("cc-by-nc", "Creative Commons Attribution-NonCommercial"), ("cc-by-nc", "Creative Commons Attribution-Non-Commercial"),
+    ("cc-by-sa", "CC BY-SA"), ("cc-by-sa", "Creative Commons Attribution-ShareAlike"), ("cc-by-sa", "Attribution-Share Alike"),
+    ("cc-by-nd", "CC BY-ND"), ("cc-by-nd", "Creative Commons Attribution-NoDerivatives"), ("cc-by-nd", "Creative Commons Attribution-NoDerivs"),
+    ("cc-by-nc-sa", "CC BY-NC-SA"), ("cc-by-nc-sa", "Attribution-NonCommercial-ShareAlike"), ("cc-by-nc-sa", "Attribution-NonCommercial-Share Alike"),
+    ("cc-by-nc-nd", "CC BY-NC-ND"), ("cc-by-nc-nd", "Attribution-NonCommercial-NoDerivatives"), ("cc-by-nc-nd", "Attribution-NonCommercial-NoDerivs"),
+    ("cc-by", "Creative Commons Attribution"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("all-rights-reserved", "All rights reserved"),
 )
+# Labels whose span gives way to a span of these that it shares words with. Apache's
+# short notice is that of others but for the name.
+NARROWER: dict[str, tuple[str, ...]] = {
+    "apache": ("mpl", "bsd", "gpl", "lgpl", "agpl"), "gpl": ("lgpl", "agpl"), "cc-by": ("cc-by-nc", "cc-by-sa", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd"),
+    "cc-by-nc": ("cc-by-nc-sa", "cc-by-nc-nd"), "cc-by-sa": ("cc-by-nc-sa",), "cc-by-nd": ("cc-by-nc-nd",),
+}
 GAP = 2  # words by which neighbouring diagonals may differ
 SHARE = 0.8  # part of a template's words that a span must cover
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -131,8 +151,17 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phra
         F.min("first").alias("first"), (F.max("last") + k).alias("end"), F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("qs", lambda q: F.sequence(q, q + k - 1)))))
     score = covered / F.col("size")
-    span = F.when(score >= share, F.struct(F.col("first").alias("first_word"), F.col("end").alias("end_word"), "label", score.alias("score")))
-    per_doc = merged.select("row", "doc", span.alias("span")).groupBy("row", "doc").agg(F.sort_array(F.collect_list("span")).alias("spans"))
+    judged = merged.select("row", "doc", "label", "first", "end", score.alias("score"))
+    by_place = Window.partitionBy("row").orderBy("first")
+    so_far, from_here = by_place.rangeBetween(Window.unboundedPreceding, 0), by_place.rangeBetween(0, Window.unboundedFollowing)
+    gives_way = F.lit(False)
+    for label, narrower in NARROWER.items():
+        found = F.col("label").isin(*narrower) & (F.col("score") >= share)
+        shared = (F.max(F.when(found, F.col("end"))).over(so_far) > F.col("first")) | (F.min(F.when(found, F.col("first"))).over(from_here) < F.col("end"))
+        gives_way = gives_way | ((F.col("label") == label) & F.coalesce(shared, F.lit(False)))
+    judged = judged.select("*", gives_way.alias("gives_way"))
+    span = F.when((F.col("score") >= share) & ~F.col("gives_way"), F.struct(F.col("first").alias("first_word"), F.col("end").alias("end_word"), "label", "score"))
+    per_doc = judged.select("row", "doc", span.alias("span")).groupBy("row", "doc").agg(F.sort_array(F.collect_list("span")).alias("spans"))
     best = F.coalesce(F.array_max("spans.score"), F.lit(0.0))
     return per_doc.select(
         "doc.doc_id", "doc.n_words", "doc.n_base", "doc.first_word", "doc.last_word", F.array_join(F.array_sort("doc.base_labels"), ",").alias("base_labels"),

@@ -38,3 +38,21 @@ def test_places_labels_and_spans(spark):
 def test_no_python_on_the_main_path(spark):
     plan = licenses.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop"))
+
+
+def test_names_decide_against_more_general_licenses(spark):
+    gpl = "{} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation."
+    texts = {
+        gpl.format("This library", "Lesser "): "lgpl", gpl.format("This program", "Lesser "): "lgpl", gpl.format("This library", "Library "): "lgpl",
+        gpl.format("This program", "Affero "): "agpl", gpl.format("This program", ""): "gpl",
+        "It is licensed under the GNU General Public License": "gpl", "Licensed under the GNU General Public License, Version 2.0": "gpl",
+        "licensed under the GNU Lesser General Public License": "lgpl",
+        gpl.format("This program", "") + " Parts are under the GNU Lesser General Public License.": "gpl,lgpl",
+        "Licensed under the Mozilla Public License, Version 2.0": "mpl", "Licensed under the BSD 3-Clause License": "bsd",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+        "Creative Commons Attribution-ShareAlike 4.0 International": "cc-by-sa", "Creative Commons Attribution 4.0": "cc-by",
+        "Creative Commons Attribution-NonCommercial-ShareAlike 4.0": "cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa",
+        "the general public likes a license, the lesser evil": "",
+    }
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {list(texts)[r.doc_id]: r.labels for r in got} == texts
