@@ -2,7 +2,8 @@
 
 A small tolerant reader: end tags may be missing or stray, attributes unquoted, the page
 cut off anywhere. Contents of scripts, styles and the like, comments and markup are not
-text. One pass over the page, no recursion.
+text, nor is what ended drawings, templates, menus of choices and noscript hold; where
+such an element is never ended, its content stays. One pass over the page, no recursion.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from html import unescape
 
 # Elements without content, with content that is not text, and that stand inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select xmp noembed noframes".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+NO_TEXT = frozenset("noscript template svg select".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup"
     " time tt u var wbr".split()
@@ -24,18 +26,30 @@ _ENDS_P = frozenset(
 )
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
              "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
-_SCOPE = frozenset("ul ol dl table div section article aside nav main header footer form blockquote body html".split())
+# Drawings and formulas; elements inside them that hold ordinary markup; what cannot stand in them or in a select.
+_FOREIGN = frozenset("svg math".split())
+_INTEGRATION = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+_LEAVES_FOREIGN = _ENDS_P | frozenset("b big body br center code dd dt em embed head i img li nobr ruby s small span strong strike sub sup tt u var".split())
+_LEAVES_SELECT = (_ENDS_P - {"hr", "div"}) | {"select", "input", "textarea", "li"}
+_SCOPE = frozenset("svg math object template select ul ol dl table div section article aside nav main header footer form blockquote body html".split())
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "parts", "number")
+    __slots__ = ("tag", "names", "parent", "parts", "number", "region")
 
     def __init__(self, tag: str, names: str, parent: Node | None, number: int):
         self.tag, self.names, self.parent, self.number = tag, names, parent, number
         self.parts: list = []  # texts and nodes in order
+        # The innermost template or select, or outermost drawing or formula, that it stands in or is.
+        region = parent.region if parent else None
+        if tag in _INTEGRATION and region and region.tag in _FOREIGN:
+            region = None
+        elif tag in ("template", "select") or tag in _FOREIGN and not (region and region.tag in _FOREIGN):
+            region = self
+        self.region = region
 
 
 def parse(html: str | None) -> list[Node]:
@@ -54,8 +68,15 @@ def parse(html: str | None) -> list[Node]:
             continue
         tag = found[2].lower()
         if found[1]:
-            _close(stack, tag)
+            ended = _close(stack, tag)
+            if ended and tag in NO_TEXT:
+                _leave_out(ended, nodes)
             continue
+        region = stack[-1].region
+        if region and (tag in _LEAVES_FOREIGN if region.tag in _FOREIGN else region.tag == "select" and tag in _LEAVES_SELECT):
+            del stack[stack.index(region) :]
+            if region.tag in NO_TEXT:
+                _leave_out(region, nodes)
         if tag in _ENDS_P:
             _close(stack, "p")
         for sibling in _SIBLINGS.get(tag, ()):
@@ -64,22 +85,31 @@ def parse(html: str | None) -> list[Node]:
         node = Node(tag, names.lower(), stack[-1], len(nodes))
         nodes.append(node)
         stack[-1].parts.append(node)
-        if tag in RAW:
+        region = stack[-1].region
+        if tag in RAW and not (found[3].endswith("/") and region and region.tag in _FOREIGN):
             end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(html, at)
             at = end.end() if end else len(html)
         elif tag not in VOID and not found[3].endswith("/"):
             stack.append(node)
 
 
-def _close(stack: list[Node], tag: str) -> None:
-    """End the innermost open element of that name, and what is open inside it.
+def _leave_out(ended: Node, nodes: list[Node]) -> None:
+    """Forget what an element holds that ends here: all nodes since it began."""
+    del nodes[ended.number + 1 :]
+    ended.parts.clear()
+
+
+def _close(stack: list[Node], tag: str) -> Node | None:
+    """End the innermost open element of that name, and what is open inside it; the element.
 
     A paragraph or list item that is ended by the next one is not looked for beyond the
     container that it would have to stand in.
     """
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag == tag:
+            ended = stack[i]
             del stack[i:]
-            return
+            return ended
         if tag in ("p", *_SIBLINGS) and stack[i].tag in _SCOPE:
-            return
+            return None
+    return None

@@ -78,3 +78,24 @@ def test_labelled_sample_is_bounded(spark):
     assert len(sample) == 7
     page, label = sample[0]
     assert [int(x) for x in label] == [{"nav": 0, "aside": 0, "#root": 0}.get(v.tag, 1) for v in page.nodes]
+
+
+def test_only_ended_elements_without_text_are_left_out():
+    def text(html):
+        page = content.featured(parse(html))
+        assert [v.number for v in page.nodes] == list(range(len(page.nodes)))
+        return content.text_of(page, np.ones(len(page.nodes), bool))
+
+    for tag in ("svg", "math", "object", "select", "template"):
+        assert text(f"<article><p>A</p><{tag} class=icon/><p>B</p></article><p>C</p>") == "A B C"  # self-closed
+        assert text(f"<article><p>A</p><{tag} class=icon><p>B</p></article><p>C</p>") == "A B C"  # never ended
+        assert text(f"<article><p>A</p><{tag}/><p>B</p><{tag}></{tag}><p>C</p>") == "A B C"
+    for tag in ("svg", "template", "select", "noscript"):
+        assert text(f"<article><p>A</p><{tag}><g>no</g></{tag}><p>B</p>") == "A B"
+    assert text("<p>A</p><svg><svg><text>no</text></svg><text>no</text></svg><p>B") == "A B"
+    assert text("<p>A</p><template><template><p>no</p></template><p>no</p></template><p>B") == "A B"
+    assert text("<p>A<template><div>no</div></template>B</p><p>C") == "A B C"
+    assert text("<svg><style/><title>no</title><foreignObject><p>no</p></foreignObject></svg>A") == "A"
+    assert text("<p>A</p><select><option>no<option>no<p>B</p><select><option>no</select>C") == "A B C"
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><object><object><p>in</p></object>old</object>") == "so x = 1 holds in old"
+    assert text("<p>A</p><script/>no</script><style>no</style><title>no</title><p>B") == "A B"
