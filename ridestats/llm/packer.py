@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -40,18 +41,21 @@ MET_WORDS = 250_000  # words whose ids a worker keeps
 
 @lru_cache(maxsize=1)
 def _tokenizer(content: bytes) -> tuple:
-    """The tokenizer, and ids of words that this worker has met."""
+    """The tokenizer, ids of words that this worker has met, and where added tokens may stand."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_buffer(content)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer, {}
+    added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
+    if any(re.search(r"[\s.,]", token) for token in added):
+        raise ValueError("added tokens with blanks, stops or commas cannot be found word by word")
+    found = re.compile("|".join(map(re.escape, added)).encode(), re.I) if added else None
+    return tokenizer, {}, found
 
 
 def _encoded(words: list[bytes], content: bytes) -> list[bytes]:
     """Ids of each word, four bytes each. Met words are looked up, up to a number of them."""
-    tokenizer, met = _tokenizer(content)
+    tokenizer, met, _ = _tokenizer(content)
     ids = list(map(met.get, words))
     new = [i for i, found in enumerate(ids) if found is None]
     for i, encoded in zip(new, tokenizer.encode_batch_fast([words[i].decode() for i in new], add_special_tokens=False)):
@@ -67,10 +71,14 @@ def _ids(texts: pa.Array, content: bytes) -> tuple[np.ndarray, np.ndarray]:
     The tokenizer drops white space, and no token spans it or goes from a letter on to a
     stop, so a text's ids are those of its words; each distinct word of a part is encoded
     once. It lowers case after composing characters: A-Z may be lowered before, unless
-    there are combining marks (lead bytes CC and CD) to compose with.
+    there are combining marks (lead bytes CC and CD) to compose with. Added tokens, such
+    as an end mark written out, are found by the tokenizer inside words as in the whole
+    text; it does so before it lowers case, so parts with their strings are not lowered.
     """
     data, ends = text_bytes(texts)
-    words, counts = split_words(data, ends, lower=not ((data == 0xCC) | (data == 0xCD)).any(), stops=True)
+    added = _tokenizer(content)[2]
+    as_is = ((data == 0xCC) | (data == 0xCD)).any() or added is not None and added.search(memoryview(data)) is not None
+    words, counts = split_words(data, ends, lower=not as_is, stops=True)
     codes, distinct = coded(words)
     encoded = _encoded(distinct.to_pylist(), content)
     per_word = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4

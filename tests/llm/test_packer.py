@@ -15,19 +15,25 @@ from ridestats.llm import packer
 from ridestats.llm.common import file_of
 
 FILE = file_of("word_bpe_49k.json")
-WORDS = ["The", "É", "e\u0301", "ΟΔΟΣ", "it's", "12", "a\u00a0b", "don't.", "漢字", "x" * 60, "<|endoftext|>", "\u2028", "of", "…", "\x1c", "End.", "A,b.c", "T\u0308.", ".,x", "Ab.'s", "\u0130.", "K.\u0301", "1.5,"]
+LIBRARY = Tokenizer.from_buffer(FILE)  # as loaded
+WORDS = ["x<|endoftext|>Y", "<|ENDOFTEXT|>", "<|startoftext|>.", "The", "É", "e\u0301", "ΟΔΟΣ", "it's", "12", "a\u00a0b", "don't.", "漢字", "x" * 60, "<|endoftext|>", "\u2028", "of", "…", "\x1c", "End.", "A,b.c", "T\u0308.", ".,x", "Ab.'s", "\u0130.", "K.\u0301", "1.5,"]
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from([*"aAbZ.,'sSt1 \n-", "\u0308", "\u030c", "j", "T", "\u0130", "é", "\u00a0", "漢"]), max_size=25), max_size=6))
 def test_ids_of_any_text(texts):
-    tokenizer = Tokenizer.from_buffer(FILE)
-    tokenizer.encode_special_tokens = True
     ids, lengths = packer._ids(pa.array(texts, pa.string()), FILE)
-    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    want = [[*LIBRARY.encode(t, add_special_tokens=False).ids, 0] for t in texts]
     assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "<|endof", "text|>", *"aAZ.,' \n", "\u0308", "É"]), max_size=15).map("".join), max_size=4))
+def test_added_tokens_are_found_as_the_library_finds_them(texts):
+    ids, _ = packer._ids(pa.array(texts, pa.string()), FILE)
+    assert ids.tolist() == [i for t in texts for i in (*LIBRARY.encode(t, add_special_tokens=False).ids, 0)]
+
+
 def checked(rows, size):
     """Every place is used once, without gaps; returns the number of sequences."""
     sequences = defaultdict(list)
@@ -63,11 +69,9 @@ def test_pieces_and_places(spark):
     placed = packer.pack(cut, size).collect()
     checked([(r.length, r.sequence_id, r.offset) for r in placed], size)
 
-    tokenizer = Tokenizer.from_buffer(FILE)
-    tokenizer.encode_special_tokens = True
     want = []
     for i, text in rows:
-        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        ids = [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 0]
         for p, start in enumerate(range(0, len(ids), size)):
             part = ids[start : start + size]
             want.append((i, p, start, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), part))
