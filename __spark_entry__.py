@@ -24,7 +24,7 @@ from ridestats.operators.sampling import seeded_sample, stratified_split  # noqa
 from ridestats.plans import (  # noqa: E402
     anomalies, artifacts, explore, marts, reports, revenue, scenarios,
 )
-from ridestats.sources import order_star, register_star, scratch_dir, stage, validate_dims  # noqa: E402
+from ridestats.sources import order_star, process_dir, register_star, stage, validate_dims  # noqa: E402
 
 try:  # the text operators and their pipeline can be left out as a whole
     from ridestats.llm import queries as text_queries  # noqa: E402
@@ -75,7 +75,7 @@ def _once(kind: str, spark: SparkSession, folder: str, build: Callable[[], objec
 
 def _place(spark: SparkSession, folder: str, what: str) -> str:
     source = folder.strip("/").replace("/", "-")
-    return f"{scratch_dir(spark)}/ridestats/{what}-{spark.sparkContext.applicationId}-{source}"
+    return f"{process_dir(spark)}/{what}-{spark.sparkContext.applicationId}-{source}"
 
 
 def _star(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

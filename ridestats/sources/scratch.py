@@ -32,10 +32,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{_OWN}"
 
 
+def process_dir(spark: SparkSession) -> str:
+    """The part of the scratch folder that belongs to this process; :func:`discard_staged` deletes it."""
+    return f"{scratch_dir(spark)}/ridestats/{_run}"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the scratch folder and read it back."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/ridestats/{_run}/{label}-{uuid.uuid4().hex}"
+    path = f"{process_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,5 +48,5 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 def discard_staged(spark: SparkSession) -> None:
     """Delete the tables that this process has staged; frames over them can no longer be read."""
     session = spark._jsparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/ridestats/{_run}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(process_dir(spark))
     path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)

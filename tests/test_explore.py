@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from star_frames import rows
 
 from ridestats.plans import explore, marts
 from ridestats.plans.explore import Filters

@@ -1,5 +1,5 @@
 import pytest
-from conftest import BALANCE, TRIPS, WEATHER, make_star, rows
+from star_frames import BALANCE, TRIPS, WEATHER, make_star, rows
 
 from ridestats.plans import marts
 from ridestats.sources import load_star, register_star, scratch_dir, stage, validate_dims, write_result

@@ -1,6 +1,6 @@
 import pandas as pd
 import pytest
-from conftest import rows
+from star_frames import rows
 from pyspark.sql import functions as F
 
 from ridestats.functions.numeric import equal_width_bin, finite

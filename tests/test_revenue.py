@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from conftest import make_star, rows
+from star_frames import make_star, rows
 from pyspark.sql import functions as F
 
 from ridestats.functions.features import FEATURES
