@@ -165,3 +165,16 @@ least as (select r.a as rid, min(r.b) as root, min(doc_id) as component_id from
 JACCARD = f"""
 with recursive {groups_cte('documents', 3, 90, 100)}
 select doc_id, n as n_shingles, component_id from doc join least using (rid)"""
+
+TOP_PRODUCTS = """
+with whole as (
+  select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+products as (
+  select q.row, q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
+  from whole q join whole c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+select query_id, rank::integer as rank, vec_id, score
+from (select *, row_number() over (partition by row order by score desc, vec_id) as rank from products)
+where rank <= 5
+"""
