@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from ridestats.llm import bpe, content, jaccard, layouts, licenses, lines, lm, packer, quality, sql, topk, urls, vectors
+from ridestats.llm import bpe, content, jaccard, layouts, licenses, lines, lm, packer, quality, sql, topk, urls, variants, vectors
 from ridestats.llm.common import file_of, table
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256)
 
@@ -92,6 +96,7 @@ def queries() -> dict:
         "op8_quality_rules": op8_quality_rules,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_lm_score": op10_lm_score,
+        "op11_spelling_variants": op11_spelling_variants,
         "op13_topk_search": op13_topk_search,
         "pipeline": corpus_pipeline.run,
     }
@@ -105,5 +110,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_jaccard_join": sql.JACCARD,
         "op7_license_scan": sql.LICENSES,
         "op8_quality_rules": sql.QUALITY,
+        "op11_spelling_variants": sql.VARIANTS,
         "op13_topk_search": sql.TOP_PRODUCTS,
     }

@@ -166,6 +166,37 @@ JACCARD = f"""
 with recursive {groups_cte('documents', 3, 90, 100)}
 select doc_id, n as n_shingles, component_id from doc join least using (rid)"""
 
+# crc32 bit by bit: a message's bits, the lowest of each byte first.
+VARIANTS = """
+with recursive runs as (
+  select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{5,}')) as run from documents),
+messages as (select id, run, count(*) as times, hex(id || ':' || run) as bytes from runs group by all),
+hashed as (
+  select run, times, xor(list_reduce(
+    list_transform(range(4 * length(bytes)), lambda i: (('0x' || substr(bytes, 2 * (i // 8) + 1, 2))::bigint >> (i % 8)) & 1),
+    lambda c, bit: xor(c >> 1, 3988292384 * (xor(c, bit) & 1)), 4294967295::bigint), 4294967295) as h from messages),
+cut as (
+  select case when h % 97 = 0 then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word, times from hashed),
+words as (select word, sum(times)::bigint as n from cut where length(word) >= 5 group by word having sum(times) >= 3),
+gaps as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest
+         from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+near as (
+  select a.word, b.word as near, b.n as near_n from gaps a join gaps b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select a.word, b.word, b.n from gaps a join words b on a.rest = b.word
+  union select b.word, a.word, a.n from gaps a join words b on a.rest = b.word),
+best as (select word, count(*) as n_near, max(near_n) as near_n, arg_min(near, (-near_n, near)) as near from near group by word),
+judged as (
+  select w.word, w.n, coalesce(b.n_near, 0) as n_near, case when b.near_n >= 2 * w.n then b.near end as form,
+         case when b.near_n >= 2 * w.n then b.near_n end as form_n
+  from words w left join best b using (word)),
+ways as (
+  select word, word as at from judged
+  union all select w.word, j.form from ways w join judged j on j.word = w.at where j.form is not null)
+select j.word, j.form, w.at as root, j.n, j.n_near, j.form_n
+from judged j join ways w using (word) join judged e on e.word = w.at where e.form is null
+"""
+
 TOP_PRODUCTS = """
 with whole as (
   select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
