@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from ridestats.llm import bpe, content, jaccard, layouts, licenses, lines, lm, packer, quality, sql, topk, urls, variants, vectors
+from ridestats.llm import bpe, content, jaccard, layouts, licenses, lines, lm, packer, phrases, quality, sql, topk, urls, variants, vectors
 from ridestats.llm.common import file_of, table
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, words=5, top=2000)
+
+
 def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256)
 
@@ -97,6 +101,7 @@ def queries() -> dict:
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_lm_score": op10_lm_score,
         "op11_spelling_variants": op11_spelling_variants,
+        "op12_phrase_mining": op12_phrase_mining,
         "op13_topk_search": op13_topk_search,
         "pipeline": corpus_pipeline.run,
     }
@@ -111,5 +116,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_license_scan": sql.LICENSES,
         "op8_quality_rules": sql.QUALITY,
         "op11_spelling_variants": sql.VARIANTS,
+        "op12_phrase_mining": sql.PHRASES,
         "op13_topk_search": sql.TOP_PRODUCTS,
     }

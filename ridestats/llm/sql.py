@@ -197,6 +197,34 @@ select j.word, j.form, w.at as root, j.n, j.n_near, j.form_n
 from judged j join ways w using (word) join judged e on e.word = w.at where e.form is null
 """
 
+PHRASES = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+words as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+places as (select lang, w, unnest(range(1, len(w) + 1)) as i from words),
+sizes as (select lang, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) as size from places),
+counts as (select lang, size, array_to_string(list_slice(w, i, i + size - 1), ' ') as phrase, count(*) as f from sizes group by all),
+totals as (select lang, sum(f) as n from counts where size = 1 group by lang),
+candidates as (select lang, size, phrase, string_split(phrase, ' ') as w, f as a from counts where size > 1 and f >= 100),
+inner_ones as (
+  select lang, array_to_string(list_slice(w, i, i + size - 2), ' ') as phrase, a
+  from (select *, unnest([1, 2]) as i from candidates where size > 2)),
+kept as (select * from candidates c where not exists (
+  select 1 from inner_ones o where o.lang = c.lang and o.phrase = c.phrase and o.a >= c.a)),
+cuts as (
+  select lang, phrase, a, k, array_to_string(w[:k], ' ') as head, array_to_string(w[k + 1:], ' ') as tail
+  from (select *, unnest(range(1, size)) as k from kept)),
+scored as (
+  select c.lang, c.phrase, c.a, c.k, l.f as l, r.f as r, t.n,
+         ((1000::hugeint * c.a::hugeint * t.n::hugeint) // (l.f::hugeint * r.f::hugeint)) as score
+  from cuts c join counts l on l.lang = c.lang and l.phrase = c.head join counts r on r.lang = c.lang and r.phrase = c.tail
+  join totals t on t.lang = c.lang),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from best) where rank <= 2000
+"""
+
 TOP_PRODUCTS = """
 with whole as (
   select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ridestats.llm.bits import bit_table, maybe_in
 from ridestats.llm.packing import give_back, mix
 from ridestats.sources.scratch import stage
 
@@ -67,7 +68,7 @@ def variant_groups(words: DataFrame, least: int = 3, factor: int = 2, symbols: i
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     vocabulary = stage(counted.withColumn("at", F.monotonically_increasing_id()), "vocabulary")  # numbers stay as written
     reduced = stage(vocabulary.select("word", "at").mapInArrow(_reduced(symbols), "at long, key long"), "reduced-words")
-    table = _bit_table(reduced)
+    table = bit_table(reduced, "key", BITS)
     asked = vocabulary.select("word", "at").mapInArrow(_neighbours(symbols, table), "at long, key long")
     met = asked.join(reduced.select("key", F.col("at").alias("near_at")), "key").filter("at <> near_at")
     own = vocabulary.select("at", "word")
@@ -174,8 +175,7 @@ def _neighbours(symbols: int, table: np.ndarray):
         for batch in batches:
             for numbers, letters in _by_length(batch, symbols, 2):
                 for rows, keys in neighbours(letters, symbols):
-                    place = keys >> np.uint64(64 - BITS)
-                    there = table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 != 0
+                    there = maybe_in(table, keys)
                     if there.any():
                         yield _keyed(numbers[rows[there]], keys[there])
             give_back()
@@ -187,18 +187,6 @@ def _keyed(numbers: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"at": pa.array(numbers, pa.int64()), "key": pa.array(keys.view(np.int64))})
 
 
-def _bit_table(reduced: DataFrame) -> np.ndarray:
-    """One bit for each value of the first ``BITS`` bits of a key: whether a reduced word has it."""
-    place = F.shiftrightunsigned("key", 64 - BITS)
-    parts = reduced.select(F.shiftright(place, 15).alias("part"), (place % (1 << 15)).alias("bit")).groupBy("part").agg(
-        F.bitmap_construct_agg("bit").alias("bits")).collect()  # at most 2**BITS bits, whatever the vocabulary
-    table = np.zeros(1 << (BITS - 3), np.uint8)
-    for part, bits in parts:
-        own = np.frombuffer(bytes(bits), np.uint8)
-        table[part << 12 : (part << 12) + len(own)] = own
-    return table
-
-
 def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """:func:`variant_groups` of the :func:`runs` of all texts."""
     return variant_groups(runs(docs, 5, id_col, text_col), 3, 2)

@@ -95,7 +95,7 @@ def test_chains_ties_and_empty_tables(spark):
 def test_a_full_bit_table_loses_nothing(spark, monkeypatch, bits):
     rows = corpus()[:60]
     if not bits:
-        monkeypatch.setattr(variants, "_bit_table", lambda reduced: np.full(1 << (variants.BITS - 3), 255, np.uint8))
+        monkeypatch.setattr(variants, "bit_table", lambda *_: np.full(1 << (variants.BITS - 3), 255, np.uint8))
     else:
         monkeypatch.setattr(variants, "AT_ONCE", 50)
     df = spark.createDataFrame(rows, "doc_id long, text string")
