@@ -2,17 +2,21 @@
 
 Small or often re-read intermediates are written as Parquet rather than cached:
 the files outlive a lost executor, they cut the lineage, and Catalyst sees their
-real size, so it broadcasts them only when they are in fact small.
+real size, so it broadcasts them only when they are in fact small. The shuffles behind
+a written table are given up as soon as it is complete.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR_KEY = "spark.checkpoint.dir"
+_FREE_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN = "ridestats-scratch"
 _run = uuid.uuid4().hex  # tables of this process share a folder
 
@@ -37,16 +41,38 @@ def process_dir(spark: SparkSession) -> str:
     return f"{scratch_dir(spark)}/ridestats/{_run}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the scratch folder and read it back."""
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Files of a query's shuffles go when the query ends, not when the driver collects garbage."""
+    before = spark.conf.get(_FREE_KEY, "false")
+    spark.conf.set(_FREE_KEY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE_KEY, before)
+
+
+def stage(df: DataFrame, label: str, *parts: str) -> DataFrame:
+    """Write ``df`` once to the scratch folder and read it back; in folders by ``parts``, if any are named."""
     spark = df.sparkSession
     path = f"{process_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _shuffles_freed(spark):
+        df.write.partitionBy(*parts).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def unstage(staged: DataFrame) -> None:
+    """Delete one table that :func:`stage` returned; nothing may read it any more."""
+    _delete(staged.sparkSession, staged.staged_at)
 
 
 def discard_staged(spark: SparkSession) -> None:
     """Delete the tables that this process has staged; frames over them can no longer be read."""
-    session = spark._jsparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(process_dir(spark))
-    path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
+    _delete(spark, process_dir(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from ridestats.sources import discard_staged, load_star, scratch_dir, stage, star as star_module
+from ridestats.sources import discard_staged, load_star, scratch_dir, stage, star as star_module, unstage
 from ridestats.sources.star import DIM_KEYS, STAR
 
 
@@ -48,6 +48,25 @@ def test_staged_tables_can_be_discarded(spark):
     assert not any(f for _, _, f in os.walk(folder))
 
 
+def test_one_staged_table_can_be_deleted_and_tables_come_in_folders(spark):
+    gone, kept = stage(spark.range(3), "gone"), stage(spark.range(4).selectExpr("id", "id % 2 as part"), "kept", "part")
+    path = kept.staged_at.removeprefix("file:")
+    assert {d for d in os.listdir(path) if "=" in d} == {"part=0", "part=1"}
+    assert sorted(map(tuple, kept.where("part = 1").collect())) == [(1, 1), (3, 1)]
+    unstage(gone)
+    assert not os.path.exists(gone.staged_at.removeprefix("file:")) and kept.count() == 4
+
+
+def test_shuffles_of_a_staged_table_are_given_up(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    staged = stage(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count(), "sums")
+    assert spark.conf.get(key) == before and staged.count() == 7
+    with pytest.raises(Exception):
+        stage(spark.range(3).selectExpr("raise_error('no')"), "fails")
+    assert spark.conf.get(key) == before
+
+
 @pytest.mark.parametrize("master,works", [("local", True), ("local[8]", True), ("local-cluster[2,1,1024]", False), ("yarn", False)])
 def test_only_a_session_in_one_process_goes_without_a_shared_folder(master, works):
     class Conf:
