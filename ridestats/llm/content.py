@@ -13,7 +13,9 @@ come in page order, white space inside them as one space, joined by one space.
 
 Labelled pages are few and bounded (``MAX_LABELLED``); fitting them is the driver's only
 work. Pages are read row by row in batches, without a shuffle. Null and empty pages have
-no text. Ids are kept as they are; only the named columns are read.
+no text. Every row gives one row, also repeated ones; ids are kept as they are, null ones
+too. An element that is exactly as likely content as not is none. Only the named columns
+are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -255,10 +257,16 @@ def _inside(node: Node, other: Node) -> bool:
     return False
 
 
-def labelled_sample(pages: DataFrame, most: int = 100, id_col: str = "page_id", html_col: str = "html") -> list[tuple[Page, np.ndarray]]:
-    """Up to ``most`` pages that label themselves, those with the smallest hashes of their ids."""
+def labelled_sample(pages: DataFrame, most: int = 100, longest: int = 100_000, id_col: str = "page_id",
+                    html_col: str = "html") -> list[tuple[Page, np.ndarray]]:
+    """Pages that label themselves, those with the smallest hashes of their ids.
+
+    The sample that weights are fitted on has two bounds, as the driver holds it: ``most``
+    pages, and less than ``longest`` characters of HTML in each of them. Pages beyond the
+    bounds are only left out of the fit; :func:`extract` judges all pages.
+    """
     marked = pages.select(F.col(html_col).cast("string").alias("html"), F.xxhash64(F.col(id_col), F.length(html_col)).alias("h")).filter(
-        "html is not null and length(html) < 100000 and (html ilike '%<article%' or html ilike '%<main%')")
+        F.col("html").isNotNull() & (F.length("html") < longest) & (F.col("html").ilike("%<article%") | F.col("html").ilike("%<main%")))
     # The hashes first: pages are sent for those alone that are among the smallest.
     last = marked.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
     rows = marked.filter(F.col("h") <= F.lit(last)).orderBy("h", "html").limit(most).collect() if last is not None else []

@@ -1,9 +1,15 @@
 """HTML as a tree of elements with their own texts.
 
 A small tolerant reader: end tags may be missing or stray, attributes unquoted, the page
-cut off anywhere. Contents of scripts, styles and the like, comments and markup are not
-text, nor is what ended drawings, templates, menus of choices and noscript hold; where
-such an element is never ended, its content stays. One pass over the page, no recursion.
+cut off anywhere. As in browsers, quotes hold a value together only behind an equals sign,
+an unquoted value goes on to the next blank or ``>`` (also over a slash), and ``/>`` ends an
+element at once only in drawings and formulas. Contents of scripts, styles and the like,
+comments and markup are not text, nor is what ended drawings, templates, menus of choices
+and noscript hold; where such an element is never ended, its content stays. Elements more
+than ``DEPTH`` deep become children of the last one that is not.
+
+One pass over the page without recursion or backtracking: the work for a page grows with
+its length, whatever its markup.
 """
 
 from __future__ import annotations
@@ -32,9 +38,17 @@ _INTEGRATION = frozenset("foreignobject desc title annotation-xml mi mo mn ms mt
 _LEAVES_FOREIGN = _ENDS_P | frozenset("b big body br center code dd dt em embed head i img li nobr ruby s small span strong strike sub sup tt u var".split())
 _LEAVES_SELECT = (_ENDS_P - {"hr", "div"}) | {"select", "input", "textarea", "li"}
 _SCOPE = frozenset("svg math object template select ul ol dl table div section article aside nav main header footer form blockquote body html".split())
+DEPTH = 512
+# Quantifiers that never give back keep the scan linear. A value is what follows "=".
+_VALUE = r"\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)"
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)((?:{_VALUE}|[\s/]++|[^\s/>=]++|=)*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?+|'([^']*+)'?+|([^\s>\"'][^\s>]*+)))?+|=")
+_NAMING = frozenset(("class", "id", "role"))
+
+
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I) for tag in RAW}
 
 
 class Node:
@@ -81,18 +95,35 @@ def parse(html: str | None) -> list[Node]:
             _close(stack, "p")
         for sibling in _SIBLINGS.get(tag, ()):
             _close(stack, sibling)
-        names = " ".join(next(filter(None, m.groups()[1:]), "") for m in _ATTRIBUTE.finditer(found[3])) if "=" in found[3] else ""
-        node = Node(tag, names.lower(), stack[-1], len(nodes))
+        node = Node(tag, _names(found[3]) if "=" in found[3] else "", stack[-1], len(nodes))
         nodes.append(node)
         stack[-1].parts.append(node)
-        region = stack[-1].region
-        if tag in RAW and not (found[3].endswith("/") and region and region.tag in _FOREIGN):
-            end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(html, at)
+        region = node.region
+        foreign = tag in _FOREIGN or region and region.tag in _FOREIGN
+        if foreign and _self_closed(found[3]):
+            continue
+        if tag in RAW:
+            end = _END[tag].search(html, at)
             at = end.end() if end else len(html)
-        elif tag not in VOID and not found[3].endswith("/"):
+        elif tag not in VOID and len(stack) <= DEPTH:
             stack.append(node)
 
 
+def _names(attributes: str) -> str:
+    """Words of class, id and role."""
+    return " ".join(m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes) if m[1] and m[1].lower() in _NAMING).lower()
+
+
+def _self_closed(attributes: str) -> bool:
+    """Whether the slash in front of the ``>`` is not the end of an unquoted value."""
+    if not attributes.endswith("/"):
+        return False
+    end = 0
+    for found in _ATTRIBUTE.finditer(attributes):
+        end = found.end()
+    return end < len(attributes)
+
+
 def _leave_out(ended: Node, nodes: list[Node]) -> None:
     """Forget what an element holds that ends here: all nodes since it began."""
     del nodes[ended.number + 1 :]

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import itertools
+import time
 
 import numpy as np
+import pytest
 
 from ridestats.llm import content, layouts
 from ridestats.llm.dom import parse
@@ -99,3 +101,44 @@ def test_only_ended_elements_without_text_are_left_out():
     assert text("<p>A</p><select><option>no<option>no<p>B</p><select><option>no</select>C") == "A B C"
     assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><object><object><p>in</p></object>old</object>") == "so x = 1 holds in old"
     assert text("<p>A</p><script/>no</script><style>no</style><title>no</title><p>B") == "A B"
+
+
+def shown(html):
+    page = content.featured(parse(html))
+    return [(v.tag, v.names, v.parent.tag) for v in page.nodes[1:]], content.text_of(page, np.ones(len(page.nodes), bool))
+
+
+def test_unquoted_values_and_slashes():
+    assert shown("<article data-u=/news/><p>A</p></article><footer class=x/>B")[0] == [
+        ("article", "", "#root"), ("p", "", "article"), ("footer", "x/", "#root")]
+    assert shown("<div/><p>A</p></div><p>B")[0] == [("div", "", "#root"), ("p", "", "div"), ("p", "", "#root")]
+    nodes, text = shown("<p>A <a href=/>home</a> B<br/>C")
+    assert nodes == [("p", "", "#root"), ("a", "", "p"), ("br", "", "p")] and text == "A home B C"
+    assert shown("<svg class=i /><p>A</p><svg class=i/><p>B</p></svg>")[0] == [
+        ("svg", "i", "#root"), ("p", "", "#root"), ("svg", "i/", "#root"), ("p", "", "#root")]
+    assert shown("<p title='a > b' CLASS = \"x\ty\" id=z data-id=no data-x='class=no'>A<p \"q>B<p a=\"'\" b>C") == (
+        [("p", "x\ty z", "#root"), ("p", "", "#root"), ("p", "", "#root")], "A B C")
+    assert shown("<p =x>A<p a= >B<p a = b>C<script>x</script foo>D</p")[1] == "A B C D"
+    assert shown("<p>A</p><a href='unclosed>B</a><p>C")[1] == "A"  # as in browsers: the value never ends
+
+
+def test_an_article_tag_with_an_unquoted_path_keeps_the_footer_out():
+    html = ("<body><nav><a href=/>Home</a><a href=/news/>News</a></nav><article data-u=/news/><h1>Head line</h1><p>It was said, once more, that all of it holds. "
+            "And so it does.</p></article><footer>Copyright 2020 us</footer>")
+    page = content.featured(parse(html))
+    assert content.text_of(page, content.marginals(page, weights())[0] > 0.5) == "Head line It was said, once more, that all of it holds. And so it does."
+
+
+@pytest.mark.parametrize("part, end", [
+    ("<a ", '"'), ("<a b=", '"'), ('<a b="', ""), ("<a b='\">", "'"), ("<p title=\"'", "x"), ("<!--", ""), ("<![CDATA[ ", ""), ("<script>", ""),
+    ("<b>", "</i>" * 9), ("<a =", ">"), ("<svg a=/", ">"), ("< ", "<"), ("<p><object><b>", "<hr>" * 99), ("&am", ";"), ("</b", ""), ("<a / ", "/>")])
+def test_a_megabyte_of_any_markup_takes_seconds(part, end):
+    at = time.perf_counter()
+    parse(part * (1_000_000 // len(part)) + end)
+    assert time.perf_counter() - at < 20
+
+
+def test_repeated_rows_are_rows_of_their_own(spark):
+    df = spark.createDataFrame([(1, "u", "<article><p>Same text, twice over.</p></article>")] * 2, "page_id int, url string, html string")
+    rows = content.extract(df, weights()).collect()
+    assert len(rows) == 2 and rows[0] == rows[1]
