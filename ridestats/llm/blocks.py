@@ -23,7 +23,8 @@ from ridestats.llm.packing import coded, give_back, pack_ints, pack_strings, tex
 from ridestats.sources.scratch import stage
 
 BLOCK_BYTES = 8 << 20  # text in a block; a longer single text makes a block of its own
-BLOCK_ROWS = 1 << 18  # rows in a block, at most 2**20
+BLOCK_ROWS = 1 << 17  # rows in a block
+ROW_BITS, NUMBER_BITS = 18, 24  # of a row in its block and of a block in its partition; the rest numbers partitions
 SHARD_BYTES = 24 << 20  # text per shard of the words or n-grams
 
 Splitter = Callable[[np.ndarray, np.ndarray], tuple[pa.Array, np.ndarray]]
@@ -51,6 +52,7 @@ def cut(docs: DataFrame, split: Splitter, id_col: str = "doc_id", text_col: str
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
                          (F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))).alias("flag"))
     kind, most = narrow.schema["id"].dataType.simpleString(), block_bytes or BLOCK_BYTES
+    most_rows = BLOCK_ROWS
 
     def one(block: int, batch: pa.Table) -> pa.RecordBatch:
         texts = batch["text"].combine_chunks()
@@ -66,17 +68,21 @@ def cut(docs: DataFrame, split: Splitter, id_col: str = "doc_id", text_col: str
         )
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size, rows = TaskContext.get().partitionId() << 12, [], 0, 0
+        task, number, held, size, rows = TaskContext.get().partitionId(), 0, [], 0, 0
+        if task >> 63 - ROW_BITS - NUMBER_BITS:
+            raise ValueError("too many partitions for block numbers")
         for batch in batches:
-            for part in slices(batch, "text", most):
+            for part in (piece for some in _rows(batch, most_rows) for piece in slices(some, "text", most)):
                 held.append(part)
                 size, rows = size + part.column("text").nbytes, rows + part.num_rows
-                if size >= most or rows >= BLOCK_ROWS:
-                    yield one(number, pa.Table.from_batches(held))
+                if size >= most or rows >= most_rows:
+                    if number >> NUMBER_BITS:
+                        raise ValueError("too many blocks in a partition")
+                    yield one(task << NUMBER_BITS | number, pa.Table.from_batches(held))
                     number, held, size, rows = number + 1, [], 0, 0
                     give_back()
         if held:
-            yield one(number, pa.Table.from_batches(held))
+            yield one(task << NUMBER_BITS | number, pa.Table.from_batches(held))
         give_back()
 
     schema = f"block long, ids array<{kind}>, flags binary, counts binary, codes binary, words binary"
@@ -84,6 +90,11 @@ def cut(docs: DataFrame, split: Splitter, id_col: str = "doc_id", text_col: str
     return stage(made, label) if label else made.repartition("block")
 
 
+def _rows(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, most):
+        yield batch.slice(at, most)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a part has about ``most`` bytes of text, or one row."""
     texts = batch.column(column)
@@ -95,7 +106,9 @@ def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
     yield from slices(batch.slice(half), column, most)
 
 
-def by_shard(shards: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order that brings entries of a shard together, and where each shard begins."""
-    order = np.argsort(shards, kind="stable")
-    return order, np.searchsorted(shards[order], np.arange(n_shards + 1))
+def runs_of(shards: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(shard, from, to) of the shards that ascending entries name; the others cost nothing."""
+    cuts = (np.flatnonzero(np.diff(shards)) + 1).tolist()
+    for a, b in zip([0, *cuts], [*cuts, len(shards)]):
+        if a < b:
+            yield int(shards[a]), a, b

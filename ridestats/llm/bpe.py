@@ -23,8 +23,8 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from ridestats.llm.blocks import by_shard, cut, shard_count, text_size
-from ridestats.llm.packing import give_back, hashes, pack_ints, pack_strings, split_pieces, unpack_ints, unpack_strings
+from ridestats.llm.blocks import cut, runs_of, shard_count, text_size
+from ridestats.llm.packing import give_back, hashes, pack_ints, pack_strings, spans, split_pieces, unpack_ints, unpack_strings
 
 _AT_ONCE = 1 << 18  # words whose ids are put together at a time
 
@@ -50,8 +50,11 @@ def _token_bytes(content: bytes) -> np.ndarray:
 
 
 def _by_owner(words: bytes, n_shards: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of a block, an order that brings those of a shard together, and the shards in it."""
     pieces = unpack_strings(words)
-    return pieces, *by_shard((hashes(pieces) % np.uint64(n_shards)).astype(np.int64), n_shards)
+    shards = (hashes(pieces) % np.uint64(n_shards)).astype(np.int64)
+    order = np.argsort(shards, kind="stable")
+    return pieces, order, shards[order]
 
 
 def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,13 +65,11 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, words in zip(batch["block"].to_pylist(), batch["words"]):
-                pieces, order, starts = _by_owner(words.as_py(), n_shards)
-                for shard in range(n_shards):
-                    mine = order[starts[shard] : starts[shard + 1]]
-                    if len(mine):
-                        yield pa.RecordBatch.from_pydict(
-                            {"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int64()),
-                             "words": pa.array([pack_strings(pieces.take(pa.array(mine)))], pa.binary())})
+                pieces, order, shards = _by_owner(words.as_py(), n_shards)
+                for shard, a, b in runs_of(shards):
+                    yield pa.RecordBatch.from_pydict(
+                        {"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int64()),
+                         "words": pa.array([pack_strings(pieces.take(pa.array(order[a:b])))], pa.binary())})
                 give_back()
 
     def answer(group: pa.Table) -> pa.Table:
@@ -120,13 +121,6 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
         reassemble, f"`{id_col}` {kind}, ids array<int>")
 
 
-def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Indices starts[0], starts[0]+1, .. for lengths[0], then those of the next span."""
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
-
-
 def decode(encoded: DataFrame, ranks: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Bytes (id_col, bytes) of token ids; null ids give null. An id without a token is an error."""
 

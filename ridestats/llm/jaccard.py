@@ -31,17 +31,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ridestats.llm.blocks import cut, shard_count, text_size
+from ridestats.llm.blocks import ROW_BITS, cut, runs_of, shard_count, text_size
 from ridestats.llm.components import Forest, components
 from ridestats.llm.packing import (
-    give_back, hashes, joined, mix, pack_ints, pack_sorted, split_words, unpack_ints, unpack_sorted, unpack_strings,
+    give_back, hashes, joined, mix, pack_ints, pack_sorted, spans, split_words, unpack_ints, unpack_sorted, unpack_strings,
 )
-from ridestats.llm.bpe import spans
 from ridestats.sources.scratch import stage
 
-CHUNK = 1 << 22  # n-grams in a chunk of a cluster
+BLOCK_BYTES = 3 << 20  # text in a block
+CHUNK = 1 << 21  # n-grams in a chunk of a cluster
 LONG_LIST = 512  # entries of a list that is searched rather than merged
-_ROW_BITS = 20
 
 
 class _Sets:
@@ -49,13 +48,10 @@ class _Sets:
 
     def __init__(self, row: dict, k: int):
         counts = unpack_ints(row["counts"]).astype(np.int64)
-        words = hashes(unpack_strings(row["words"]))[unpack_ints(row["codes"])]
+        self.words = hashes(unpack_strings(row["words"]))[unpack_ints(row["codes"])]
         self.ends = np.cumsum(counts)
         self.starts = self.ends - counts
-        self.runs = [words]
-        for j in range(1, k):
-            self.runs.append(joined(self.runs[-1][:-1], words[j:]) if len(words) > j else words[:0])
-        self.k = k
+        self.k, self.grams = k, _runs(self.words, k)
 
     def __len__(self) -> int:
         return len(self.ends)
@@ -64,8 +60,17 @@ class _Sets:
         n = int(self.ends[i] - self.starts[i])
         if not n:
             return np.empty(0, np.uint64)
-        size = min(n, self.k)
-        return np.unique(self.runs[size - 1][self.starts[i] : self.starts[i] + n - size + 1])
+        if n < self.k:
+            return _runs(self.words[self.starts[i] : self.ends[i]], n)
+        return np.unique(self.grams[self.starts[i] : self.ends[i] - self.k + 1])
+
+
+def _runs(words: np.ndarray, k: int) -> np.ndarray:
+    """The hash of the ``k`` words from each place on."""
+    grams = words
+    for j in range(1, k):
+        grams = joined(grams[:-1], words[j:]) if len(words) > j else words[:0]
+    return grams
 
 
 def _share(n: np.ndarray | int, num: int, den: int):
@@ -92,7 +97,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
     if not 0 < num <= den or k < 1:
         raise ValueError("0 < num <= den and k >= 1 are needed")
     n_shards = shard_count(text_size(docs, text_col))
-    blocks = cut(docs, split_words, id_col, text_col, label="shingle-blocks")
+    blocks = cut(docs, split_words, id_col, text_col, label="shingle-blocks", block_bytes=BLOCK_BYTES)
     sizes, rarity = _profiles(blocks, k, num, den, n_shards)
     classes = sizes.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("node").alias("rep"))
     classes = stage(classes, "set-classes")
@@ -133,21 +138,24 @@ def _profiles(blocks: DataFrame, k: int, num: int, den: int, n_shards: int) -> t
             for at, row in enumerate(batch.select(_BLOCK).to_pylist()):
                 give_back()
                 sets, block = _Sets(row, k), row["block"]
-                all_sets = [sets[i] for i in range(len(sets))]
-                n = np.fromiter(map(len, all_sets), np.int64, len(all_sets))
-                digests = [[int(np.bitwise_xor.reduce(mix(s ^ np.uint64(salt)))) if len(s) else 0 for s in all_sets] for salt in (0x5A17, 0xC0FFEE)]
+                n, digests, counted = np.zeros(len(sets), np.int64), np.zeros((2, len(sets)), np.uint64), []
+                for i in range(len(sets)):
+                    own = sets[i]
+                    n[i] = len(own)
+                    for digest, salt in zip(digests, (0x5A17, 0xC0FFEE)):
+                        digest[i] = np.bitwise_xor.reduce(mix(own ^ np.uint64(salt)), initial=np.uint64(0))
+                    counted.append(own[: np.searchsorted(own, limit)].copy())
+                del sets
                 ids = batch["ids"].slice(at, 1).flatten()
                 nulls = pa.nulls(len(n), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), block)), pa.nulls(len(n), pa.int32()), ids, pa.array(block << _ROW_BITS | np.arange(len(n))),
-                     pa.array(n), *(pa.array(np.array(d, np.uint64).view(np.int64)) for d in digests), nulls, nulls], names=names)
-                counted = np.concatenate([s[: np.searchsorted(s, limit)] for s in all_sets] or [np.empty(0, np.uint64)])
-                keys, counts = np.unique(counted, return_counts=True)
+                    [pa.array(np.full(len(n), block)), pa.nulls(len(n), pa.int32()), ids, pa.array(block << ROW_BITS | np.arange(len(n))),
+                     pa.array(n), *(pa.array(d.view(np.int64)) for d in digests), nulls, nulls], names=names)
+                keys, counts = np.unique(np.concatenate(counted or [np.empty(0, np.uint64)]), return_counts=True)
+                del counted
                 # Shards take equal ranges of the counted hashes.
                 shards = ((keys >> np.uint64(32)) * np.uint64(n_shards) // np.uint64((int(limit) >> 32) + 1)).astype(np.int64)
-                starts = np.searchsorted(shards, np.arange(n_shards + 1))
-                for shard in np.flatnonzero(np.diff(starts)).tolist():
-                    a, b = starts[shard], starts[shard + 1]
+                for shard, a, b in runs_of(shards):
                     none = {c: pa.nulls(1, t) for c, t in (("node", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()))}
                     parts = {"block": pa.array([block]), "shard": pa.array([shard], pa.int32()), "id": pa.nulls(1, ids.type), **none,
                              "keys": pa.array([pack_sorted(keys[a:b])], pa.binary()), "counts": pa.array([pack_ints(counts[a:b].astype(np.uint32))], pa.binary())}
@@ -172,8 +180,8 @@ def _profiles(blocks: DataFrame, k: int, num: int, den: int, n_shards: int) -> t
 
 def _rows_of(nodes: DataFrame, *more: str) -> DataFrame:
     """Nodes by block: which of its rows, and further columns in the same order."""
-    rows = F.struct((F.col("node") % (1 << _ROW_BITS)).cast("int").alias("row"), *more)
-    return nodes.select(F.shiftright("node", _ROW_BITS).alias("block"), rows.alias("r")).groupBy("block").agg(F.collect_list("r").alias("rows"))
+    rows = F.struct((F.col("node") % (1 << ROW_BITS)).cast("int").alias("row"), *more)
+    return nodes.select(F.shiftright("node", ROW_BITS).alias("block"), rows.alias("r")).groupBy("block").agg(F.collect_list("r").alias("rows"))
 
 
 def _meeting(blocks: DataFrame, rarity: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -186,22 +194,22 @@ def _meeting(blocks: DataFrame, rarity: DataFrame, classes: DataFrame, k: int, n
         if own.num_rows:
             (row,), told = own.to_pylist(), told.to_pylist()
             sets = _Sets(row, k)
-            all_sets = [sets[i] for i in range(len(sets))]
-            counted = [s[: np.searchsorted(s, limit)] for s in all_sets]
+            counted = [own[: np.searchsorted(own, limit)].copy() for own in map(sets.__getitem__, range(len(sets)))]
             keys = np.unique(np.concatenate(counted)) if counted else np.empty(0, np.uint64)
             parts = [unpack_ints(r["totals"]) for r in sorted((r for r in told if r["totals"] is not None), key=lambda r: r["shard"])]
             totals = np.concatenate(parts) if parts else np.empty(0, np.uint32)
             for r in (r for x in told for r in x["rows"] or ()):
                 i = r["row"]
                 have = totals[np.searchsorted(keys, counted[i])]
-                share = _share(len(all_sets[i]), num, den)
+                own = sets[i]
+                share = _share(len(own), num, den)
                 order = np.argsort(have, kind="stable")[:share]
                 grams = counted[i][order][have[order] > 1]
                 if len(order) < share:
-                    grams = np.concatenate([grams, all_sets[i][len(counted[i]) :][: share - len(order)]])
+                    grams = np.concatenate([grams, own[len(counted[i]) :][: share - len(order)]])
                 out[0].append(grams.view(np.int64))
-                out[1].append(np.full(len(grams), row["block"] << _ROW_BITS | i))
-                out[2].append(np.full(len(grams), len(all_sets[i])))
+                out[1].append(np.full(len(grams), row["block"] << ROW_BITS | i))
+                out[2].append(np.full(len(grams), len(own)))
         return pa.table({c: pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for c, x in zip(("gram", "node", "n"), out)})
 
     reps = _rows_of(classes.select(F.col("rep").alias("node")))
@@ -236,7 +244,7 @@ def _links(blocks: DataFrame, meeting: DataFrame, k: int, num: int, den: int) ->
             (row,) = own.to_pylist()
             sets = _Sets(row, k)
             for r in (r for x in asked["rows"].to_pylist() for r in x):
-                out.append({**r, "node": row["block"] << _ROW_BITS | r["row"], "grams": sets[r["row"]].tobytes()})
+                out.append({**r, "node": row["block"] << ROW_BITS | r["row"], "grams": sets[r["row"]].tobytes()})
         return pa.Table.from_pylist(out, fetched)
 
     fetched = pa.schema([("node", pa.int64()), ("cluster", pa.int64()), ("chunks", pa.int64()), ("lead", pa.bool_()),

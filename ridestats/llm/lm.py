@@ -12,6 +12,11 @@ same order, the counts. Workers write a shard's arrays to a file of their own, m
 into memory and search it by bisection; the file has no name and is gone with the worker.
 No worker ever needs more than one shard at a time.
 
+Disk. What blocks ask is written once per order and merged in ``ROUNDS`` rounds over ranges
+of shards; texts are scored in as many rounds over blocks. Each round's shuffle goes before
+the next begins, and what was asked goes when it is merged, so what is held at a time are
+the blocks, the model and the answers to the blocks.
+
 Definitions. Tokens of a text: ``order - 1`` start marks (never predicted), its words in
 lower case (A-Z only), one end mark. The count of an n-gram of the highest order is its
 number of occurrences in training texts, of lower orders the number of distinct tokens in
@@ -29,18 +34,20 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ridestats.llm.blocks import cut, shard_count, text_size
+from ridestats.llm.blocks import cut, runs_of, shard_count, text_size
 from ridestats.llm.packing import (
     give_back, hashes, joined, pack_ints, pack_sorted, split_words, unpack_ints, unpack_sorted, unpack_strings,
 )
-from ridestats.sources.scratch import stage
+from ridestats.sources.scratch import stage, unstage
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)  # hashes of the two marks
+ROUNDS = 4
 _ASKED = "shard int, block long, keys binary, cols array<binary>"
 _TOLD = "shard int, block long, keys binary, cols array<binary>, owned binary, stats array<long>"
 # Columns of lower orders: continuation count, then of the n-gram as a context the sum of
@@ -116,14 +123,11 @@ def _rows(row_table: pa.Table) -> list[dict]:
 
 def _cut_by_range(block: int, keys: np.ndarray, cols: list[np.ndarray], n_shards: int) -> Iterator[pa.RecordBatch]:
     shards = ((keys >> np.uint64(32)) * np.uint64(n_shards) >> np.uint64(32)).astype(np.int64)
-    starts = np.searchsorted(shards, np.arange(n_shards + 1))
-    for shard in range(n_shards):
-        a, b = starts[shard], starts[shard + 1]
-        if a < b:
-            yield pa.RecordBatch.from_pydict(
-                {"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int64()),
-                 "keys": pa.array([pack_sorted(keys[a:b])], pa.binary()),
-                 "cols": pa.array([[pack_ints(c[a:b]) for c in cols]], pa.list_(pa.binary()))})
+    for shard, a, b in runs_of(shards):
+        yield pa.RecordBatch.from_pydict(
+            {"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int64()),
+             "keys": pa.array([pack_sorted(keys[a:b])], pa.binary()),
+             "cols": pa.array([[pack_ints(c[a:b]) for c in cols]], pa.list_(pa.binary()))})
 
 
 def mapped(values: np.ndarray) -> np.ndarray:
@@ -252,18 +256,36 @@ def fit(blocks: DataFrame, n_shards: int, order: int = 2) -> tuple[KneserNey, li
         else:
             asked = blocks.select(*_BLOCK).groupBy("block").cogroup(answers[0].groupBy("block")).applyInArrow(
                 _ask_lower(m, order, n_shards), _ASKED)
-        told = stage(asked.groupBy("shard").applyInArrow(_merge, _TOLD), f"grams-{m}")
-        model = told.filter(F.col("block").isNull()).select("shard", "keys", "cols", "stats")
+        told = _merged(asked, n_shards, m)
+        model = told.filter(F.col("part").isNull()).select("shard", "keys", "cols", "stats")
         sums = model.agg(*[F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(8)]).first()
         t1, t2, t3, t4, more, total, seen, kinds = sums
         shards.insert(0, model)
         orders.insert(0, Order(_discounts(t1, t2, t3, t4), total, t1, t2, more))
-        answers.insert(0, told.filter(F.col("block").isNotNull()).select("shard", "block", "cols", "owned"))
+        answers.insert(0, told.filter(F.col("part").isNotNull()).select("shard", "block", "cols", "owned", "part"))
         if m == 1:
             words = seen, kinds
     return KneserNey(tuple(shards), tuple(orders), n_shards, *words), answers
 
 
+def _merged(asked: DataFrame, n_shards: int, m: int) -> DataFrame:
+    """What shards say, in folders by round of blocks; model rows have none."""
+    rounds = min(ROUNDS, n_shards)
+    ranged = asked.withColumn("round", F.floor(F.col("shard").cast("long") * rounds / n_shards).cast("int"))
+    ranged = stage(ranged, f"asked-{m}", "round")
+    told = []
+    for number in range(rounds):
+        own = ranged.filter(F.col("round") == number).drop("round").groupBy("shard").applyInArrow(_merge, _TOLD)
+        told.append(stage(own.withColumn("part", _part("block")), f"grams-{m}", "part"))
+    unstage(ranged)
+    return reduce(DataFrame.unionByName, told)
+
+
+def _part(block: str) -> Column:
+    """The round in which a block is scored; null for none."""
+    return F.when(F.col(block).isNotNull(), F.pmod(F.xxhash64(block), F.lit(ROUNDS)).cast("int"))
+
+
 def _discounted(counts: np.ndarray, discounts: tuple[float, float, float]) -> np.ndarray:
     return counts - np.array((0.0, *discounts))[np.minimum(counts, 3).astype(np.int64)]
 
@@ -314,11 +336,15 @@ def _score(model_facts: KneserNey, kind: str):
 def _scored(blocks: DataFrame, answers: list[DataFrame], model: KneserNey) -> DataFrame:
     told = None
     for m, df in enumerate(answers, 1):
-        df = df.select("block", "shard", "cols", F.lit(None).cast("binary").alias("owned"), F.lit(m).alias("m"))
+        df = df.select("block", "shard", "cols", F.lit(None).cast("binary").alias("owned"), F.lit(m).alias("m"), "part")
         told = df if told is None else told.unionByName(df)
     facts = KneserNey((), model.orders, model.n_shards, model.train_tokens, model.vocabulary)
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
-    return blocks.select(*_BLOCK, "ids").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(*_score(facts, kind))
+    own, scored = blocks.select(*_BLOCK, "ids", _part("block").alias("part")), []
+    for number in range(ROUNDS):
+        both = (df.filter(F.col("part") == number).drop("part").groupBy("block") for df in (own, told))
+        scored.append(stage(next(both).cogroup(next(both)).applyInArrow(*_score(facts, kind)), "scores"))
+    return reduce(DataFrame.unionByName, scored)
 
 
 def fit_and_score(docs: DataFrame, train: Column, order: int = 2, id_col: str = "doc_id",
@@ -358,11 +384,12 @@ def score(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: s
         return told
 
     answers = []
-    for m in range(1, order + 1):
+    for m in range(1, order + 1):  # each order's answers are written once, all rounds read them
         asked = blocks.select(*_BLOCK).mapInArrow(ask(m), _ASKED)
         width = 6 if m == 1 else 1 if m == order else 5
-        answers.append(asked.groupBy("shard").cogroup(model.shards[m - 1].select("shard", "keys", "cols").groupBy("shard"))
-                       .applyInArrow(answer(width), _TOLD).select("shard", "block", "cols", "owned"))
+        told = (asked.groupBy("shard").cogroup(model.shards[m - 1].select("shard", "keys", "cols").groupBy("shard"))
+                       .applyInArrow(answer(width), _TOLD).select("shard", "block", "cols", "owned", _part("block").alias("part")))
+        answers.append(stage(told, f"answers-{m}", "part"))
     return _scored(blocks, answers, model)
 
 

@@ -30,8 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ridestats.llm.blocks import slices
-from ridestats.llm.bpe import spans
-from ridestats.llm.packing import coded, give_back, split_words, text_bytes
+from ridestats.llm.packing import coded, give_back, spans, split_words, text_bytes
 from ridestats.sources.scratch import stage
 
 PART_BYTES = 6 << 20

@@ -37,8 +37,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ridestats.llm.bits import bit_table, maybe_in
 from ridestats.llm.blocks import slices
-from ridestats.llm.bpe import spans
-from ridestats.llm.packing import coded, give_back, hashes, joined, text_bytes
+from ridestats.llm.packing import coded, give_back, hashes, joined, spans, text_bytes
 from ridestats.sources.scratch import stage
 
 PART_BYTES = 4 << 20  # text worked on at a time

@@ -46,7 +46,7 @@ def corpus(seed=5, n=150):
 
 @pytest.mark.parametrize("chunk, k, num", [(1 << 22, 3, 90), (1 << 22, 5, 80), (200, 3, 90), (200, 5, 80)])
 def test_groups_equal_those_of_all_pairs(spark, monkeypatch, chunk, k, num):
-    monkeypatch.setattr(blocks, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 3000)
     monkeypatch.setattr(blocks, "SHARD_BYTES", 9000)
     monkeypatch.setattr(jaccard, "CHUNK", chunk)
     rows = corpus()
