@@ -11,7 +11,6 @@ import os
 import sys
 from collections.abc import Callable
 from dataclasses import replace
-from functools import reduce
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -19,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F  # noqa:
 
 import oracle  # noqa: E402
 from ridestats.functions.pricing import theoretical_revenue  # noqa: E402
+from ridestats.operators import ensembles  # noqa: E402
 from ridestats.operators.regression import regression_metrics as metrics_of  # noqa: E402
 from ridestats.operators.sampling import seeded_sample, stratified_split  # noqa: E402
 from ridestats.plans import (  # noqa: E402
-    anomalies, artifacts, explore, marts, reports, revenue, scenarios,
+    anomalies, artifacts, browse, cube, explore, marts, reports, revenue, scenarios,
 )
 from ridestats.sources import order_star, process_dir, register_star, stage, validate_dims  # noqa: E402
 
@@ -40,7 +40,7 @@ FILTERS = explore.Filters(
     station_filter=r"nation_[12]\d$", member_type_filter="CAS|mem", min_revenue=1.0, max_revenue=25.0
 )
 FILTER_MONTH = 7
-WALK, WALK_PAGE = ("start_station_id", "end_station_id", "hour"), 5_000
+WALK, WALK_PAGE, WALK_FILE = ("start_station_id", "end_station_id", "hour"), 5_000, 50_000
 GRID_MONTH, GRID_BIKE = 7, 1
 SAMPLE_ROWS = 20_000
 
@@ -171,6 +171,16 @@ def kpis(spark, folder):
     return _rounded(reports.kpis(_mart(spark, folder)))
 
 
+def _cube(spark, folder) -> DataFrame:
+    return _once("cube", spark, folder, lambda: cube.kpi_cube(_mart(spark, folder)))
+
+
+def kpis_by_month(spark, folder):
+    """The headline figures of rush hours by month, united from the cells of the cube."""
+    rush = F.col("hour").between(7, 9) | F.col("hour").between(16, 18)
+    return _rounded(cube.kpis(_cube(spark, folder), rush, by=("month",)))
+
+
 def dataset_stats(spark, folder):
     return reports.dataset_stats(_mart(spark, folder))
 
@@ -216,8 +226,23 @@ def explore_page(spark, folder):
     )
 
 
+def _copy(spark, folder) -> browse.SortedCopy:
+    return _once(
+        "copy", spark, folder,
+        lambda: browse.sorted_copy(_mart(spark, folder), _place(spark, folder, "copy"), WALK, WALK_FILE, refresh=True),
+    )
+
+
 def explore_page_after(spark, folder):
     """The third page of 25 of a walk."""
+    copy, at = _copy(spark, folder), 0
+    for _ in range(2):
+        at = browse.page_after(copy, at, FILTERS, 25).next
+    return _rounded(browse.page_after(copy, at, FILTERS, 25).rows)
+
+
+def explore_page_of_values(spark, folder):
+    """The same page without a sorted copy: behind the values of the last row shown."""
     mart, after = _mart(spark, folder), None
     for _ in range(2):
         page = explore.page_after(mart, after, FILTERS, 25, WALK)
@@ -227,13 +252,24 @@ def explore_page_after(spark, folder):
 
 def explore_walk(spark, folder):
     """All pages of a walk together."""
-    mart, after, pages = _mart(spark, folder), None, []
-    while True:
-        page = stage(explore.page_after(mart, after, FILTERS, WALK_PAGE, WALK), "page")
-        pages.append(page)
-        after = explore.cursor_of(page, after, WALK)
-        if after is None:
-            return _rounded(reduce(DataFrame.unionByName, pages))
+    return _rounded(browse.walk(_copy(spark, folder), FILTERS, WALK_PAGE).drop("page", "position"))
+
+
+def explore_walk_pages(spark, folder):
+    """What each page of the walk holds."""
+    pages = browse.walk(_copy(spark, folder), FILTERS, WALK_PAGE).groupBy("page").agg(
+        F.count(F.lit(1)).alias("n"), F.min("position").alias("first_position"), F.min("start_station_id").alias("first_station"),
+        F.max("start_station_id").alias("last_station"), F.sum("ingreso_min_excedente").alias("total_revenue"),
+    )
+    return _rounded(pages, 4)
+
+
+def mart_refresh(spark, folder):
+    """Months of a mart that is refreshed twice: their rows, and whether the second time wrote them again."""
+    star, path = _star(spark, folder), _place(spark, folder, "refreshed")
+    marts.refreshed_mart(star, path)
+    mart, again = marts.refreshed_mart(star, path)
+    return mart.groupBy("month").agg(F.count(F.lit(1)).alias("n")).withColumn("written_again", F.col("month").isin(again))
 
 
 def explore_month(spark, folder):
@@ -318,6 +354,90 @@ def revenue_model_metrics(spark, folder):
     )
 
 
+def model_metrics(spark, folder):
+    """RMSE, MAE and R2 of both ensembles on the held-out rows, from predictions that walk their node tables."""
+    scored = _walked(spark, folder).where("is_test")
+    per_model = metrics_of(scored, revenue.TARGET, "prediction", by=("model",))
+    models = _revenue_models(spark, folder)
+    return _rounded(per_model.withColumn("chosen", F.col("model") == models.best))
+
+
+def model_predictions(spark, folder):
+    """By ensemble, month and hold-out flag what the node tables predict, next to what was earned."""
+    return _rounded(_walked(spark, folder).groupBy("model", "month", "is_test").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("prediction").alias("avg_prediction"), F.min("prediction").alias("min_prediction"),
+        F.max("prediction").alias("max_prediction"), F.avg(revenue.TARGET).alias("avg_revenue"),
+    ))
+
+
+def model_nodes(spark, folder):
+    """Size and shape of both ensembles' trees."""
+    parts = [
+        nodes.groupBy("tree").agg(
+            F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("feature") == ensembles.LEAF).alias("leaves"), F.first("weight").alias("weight"),
+        ).withColumn("model", F.lit(name)) for name, (nodes, _) in _node_tables(spark, folder).items()
+    ]
+    return _rounded(parts[0].unionByName(parts[1]))
+
+
+def _node_tables(spark, folder) -> dict[str, tuple[DataFrame, int]]:
+    def build():
+        models = _revenue_models(spark, folder)
+        tables = {
+            name: ensembles.node_table(spark, model, name)
+            for name, model in ((revenue.FOREST, models.forest), (revenue.BOOSTING, models.boosting))
+        }
+        return {name: (nodes, ensembles.depth(nodes)) for name, nodes in tables.items()}
+
+    return _once("nodes", spark, folder, build)
+
+
+def _walked(spark, folder) -> DataFrame:
+    """Predictions of both ensembles for all rides, computed from their node tables."""
+
+    def build():
+        rides = stratified_split(_rides(spark, folder), F.col(revenue.TARGET) > 0, revenue.trip_key())
+        matrix = revenue.features(rides, _revenue_models(spark, folder).codes, keep=(revenue.TARGET, "is_test"))
+        rows = revenue.assembled(matrix).select("month", "is_test", revenue.TARGET, "features")
+        parts = [
+            ensembles.predict(rows, nodes, levels, column="prediction").withColumn("model", F.lit(name)).drop("features")
+            for name, (nodes, levels) in _node_tables(spark, folder).items()
+        ]
+        return stage(parts[0].unionByName(parts[1]), "walked")
+
+    return _once("walked", spark, folder, build)
+
+
+def feature_importance_top(spark, folder):
+    """The 15 most important features of the chosen ensemble."""
+    return _rounded(revenue.feature_importance(_revenue_models(spark, folder)))
+
+
+def scores_by_station(spark, folder):
+    """What the chosen ensemble predicts by station, next to the tariff."""
+    scored = revenue.score(revenue.requests_from(_rides(spark, folder)), _revenue_models(spark, folder))
+    return _rounded(scored.groupBy("station_id").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("prediction").alias("avg_prediction"), F.avg("theoretical_revenue").alias("avg_tariff"),
+        F.avg("model_difference").alias("avg_difference"),
+    ))
+
+
+def scenario_model_values(spark, folder):
+    """The ten best scenarios of each station with their predictions."""
+    return _rounded(scenarios.grid_top(_model_grid(spark, folder)))
+
+
+def counterfactual_model_values(spark, folder):
+    """The loss that the chosen ensemble predicts for the lost trips."""
+    return _rounded(_model_loss(spark, folder), 4)
+
+
+def prediction_model_bars(spark, folder):
+    """The histogram of the chosen ensemble's predictions."""
+    scored = revenue.score(revenue.requests_from(_rides(spark, folder)), _revenue_models(spark, folder))
+    return _rounded(reports.value_histogram(scored, "prediction"))
+
+
 def feature_importance(spark, folder):
     models = _revenue_models(spark, folder)
     every = revenue.feature_importance(models, len(revenue.FEATURES))
@@ -542,6 +662,7 @@ def queries() -> dict[str, Query]:
         "station_stats": station_stats,
         "shortage_events": shortage_events,
         "kpis": kpis,
+        "kpis_by_month": kpis_by_month,
         "dataset_stats": dataset_stats,
         "revenue_by_hour": _revenue_by("hour"),
         "revenue_by_member": _revenue_by("member_casual"),
@@ -556,7 +677,10 @@ def queries() -> dict[str, Query]:
         "explore_filtered": explore_filtered,
         "explore_page": explore_page,
         "explore_page_after": explore_page_after,
+        "explore_page_of_values": explore_page_of_values,
         "explore_walk": explore_walk,
+        "explore_walk_pages": explore_walk_pages,
+        "mart_refresh": mart_refresh,
         "explore_month": explore_month,
         "explore_summary": explore_summary,
         "explore_member_distribution": explore_member_distribution,
@@ -587,7 +711,15 @@ def queries() -> dict[str, Query]:
         "counterfactual_loss": counterfactual_loss,
         "loss_by_station": loss_by_station,
         "revenue_model_metrics": revenue_model_metrics,
+        "model_metrics": model_metrics,
+        "model_predictions": model_predictions,
+        "model_nodes": model_nodes,
         "feature_importance": feature_importance,
+        "feature_importance_top": feature_importance_top,
+        "scores_by_station": scores_by_station,
+        "scenario_model_values": scenario_model_values,
+        "counterfactual_model_values": counterfactual_model_values,
+        "prediction_model_bars": prediction_model_bars,
         "score_requests": score_requests,
         "model_roundtrip": model_roundtrip,
         "scenario_model_top": scenario_model_top,

@@ -397,6 +397,8 @@ def statements() -> dict[str, str]:
             {_r('prop_bike_type_1')} from stats""",
         "shortage_events": f"select {_EVENT} from events",
         "kpis": f"select {_KPIS.format(d=6)} from mart",
+        "kpis_by_month": f"""select month, {_KPIS.format(d=6)} from mart
+            where hour between 7 and 9 or hour between 16 and 18 group by month""",
         "dataset_stats": """select count(*) as total_records, min(month) as first_month, max(month) as last_month,
             count(distinct start_station_id) as unique_stations from mart""",
         "revenue_by_hour": _revenue_by("hour"),
@@ -428,7 +430,15 @@ def statements() -> dict[str, str]:
         "explore_page_after": f"""select {_mart_columns()}
             from (select *, row_number() over (order by {_order_by(['start_station_id', 'end_station_id', 'hour'])}) as place from found)
             where place between 51 and 75""",
+        "explore_page_of_values": f"""select {_mart_columns()}
+            from (select *, row_number() over (order by {_order_by(['start_station_id', 'end_station_id', 'hour'])}) as place from found)
+            where place between 51 and 75""",
         "explore_walk": f"select {_mart_columns()} from found",
+        "explore_walk_pages": f"""select 1 + place // 5000 as page, count(*) as n, min(place) as first_position, min(start_station_id) as first_station,
+            max(start_station_id) as last_station, round(sum(ingreso_min_excedente), 4) as total_revenue
+            from (select *, row_number() over (order by {_order_by(['start_station_id', 'end_station_id', 'hour'])}) - 1 as place from found)
+            group by 1""",
+        "mart_refresh": "select month, count(*) as n, false as written_again from mart group by month",
         "explore_month": f"select {_mart_columns()} from found where month = 7",
         "explore_summary": """select count(*) as total_records, cast(ceil(count(*) / 25) as bigint) as total_pages,
             round(coalesce(sum(ingreso_min_excedente), 0), 2) as total_revenue, round(avg(ingreso_min_excedente), 2) as avg_revenue,

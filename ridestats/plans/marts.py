@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.pricing import INCLUDED_MINUTES, excess_revenue
-from ..sources.scratch import stage
+from ..sources.scratch import delete_folder, stage
 
 Star = Mapping[str, DataFrame]
 
@@ -77,15 +77,73 @@ def saved_mart(star: Star, path: str, refresh: bool = False, year: int | None =
     name = "all" if year is None else str(year)
     table, mark = f"{path}/trips/span={name}", f"{path}/marks/span={name}"
     mart = trip_mart(star, year)
-    if refresh or not _exists(spark, mark):
+    if refresh or not table_exists(spark, mark, "id bigint"):
         mart.write.mode("overwrite").partitionBy("month").parquet(table)
         spark.range(1).write.mode("overwrite").parquet(mark)
     return spark.read.schema(mart.schema).parquet(table).select(*MART_COLUMNS)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def source_months(star: Star, year: int | None = YEAR) -> DataFrame:
+    """(month, rows, digest) of what the mart of each month is computed from.
+
+    The digest is a sum of row hashes, so order and layout of the sources do not matter.
+    Trips and weather count for the months of their time ids; tariffs, labels and calendar
+    columns count by the rows that would be joined.
+    """
+    timed = _timed(star["trips"], "start_time_id", star, year)
+    own = timed.select("month", F.xxhash64(*sorted(timed.columns)).alias("h"), F.lit(1).alias("trip"))
+    calendar = star["dim_time"] if year is None else star["dim_time"].where(F.col("year") == year)
+    weather = star["weather"].join(calendar.select("time_id", "month"), "time_id")
+    weathered = weather.select("month", F.xxhash64(F.lit("weather"), *sorted(c for c in weather.columns if c != "month")).alias("h"), F.lit(0).alias("trip"))
+    sums = own.unionByName(weathered).groupBy("month").agg(
+        F.sum("trip").alias("rows"), F.sum(F.col("h").cast("decimal(38,0)")).alias("digest")).where("rows > 0")
+
+    def whole(table: str) -> Column:
+        rows = star[table]
+        return rows.agg(F.coalesce(F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).scalar()
+
+    shared = F.xxhash64(whole("dim_tarifa"), whole("dim_member_type"))  # small tables that all months use
+    return sums.select("month", "rows", F.concat_ws("/", F.col("digest").cast("string"), shared.cast("string")).alias("digest"))
+
+
+def refreshed_mart(star: Star, path: str, year: int | None = YEAR) -> tuple[DataFrame, list[int | None]]:
+    """The saved mart brought up to date, and the months that were written again.
+
+    Fingerprints of the sources by month, kept beside the table, tell which months changed;
+    only these are computed, and replace their folders. Months without trips any more are
+    emptied. The fingerprints are written last: a refresh that broke off is done again.
+    """
+    spark = star["trips"].sparkSession
+    name = "all" if year is None else str(year)
+    table, mark, prints = (f"{path}/{kind}/span={name}" for kind in ("trips", "marks", "prints"))
+    now = stage(source_months(star, year), "months")
+    schema = "month int, rows bigint, digest string"
+    if not table_exists(spark, mark, "id bigint") or not table_exists(spark, prints, schema):
+        months = [r["month"] for r in now.select("month").collect()]  # twelve a year
+        mart = saved_mart(star, path, refresh=True, year=year)
+    else:
+        before = spark.read.schema(schema).parquet(prints)
+        compared = now.alias("n").join(before.alias("b"), F.col("n.month").eqNullSafe(F.col("b.month")), "full_outer")
+        same = F.coalesce(F.col("n.digest") == F.col("b.digest"), F.lit(False)) & (F.col("n.rows") == F.col("b.rows"))
+        changed = compared.where(~F.coalesce(same, F.lit(False))).select(
+            F.coalesce("n.month", "b.month").alias("month"), F.col("n.digest").isNull().alias("gone")).collect()
+        months, mart = [r["month"] for r in changed], trip_mart(star, year)
+        if months:
+            some = F.col("month").isin([m for m in months if m is not None])
+            some = some | F.col("month").isNull() if None in months else some
+            mart.where(some).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(table)
+            for r in changed:
+                if r["gone"]:
+                    delete_folder(spark, f"{table}/month={'__HIVE_DEFAULT_PARTITION__' if r['month'] is None else r['month']}")
+        mart = spark.read.schema(mart.schema).parquet(table).select(*MART_COLUMNS)
+    now.coalesce(1).write.mode("overwrite").parquet(prints)
+    return mart, sorted(months, key=lambda m: (m is None, m or 0))
+
+
+def table_exists(spark: SparkSession, path: str, schema: str) -> bool:
+    """Whether there is a table with rows at the path."""
     try:
-        return not spark.read.schema("id bigint").parquet(path).isEmpty()
+        return not spark.read.schema(schema).parquet(path).isEmpty()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import equal_width_bin, finite, histogram_bin, sum0
 from ..functions.text import title_case
+from ..sources.scratch import stage
 
 REVENUE = "ingreso_min_excedente"
 STATION = "start_station_id"
@@ -130,10 +131,11 @@ def user_distribution(mart: DataFrame) -> DataFrame:
 def value_histogram(values: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """Equal-width histogram of a column's finite values, their mean on every row.
 
-    One narrow pass for range and mean, one that bins the values where they are.
+    The column is written once, as it may be costly to compute: then come one narrow pass
+    for range and mean, and one that bins the values where they are.
     """
-    finites = values.select(finite(F.col(column)).alias("v")).where(F.col("v").isNotNull())
-    low, high, mean = (finites.select(f("v")).scalar() for f in (F.min, F.max, F.avg))
+    finites = stage(values.select(finite(F.col(column)).alias("v")).where(F.col("v").isNotNull()), "values")
+    low, high, mean = (F.lit(x).cast("double") for x in finites.agg(F.min("v"), F.max("v"), F.avg("v")).first())
     width = (high - low) / F.lit(float(bins))
     return (
         finites.withColumn("bin", histogram_bin(F.col("v"), low, high, bins))

@@ -61,7 +61,8 @@ def features(rides: DataFrame, codes: DataFrame, keep: tuple[str, ...] = ()) ->
     return feature_matrix(rides.join(codes, "station_id", "left"), keep)
 
 
-def _assembled(matrix: DataFrame) -> DataFrame:
+def assembled(matrix: DataFrame) -> DataFrame:
+    """The feature columns as the vector that the models read."""
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(matrix)
 
 
@@ -86,7 +87,7 @@ def train(
     split = stratified_split(rides, F.col(TARGET) > 0, trip_key(), seed=seed)
     matrix = features(split, codes, keep=(TARGET, "is_test", "station_id", "time_id"))
     place = F.xxhash64(*matrix.columns).alias("place")
-    ready = stage(_assembled(matrix).select("features", TARGET, "is_test", place), "assembled")
+    ready = stage(assembled(matrix).select("features", TARGET, "is_test", place), "assembled")
     fit, held_out = _laid_out(ready.where(~F.col("is_test"))), ready.where("is_test")
 
     ensembles = [
@@ -167,7 +168,7 @@ def score(requests: DataFrame, models: RevenueModels) -> DataFrame:
         .withColumn("minutos_incluidos", F.lit(INCLUDED_MINUTES))
         .withColumn("request", F.struct(*carried.columns))
     )
-    predicted = models.model.transform(_assembled(features(rides, models.codes, keep=("request",))))
+    predicted = models.model.transform(assembled(features(rides, models.codes, keep=("request",))))
     raw = F.col(models.model.getPredictionCol())
     return (
         predicted.select("request.*", F.greatest(F.lit(0.0), raw).alias("prediction"))

@@ -65,14 +65,15 @@ def stage(df: DataFrame, label: str, *parts: str) -> DataFrame:
 
 def unstage(staged: DataFrame) -> None:
     """Delete one table that :func:`stage` returned; nothing may read it any more."""
-    _delete(staged.sparkSession, staged.staged_at)
+    delete_folder(staged.sparkSession, staged.staged_at)
 
 
 def discard_staged(spark: SparkSession) -> None:
     """Delete the tables that this process has staged; frames over them can no longer be read."""
-    _delete(spark, process_dir(spark))
+    delete_folder(spark, process_dir(spark))
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder with all it holds, on whatever file system it lies."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .scratch import stage
 
@@ -87,6 +87,7 @@ def load_star(
     names: Mapping[str, str] | None = None,
     options: Mapping[str, str] | None = None,
     table_options: Mapping[str, Mapping[str, str]] | None = None,
+    parts: Mapping[str, tuple[str, int]] | None = None,
 ) -> dict[str, DataFrame]:
     """Read the six tables; errors propagate.
 
@@ -97,6 +98,8 @@ def load_star(
     ``table_options``  further options per logical name: how a fact table is read in
                  parts (``partitionColumn``, ``lowerBound``, ``upperBound``,
                  ``numPartitions``) is no option of the dimensions.
+    ``parts``    key column and number of parts per logical name: a table over JDBC is
+                 read by conditions on its key that a query over the key finds first.
 
     Dimensions that come over JDBC are copied to the scratch folder once: Catalyst
     cannot know the size of a remote table, and joining on a member type or a
@@ -110,6 +113,12 @@ def load_star(
         if fmt == "table":
             return spark.table(f"{source}.{physical}" if source else physical)
         if fmt == "jdbc":
+            if table in (parts or {}):
+                column, number = parts[table]
+                counts = f"(select {column} as k, count(*) as n from {physical} group by {column}) keys"
+                keys = spark.read.format("jdbc").options(**options, dbtable=counts).load()
+                url, rest = options["url"], {k: v for k, v in options.items() if k != "url"}
+                return spark.read.jdbc(url, physical, predicates=key_ranges(keys, column, number), properties=rest)
             return spark.read.format("jdbc").options(**options, dbtable=physical).load()
         return spark.read.format(fmt).options(**options).load(f"{source}/{physical}")
 
@@ -119,6 +128,35 @@ def load_star(
     return star
 
 
+def key_ranges(keys: DataFrame, column: str, parts: int) -> list[str]:
+    """SQL conditions on a whole-number key that cut a table into about equal parts.
+
+    ``keys`` (k, n) says how many rows each key has. Every row meets one condition, NULL
+    keys that of the last. A key with more rows than a part should have is a part of its
+    own; no condition on the key can cut it further. Running sums say where parts end:
+    keys are range-sorted by Spark, and only sums and ends of parts meet.
+    """
+    if parts < 1:
+        raise ValueError("at least one part is needed")
+    named = keys.toDF("k", "n").where(F.col("k").isNotNull()).select(F.col("k").cast("long").alias("k"), F.col("n").cast("long").alias("n"))
+    sorted_keys = stage(named.repartitionByRange(max(1, min(parts, 64)), "k").sortWithinPartitions("k").withColumn("t", F.spark_partition_id()), "keys")
+    total = sorted_keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    size = max(1, -(-total // parts))
+    sums = sorted_keys.groupBy("t").agg(F.sum("n").alias("s"))
+    base = sums.select("t", F.coalesce(F.sum("s").over(Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    own = Window.partitionBy("t").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    before = sorted_keys.join(base, "t").withColumn("before", F.col("base") + F.coalesce(F.sum("n").over(own), F.lit(0)))
+    # A part begins at the first key of each multiple of the size, at a large key and behind one.
+    placed = before.withColumn("part", F.floor(F.col("before") / F.lit(size))).withColumn("large", F.col("n") > F.lit(size))
+    starts = placed.groupBy("part", "large").agg(F.min("k").alias("k"), F.max(F.when(F.col("large"), F.col("k") + 1)).alias("behind"))
+    ends = {x for r in starts.collect() for x in (r["k"], r["behind"]) if x is not None}  # a few per part
+    bounds = sorted(ends)[1:]
+    if not bounds:
+        return [f"{column} is not null or {column} is null"]
+    middle = [f"{column} >= {a} and {column} < {b}" for a, b in zip(bounds, bounds[1:])]
+    return [f"{column} < {bounds[0]}", *middle, f"{column} >= {bounds[-1]} or {column} is null"]
+
+
 def register_star(star: Mapping[str, DataFrame], names: Mapping[str, str] | None = None) -> None:
     """Make the tables known to ``spark.sql`` as views, under ``names`` where given."""
     for table, df in star.items():

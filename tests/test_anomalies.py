@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridestats.operators import iforest
+from ridestats.operators import iforest, neighbors
 from ridestats.operators.iforest import average_path, fit_forest, forest_score
 from ridestats.operators.lof import local_outlier_factor, neighbor_count
 from ridestats.operators.neighbors import nearest_neighbors
@@ -46,20 +46,56 @@ def brute_neighbors(names, weights, x, k):
     return out
 
 
-@pytest.mark.parametrize("cell_points,block", [(512, 2048), (20, 2048), (20, 7), (400, 16)])
-def test_neighbors_match_brute_force(spark, cell_points, block):
+@pytest.mark.parametrize("region_points,leaf_points,fanout", [(4096, 32, 16), (40, 8, 16), (25, 4, 2), (7, 100, 3)])
+def test_neighbors_match_brute_force(spark, monkeypatch, region_points, leaf_points, fanout):
+    monkeypatch.setattr(neighbors, "FIRST_ROUND", 1)
+    monkeypatch.setattr(neighbors, "GROWTH", 2)
+    monkeypatch.setattr(neighbors, "PIVOTS", 1 if fanout == 2 else 20)
     names, x = points(300)
+    x[100:140, 0], x[100:140, 1:] = 0.5, np.arange(40)[:, None]  # equal in one dimension, and ties between distances
     weights = [1 + (i % 5 == 0) * 2 for i in range(len(names))]
     df = spark.createDataFrame(
         [(n, w, list(map(float, row))) for n, w, row in zip(names, weights, x)], "pid string, w bigint, x array<double>"
     )
     got: dict[str, list] = {}
-    for r in nearest_neighbors(df, 6, cell_points=cell_points, block=block).collect():
+    for r in nearest_neighbors(df, 6, region_points, leaf_points, fanout).collect():
         got.setdefault(r["pid"], []).append((r["nbr"], r["dist"], r["w"]))
     want = brute_neighbors(names, weights, x, 6)
     assert {p: sorted(v) for p, v in got.items()} == {p: sorted(v) for p, v in want.items()}
 
 
+def test_trees_of_uneven_points_end(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "LEVELS", 3)
+    monkeypatch.setattr(neighbors, "PIVOTS", 1)
+    x = np.concatenate([2.0 ** -np.arange(60.0), np.linspace(0, 1e-9, 40), [5.0] * 3])
+    df = spark.createDataFrame([(f"p{i:03d}", 3 if v == 5.0 else 1, [float(v), 1.0]) for i, v in enumerate(dict.fromkeys(x))], "pid string, w bigint, x array<double>")
+    values = [(r["pid"], r["w"], r["x"]) for r in df.collect()]
+    want = brute_neighbors([v[0] for v in values], [v[1] for v in values], np.array([v[2] for v in values]), 3)
+    got: dict[str, list] = {}
+    for r in nearest_neighbors(df, 3, 5, 2, 4).collect():
+        got.setdefault(r["pid"], []).append((r["nbr"], r["dist"], r["w"]))
+    assert {p: sorted(v) for p, v in got.items()} == {p: sorted(v) for p, v in want.items()}
+
+
+def test_leaves_that_cannot_matter_are_not_compared(monkeypatch):
+    rng, seen, among = np.random.default_rng(1), [], neighbors._among
+    x = rng.normal(size=(4096, 3))
+    pivots = x[:150]
+    cells = neighbors._squares(x, pivots)[0].argmin(axis=1)
+    order, ends = neighbors.leaves_of(x, cells, 20)
+    starts = np.concatenate([[0], ends[:-1]])
+    assert (np.diff(ends, prepend=0) <= 20).all() and ends[-1] == 4096 and sorted(order) == list(range(4096))
+    x, home, names, w = x[order], pivots[cells[order]], np.arange(4096), np.ones(4096, int)
+    leaves = ends, x[starts] + 0.01, home[starts]
+    want = np.sort(distances(x, x), axis=1)[:, 1:6]
+    row, col, dist = neighbors.nearest_of(x, home, np.full(4096, np.inf), names, x, names, w, *leaves, 5)
+    assert len(row) == 5 * 4096 and np.array_equal(dist.reshape(-1, 5), want)
+    monkeypatch.setattr(neighbors, "_among", lambda *a: seen.append(len(a[1]) * (a[4].stop - a[4].start)) or among(*a))
+    again = neighbors.nearest_of(x, home, 1.2 * want[:, -1], names, x, names, w, *leaves, 5)
+    assert all(np.array_equal(a, b) for a, b in zip(again, (row, col, dist)))
+    assert sum(seen) < 0.1 * 4096**2
+
+
 def brute_lof(x, k):
     """Row by row, over all rows; assumes no ties that matter."""
     d = distances(x, x)
@@ -74,7 +110,7 @@ def brute_lof(x, k):
 @pytest.mark.parametrize("copies", [0, 150])
 def test_lof_matches_brute_force_with_copies(spark, copies):
     names, x = points(300, copies=copies)
-    got = local_outlier_factor(frame(spark, names, x), "key", FEATURES, cell_points=50, block=32)
+    got = local_outlier_factor(frame(spark, names, x), "key", FEATURES, region_points=50, leaf_points=8)
     lof = {r["key"]: r["lof"] for r in got.collect()}
     want = brute_lof(x, neighbor_count(len(x)))
     assert len(lof) == len(names)

@@ -1,3 +1,6 @@
+import glob
+import os
+
 import pytest
 from star_frames import BALANCE, TRIPS, WEATHER, make_star, rows
 
@@ -163,3 +166,42 @@ def test_a_mart_whose_writing_broke_off_is_computed_again(spark, star, tmp_path)
     path = str(tmp_path / "mart")
     marts.trip_mart(star).limit(1).write.partitionBy("month").parquet(f"{path}/trips/span=2024")
     assert marts.saved_mart(star, path).count() == 7
+
+
+def files_by_month(path):
+    found = {}
+    for file in glob.glob(f"{path}/trips/span=2024/*/*.parquet"):
+        found.setdefault(os.path.basename(os.path.dirname(file)), set()).add(os.path.basename(file))
+    return found
+
+
+def test_a_refresh_writes_changed_months_only(spark, tmp_path):
+    path = str(tmp_path / "mart")
+    first = make_star(spark)
+    mart, months = marts.refreshed_mart(first, path)
+    assert months == [1, 2, 3] and rows(mart, *marts.MART_COLUMNS) == rows(marts.trip_mart(first), *marts.MART_COLUMNS)
+    before = files_by_month(path)
+    assert marts.refreshed_mart(make_star(spark, trips=TRIPS[::-1]), path)[1] == [] and files_by_month(path) == before
+
+    def refreshed(want, **changed):
+        star = make_star(spark, **changed)
+        mart, months = marts.refreshed_mart(star, path)
+        assert months == want and rows(mart, *marts.MART_COLUMNS) == rows(marts.trip_mart(star), *marts.MART_COLUMNS)
+
+    more = [*TRIPS, ("a", "a", 2, 1, 1, 45.0)]  # a trip of February
+    refreshed([2], trips=more)
+    after = files_by_month(path)
+    assert {m for m in before if before[m] != after[m]} == {"month=2"}
+    refreshed([3], trips=more, weather=[w if w[0] != 4 else (4, 1.0, 2.0, 3.0) for w in WEATHER])  # weather of March
+    refreshed([1, 2, 3], trips=more, tariffs=[(1, 1, 30, 0.5), (1, 2, 30, 0.26), (2, 1, 45, 0.25), (2, 2, 45, 0.17)])
+    refreshed([1, 2, 3], trips=[t for t in more if t[2] != 4])  # March ends, tariffs are as before
+    assert "month=3" not in files_by_month(path)
+
+
+def test_a_refresh_that_broke_off_is_done_again(spark, tmp_path):
+    path = str(tmp_path / "mart")
+    marts.refreshed_mart(make_star(spark), path)
+    star = make_star(spark, trips=TRIPS[:3])
+    spark.createDataFrame([(1, 0, "x")], "month int, rows bigint, digest string").write.mode("overwrite").parquet(f"{path}/prints/span=2024")
+    mart, months = marts.refreshed_mart(star, path)
+    assert months == [1, 2] and mart.where("month < 3").count() == 3

@@ -66,7 +66,7 @@ def test_package_gathers_no_rows_of_data_size():
     """``collect``/``toPandas`` only at the places known to be bounded."""
     allowed = {
         "operators/iforest.py": 1,    # node table: trees x sample size
-        "operators/neighbors.py": 2,  # pivots, cells
+        "operators/neighbors.py": 2,  # pivots, sizes of their cells
         "operators/quantiles.py": 1,  # checked number of values
         "operators/sampling.py": 2,   # one row per stratum
         "plans/artifacts.py": 1,      # one row per feature (saved scaler)

@@ -2,9 +2,13 @@ import math
 
 import pytest
 from star_frames import make_star, rows
+from pyspark.ml.feature import VectorIndexer
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from ridestats.functions.features import FEATURES
+from ridestats.operators import ensembles
 from ridestats.plans import anomalies, artifacts, marts, revenue, scenarios
 from ridestats.sources import order_star
 
@@ -67,6 +71,28 @@ def test_scores_are_floored_and_compared_with_the_tariff(spark, models):
     assert long["day_name"] == "Monday"
 
 
+def test_predictions_from_the_node_tables_equal_those_of_the_models(spark, models):
+    rides = marts.training_set(order_star(spark, SF))
+    matrix = revenue.assembled(revenue.features(rides, models.codes))
+    for model in (models.forest, models.boosting):
+        nodes = ensembles.node_table(spark, model, "test")
+        assert nodes.count() == sum(t.numNodes for t in model.trees) and ensembles.depth(nodes) == max(t.depth for t in model.trees)
+        scored = ensembles.predict(model.transform(matrix), nodes, ensembles.depth(nodes))
+        worst, n = scored.agg(F.max(F.abs(F.col(model.getPredictionCol()) - F.col("walked"))), F.count_if(F.col("walked").isNotNull())).first()
+        assert worst < 1e-9 and n == rides.count() > 1000
+
+
+def test_a_single_leaf_and_refused_categories(spark):
+    data = spark.createDataFrame([(Vectors.dense([float(i % 3), float(i)]), 1.5) for i in range(30)], ["features", "label"])
+    constant = ensembles.node_table(spark, RandomForestRegressor(numTrees=3).fit(data), "constant")
+    assert ensembles.depth(constant) == 0
+    assert {r["walked"] for r in ensembles.predict(data, constant, 0).collect()} == {1.5}
+    rows_ = spark.createDataFrame([(Vectors.dense([float(i % 3), 0.5 * i]), float(i % 3 == 1)) for i in range(60)], ["raw", "label"])
+    indexed = VectorIndexer(inputCol="raw", outputCol="features", maxCategories=4).fit(rows_).transform(rows_)
+    with pytest.raises(ValueError, match="categorical"):
+        ensembles.node_table(spark, RandomForestRegressor(numTrees=2, seed=1).fit(indexed), "categories")
+
+
 def test_a_new_station_does_not_change_other_rows(spark, models):
     one = [("NATION_3", 8, False, 5, 20.0, 60.0, 1, 60, "Sunday")]
     schema = "station_id string, hour int, is_weekend boolean, month int, temperature double, humidity double, bike_type int, duration int, day_name string"
