@@ -4,8 +4,10 @@ Every run of ``k`` words of a text is hashed; runs that are also runs of a templ
 joined to their positions there. A run at word p that stands at q in the template votes
 for the diagonal p - q. Diagonals of one template that lie next to each other (a word more
 or less here and there) are merged, and the span they cover is verified: the words must
-be equal, not only the hashes, and cover enough of the template. Where verified spans share
-words, the narrower license stands: one more word, as in "Lesser", is within the gap.
+be equal, not only the hashes, and cover enough of the template: all of a short one, where a
+missing word may be the license's name. Where verified spans share words, the narrower
+license stands: one more word, as in "Lesser", is within the gap. Two spans of one place and
+label count once in the labels; spans that tie are both kept, ordered by place, end, label.
 
 All of it is DataFrame code. Hashes that no template has are dropped where they arise, so
 what is shuffled are the votes and one short row per document. Templates are a parameter
@@ -73,6 +75,7 @@ NARROWER: dict[str, tuple[str, ...]] = {
 }
 GAP = 2  # words by which neighbouring diagonals may differ
 SHARE = 0.8  # part of a template's words that a span must cover
+SHORT = 10  # templates with fewer words must be covered in full
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -151,16 +154,17 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phra
         F.min("first").alias("first"), (F.max("last") + k).alias("end"), F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("qs", lambda q: F.sequence(q, q + k - 1)))))
     score = covered / F.col("size")
-    judged = merged.select("row", "doc", "label", "first", "end", score.alias("score"))
+    enough = (score >= F.when(F.col("size") < SHORT, 1.0).otherwise(share)).alias("enough")
+    judged = merged.select("row", "doc", "label", "first", "end", score.alias("score"), enough)
     by_place = Window.partitionBy("row").orderBy("first")
     so_far, from_here = by_place.rangeBetween(Window.unboundedPreceding, 0), by_place.rangeBetween(0, Window.unboundedFollowing)
     gives_way = F.lit(False)
     for label, narrower in NARROWER.items():
-        found = F.col("label").isin(*narrower) & (F.col("score") >= share)
+        found = F.col("label").isin(*narrower) & F.col("enough")
         shared = (F.max(F.when(found, F.col("end"))).over(so_far) > F.col("first")) | (F.min(F.when(found, F.col("first"))).over(from_here) < F.col("end"))
         gives_way = gives_way | ((F.col("label") == label) & F.coalesce(shared, F.lit(False)))
     judged = judged.select("*", gives_way.alias("gives_way"))
-    span = F.when((F.col("score") >= share) & ~F.col("gives_way"), F.struct(F.col("first").alias("first_word"), F.col("end").alias("end_word"), "label", "score"))
+    span = F.when(F.col("enough") & ~F.col("gives_way"), F.struct(F.col("first").alias("first_word"), F.col("end").alias("end_word"), "label", "score"))
     per_doc = judged.select("row", "doc", span.alias("span")).groupBy("row", "doc").agg(F.sort_array(F.collect_list("span")).alias("spans"))
     best = F.coalesce(F.array_max("spans.score"), F.lit(0.0))
     return per_doc.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ridestats.llm.licenses import GAP, K, PHRASES, SHARE, TEMPLATES, template_runs
+from ridestats.llm.licenses import GAP, K, NARROWER, PHRASES, SHARE, SHORT, TEMPLATES, template_runs
 from ridestats.llm.quality import BOILERPLATE, SEPARATORS, Rules
 
 _R = Rules()
@@ -86,6 +86,7 @@ left join (select doc_id, string_agg(line, chr(10) order by pos) as left_over fr
 
 
 def _licenses() -> str:
+    narrower = ", ".join(f"('{wide}', '{label}')" for wide, labels in NARROWER.items() for label in labels)
     runs = ", ".join(f"({t}, '{label}', {size}, {q}, '{run}')" for t, label, size, q, run in template_runs(TEMPLATES, K))
     phrases = " union all ".join(
         f"select rid, p, '{label}' as label from d, unnest(range(0, len(w))) t(p) where "
@@ -105,11 +106,17 @@ banded as (select *, sum(new) over (partition by rid, template order by diagonal
 merged as (select rid, template, label, size, band, min(first) as first, max(last) + {K} as till, flatten(list(qs)) as qs from banded group by all),
 scored as (
   select rid, first, till, label,
-         len(list_distinct(flatten(list_transform(qs, lambda q: range(q, q + {K}))))) / cast(size as double) as score from merged),
+         len(list_distinct(flatten(list_transform(qs, lambda q: range(q, q + {K}))))) / cast(size as double) as score, size from merged),
+verified as (select * from scored where score >= case when size < {SHORT} then 1.0 else {SHARE} end),
+narrower as (select * from (values {narrower}) t(label, narrow)),
+standing as (
+  select * from verified v where not exists (
+    select 1 from narrower n join verified o on o.label = n.narrow
+    where n.label = v.label and o.rid = v.rid and o.first < v.till and o.till > v.first)),
 spans as (
   select rid, list(struct_pack(first_word := first, end_word := till, label := label, score := score) order by first, till, label, score) as spans,
          max(score) as best, list(distinct label) as labels
-  from scored where score >= {SHARE} group by rid)
+  from standing group by rid)
 select doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
        coalesce(array_to_string(list_sort(bases.labels), ','), '') as base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(bases.labels, []), coalesce(spans.labels, [])))), ','), '') as labels,

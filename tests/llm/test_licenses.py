@@ -1,6 +1,8 @@
 from __future__ import annotations
 
-from ridestats.llm import licenses
+import duckdb
+
+from ridestats.llm import licenses, queries
 
 ROWS = {
     1: "Licensed under the Apache License, Version 2.0.",
@@ -40,7 +42,7 @@ def test_no_python_on_the_main_path(spark):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop"))
 
 
-def test_names_decide_against_more_general_licenses(spark):
+def test_names_decide_against_more_general_licenses(spark, tmp_path):
     gpl = "{} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation."
     texts = {
         gpl.format("This library", "Lesser "): "lgpl", gpl.format("This program", "Lesser "): "lgpl", gpl.format("This library", "Library "): "lgpl",
@@ -52,7 +54,14 @@ def test_names_decide_against_more_general_licenses(spark):
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
         "Creative Commons Attribution-ShareAlike 4.0 International": "cc-by-sa", "Creative Commons Attribution 4.0": "cc-by",
         "Creative Commons Attribution-NonCommercial-ShareAlike 4.0": "cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa",
-        "the general public likes a license, the lesser evil": "",
+        "the general public likes a license, the lesser evil": "", "released under the MIT flag by its authors": "",
+        "Released under the MIT License by its authors": "mit", "Licensed under the Acme License, Version 2.0": "",
     }
-    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert {list(texts)[r.doc_id]: r.labels for r in got} == texts
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {list(texts)[r.doc_id]: r.labels for r in licenses.scan(docs).collect()} == texts
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    want = con.sql(queries.oracle_sql()["op7_license_scan"]).select(*names).fetchall()
+    assert sorted(map(tuple, queries.op7_license_scan(spark, str(tmp_path)).select(*names).collect())) == sorted(want)
