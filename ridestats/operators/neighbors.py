@@ -10,11 +10,10 @@ gathered. Inside a region, points lie in leaves: cells, or parts of them.
 Every region first compares its points with each other, which bounds the distance of each
 point's k-th neighbour. Then the tree is walked down for all regions at once, as joins of
 (region, node) with the node's children; a child whose box is farther from the region's
-box than the largest bound is left out with all below it. Regions that remain are met
-nearest first, in rounds of growing size, each with the bounds that the round before has
-left. Inside, a point is compared with the leaves that the triangle inequality cannot
-exclude, nor the plane half way between its own pivot and theirs. A task holds two regions,
-and hands on at most k neighbours of a point.
+box than the largest bound is left out with all below it. The regions that remain pass by
+nearest first, while the bounds shrink. Inside, a point is compared with the leaves that
+the triangle inequality cannot exclude, nor the plane half way between its own pivot and
+theirs. A task holds two regions at a time, and hands on k neighbours of a point.
 
 Nothing is dropped or approximated: squared distances by a matrix product say, with a
 margin, which pairs may matter, and those are measured again by differences.
@@ -37,8 +36,8 @@ LEAST_POINTS, REGIONS = 1_024, 32  # small sets have smaller regions, so that th
 LEAF_POINTS = 24        # points in a leaf, the unit that is compared
 ROWS = 512              # points compared with all of a region at a time
 FANOUT = 16             # slabs of a node below the first level
+MOST_PARTS = 10_000     # of a comparison; more regions share them
 LEVELS = 40             # of the tree; larger regions are cut into parts without regard to place
-FIRST_ROUND, GROWTH = 4, 4  # regions met in the first round, and how the rounds grow
 _MARGIN = 1e-12         # of squared lengths, far above the rounding of a matrix product
 _NEAR = 1 + 1e-9        # bounds are taken a little wider
 
@@ -72,17 +71,12 @@ def nearest_neighbors(
     labels = F.array(*map(F.lit, _labels(pivots, sizes, region_points)))
     placed, nodes = _tree(celled.withColumn("node", F.element_at(labels, F.col("cell") + 1)), dims, region_points, max(2, fanout))
     regions = stage(placed.groupBy("node").applyInArrow(_packed(pivots, region_points, leaf_points, dims), _REGION), "regions")
-    found = _met(regions.select("region").withColumn("other", F.col("region")), regions, None, k, dims)
+    itself = regions.select("region", F.col("region").alias("other"), F.lit(0.0).alias("apart"))
+    found = _met(itself, regions, None, k, dims)
     found = stage(_best(found, k), "own-region")
-    near = _near_regions(regions, nodes, _bounds(found, regions, k), dims)
-    most = near.agg(F.max("place")).first()[0] or 0
-    seen, until = 0, FIRST_ROUND
-    while seen < most:
-        bounds = _bounds(found, regions, k)
-        asked = near.where((F.col("place") > seen) & (F.col("place") <= until)).join(bounds, "region").where("apart <= reach")
-        more = _met(asked.select("region", "other"), regions, bounds, k, dims)
-        found = stage(_best(found.unionByName(more), k), "nearest")
-        seen, until = until, until * (1 + GROWTH)
+    bounds = _bounds(found, regions, k)
+    met = _met(_near_regions(regions, nodes, bounds), regions, bounds, k, dims)
+    found = stage(_best(found.unionByName(met), k), "nearest")
     names = codes.select(F.col("pid").alias("nbr"), F.col("at").alias("near"))
     return found.join(codes, "at").join(names, "near").select("pid", "nbr", "dist", "w")
 
@@ -235,8 +229,8 @@ def _apart(low: str, high: str, other_low: str, other_high: str) -> Column:
     return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)) / _NEAR
 
 
-def _near_regions(regions: DataFrame, nodes: DataFrame, bounds: DataFrame, dims: int) -> DataFrame:
-    """(region, other, apart, place): other regions within reach, the nearest first."""
+def _near_regions(regions: DataFrame, nodes: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(region, other, apart): other regions within reach."""
     boxes = regions.select("region", "node", "low", "high")
     own = stage(boxes.join(bounds.select("region", "reach"), "region").select("region", "reach", F.col("low").alias("l"), F.col("high").alias("h")), "reaches")
     near = _apart("l", "h", "low", "high") <= F.col("reach")
@@ -254,8 +248,7 @@ def _near_regions(regions: DataFrame, nodes: DataFrame, bounds: DataFrame, dims:
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    order = Window.partitionBy("region").orderBy("apart", "other")
-    return stage(every.withColumn("place", F.row_number().over(order)), "near-regions")
+    return stage(every, "near-regions")
 
 
 def _bounds(found: DataFrame, regions: DataFrame, k: int) -> DataFrame:
@@ -272,7 +265,8 @@ def _bounds(found: DataFrame, regions: DataFrame, k: int) -> DataFrame:
 
 
 def _met(pairs: DataFrame, regions: DataFrame, bounds: DataFrame | None, k: int, dims: int) -> DataFrame:
-    """(region, row, at, near, dist, w): for each point of a region its k best in the other one."""
+    """(region, row, at, near, dist, w): for each point of a region its k best in the others."""
+    parts = max(1, min(MOST_PARTS, regions.count()))
     asking = regions.select("region", "ats", "xs", F.col("ends").alias("own_ends"), F.col("tops").alias("own_tops"))
     if bounds is None:
         asking = asking.withColumn("bounds", F.lit(None).cast("array<double>"))
@@ -281,25 +275,60 @@ def _met(pairs: DataFrame, regions: DataFrame, bounds: DataFrame | None, k: int,
     told = regions.select(F.col("region").alias("other"), *[F.col(c).alias(f"o_{c}") for c in ("ats", "ws", "xs", "ends", "pivots", "tops")])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None  # the region that others pass by
         for batch in batches:
             for i in range(batch.num_rows):
                 def values(column):
                     return np.asarray(batch[column][i].values)
 
-                ats, o_ats, o_ws = values("ats"), values("o_ats"), values("o_ws")
-                limit = batch["bounds"][i]
-                limit = np.asarray(limit.values) if limit.is_valid else np.full(len(ats), np.inf)
-                x, other, centres, tops, own_tops = (values(c).reshape(-1, dims) for c in ("xs", "o_xs", "o_pivots", "o_tops", "own_tops"))
-                home = np.repeat(own_tops, np.diff(values("own_ends"), prepend=0), axis=0)
-                row, col, dist = nearest_of(x, home, limit, ats, other, o_ats, o_ws, values("o_ends"), centres, tops, k)
-                if len(row):
-                    yield pa.RecordBatch.from_pydict({
-                        "region": pa.array([batch["region"][i].as_py()] * len(row), pa.string()), "row": pa.array(row, pa.int32()),
-                        "at": ats[row], "near": o_ats[col], "dist": dist, "w": o_ws[col] - (ats[row] == o_ats[col])})
-
-    # Region by region: a task sees a pair at a time.
-    met = pairs.join(asking, "region").join(told, "other").select(*asking.columns, *[c for c in told.columns if c != "other"])
-    return met.mapInArrow(compare, "region string, row int, at long, near long, dist double, w long")
+                region = batch["region"][i].as_py()
+                if now is None or now.region != region:
+                    if now is not None:
+                        yield from now.best()
+                    limit = values("bounds") if batch["bounds"][i].is_valid else None
+                    home = np.repeat(values("own_tops").reshape(-1, dims), np.diff(values("own_ends"), prepend=0), axis=0)
+                    now = _Region(region, values("xs").reshape(-1, dims), home, values("ats"), limit, k)
+                if batch["apart"][i].as_py() <= now.limit.max():
+                    now.meet(values("o_xs").reshape(-1, dims), values("o_ats"), values("o_ws"), values("o_ends"),
+                             values("o_pivots").reshape(-1, dims), values("o_tops").reshape(-1, dims))
+        if now is not None:
+            yield from now.best()
+
+    # A region's rows come one after the other, those of the nearest others first.
+    met = pairs.join(asking, "region").join(told, "other").select("apart", *asking.columns, *told.columns)
+    # As many parts as regions, which Spark would merge by their bytes: the work is in comparing.
+    passing = met.repartition(parts, "region").sortWithinPartitions("region", "apart", "other").drop("other")
+    return passing.mapInArrow(compare, "region string, row int, at long, near long, dist double, w long")
+
+
+class _Region:
+    """Points of a region and the nearest others that they have met."""
+
+    def __init__(self, region: str, x: np.ndarray, home: np.ndarray, ats: np.ndarray, limit: np.ndarray | None, k: int):
+        self.region, self.x, self.home, self.ats, self.k = region, x, home, ats, k
+        self.limit = np.full(len(x), np.inf) if limit is None else limit.copy()
+        self.found = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)]  # row, near, dist, w
+
+    def meet(self, other, o_ats, o_ws, ends, centres, tops) -> None:
+        row, col, dist = nearest_of(self.x, self.home, self.limit, self.ats, other, o_ats, o_ws, ends, centres, tops, self.k)
+        if not len(row):
+            return
+        new = (row, o_ats[col], dist, o_ws[col] - (self.ats[row] == o_ats[col]))
+        every = [np.concatenate(z) for z in zip(self.found, new)]
+        order = np.lexsort((every[1], every[2], every[0]))
+        every = [z[order] for z in every]
+        place = np.arange(len(order)) - np.searchsorted(every[0], every[0])
+        self.found = [z[place < self.k] for z in every]
+        last = place == self.k - 1
+        self.limit[every[0][last]] = np.minimum(self.limit[every[0][last]], every[2][last])
+
+    def best(self) -> Iterator[pa.RecordBatch]:
+        row, near, dist, w = self.found
+        for a in range(0, len(row), 1 << 16):
+            b = slice(a, a + (1 << 16))
+            yield pa.RecordBatch.from_pydict({
+                "region": pa.array([self.region] * len(row[b]), pa.string()), "row": pa.array(row[b], pa.int32()), "at": self.ats[row[b]],
+                "near": near[b], "dist": dist[b], "w": w[b]})
 
 
 def nearest_of(x, home, limit, ats, other, o_ats, o_ws, ends, centres, tops, k) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

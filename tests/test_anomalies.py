@@ -48,8 +48,6 @@ def brute_neighbors(names, weights, x, k):
 
 @pytest.mark.parametrize("region_points,leaf_points,fanout", [(4096, 32, 16), (40, 8, 16), (25, 4, 2), (7, 100, 3)])
 def test_neighbors_match_brute_force(spark, monkeypatch, region_points, leaf_points, fanout):
-    monkeypatch.setattr(neighbors, "FIRST_ROUND", 1)
-    monkeypatch.setattr(neighbors, "GROWTH", 2)
     monkeypatch.setattr(neighbors, "PIVOTS", 1 if fanout == 2 else 20)
     names, x = points(300)
     x[100:140, 0], x[100:140, 1:] = 0.5, np.arange(40)[:, None]  # equal in one dimension, and ties between distances
