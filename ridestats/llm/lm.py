@@ -12,8 +12,8 @@ same order, the counts. Workers write a shard's arrays to a file of their own, m
 into memory and search it by bisection; the file has no name and is gone with the worker.
 No worker ever needs more than one shard at a time.
 
-Disk. What blocks ask is written once per order and merged in ``ROUNDS`` rounds over ranges
-of shards; texts are scored in as many rounds over blocks. Each round's shuffle goes before
+Disk. What blocks ask is written once per order, in ``ROUNDS`` rounds over blocks, and merged in
+as many rounds over ranges of shards; texts are scored in rounds over blocks again. Each round's shuffle goes before
 the next begins, and what was asked goes when it is merged, so what is held at a time are
 the blocks, the model and the answers to the blocks.
 
@@ -44,10 +44,11 @@ from ridestats.llm.blocks import cut, runs_of, shard_count, text_size
 from ridestats.llm.packing import (
     give_back, hashes, joined, pack_ints, pack_sorted, split_words, unpack_ints, unpack_sorted, unpack_strings,
 )
-from ridestats.sources.scratch import stage, unstage
+from ridestats.sources.scratch import delete_folder, stage
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)  # hashes of the two marks
 ROUNDS = 4
+BLOCK_BYTES = 4 << 20  # text in a block
 _ASKED = "shard int, block long, keys binary, cols array<binary>"
 _TOLD = "shard int, block long, keys binary, cols array<binary>, owned binary, stats array<long>"
 # Columns of lower orders: continuation count, then of the n-gram as a context the sum of
@@ -91,6 +92,11 @@ class _Block:
         where = np.arange(len(codes)) + np.repeat(order - 1 + order * np.arange(len(counts)), counts)
         tokens[where] = codes
         self.predicted = np.sort(np.concatenate([where, ends - 1]))
+        # Tokens that are predicted or just in front of one, and their places among these.
+        used = np.zeros(len(tokens), bool)
+        used[self.predicted] = used[self.predicted - 1] = True
+        self.used = np.flatnonzero(used)
+        self.place = np.cumsum(used) - 1
         self.n_tokens = counts + 1
         self.train = np.repeat(unpack_ints(row["flags"]).astype(bool), self.n_tokens)
         self.tokens = tokens
@@ -105,15 +111,17 @@ class _Block:
     def distinct(self, m: int, top: bool):
         """Ascending distinct m-grams, and where the predicted tokens and their contexts are."""
         if m not in self._distinct:
-            ends = self.predicted if top else np.concatenate([self.predicted, self.predicted - 1])
             if m == 1:  # the distinct words are known
                 by_hash = np.argsort(self.vocabulary)
                 rank = np.empty(len(by_hash), np.int64)
                 rank[by_hash] = np.arange(len(by_hash))
-                keys, at = self.vocabulary[by_hash], rank[self.tokens[ends]]
+                keys, at = self.vocabulary[by_hash], rank[self.tokens]
+                self._distinct[m] = keys, at[self.predicted], at[self.predicted - 1]
+            elif top:
+                self._distinct[m] = *np.unique(self.grams[m - 1][self.predicted], return_inverse=True), None
             else:
-                keys, at = np.unique(self.grams[m - 1][ends], return_inverse=True)
-            self._distinct[m] = keys, at[: len(self.predicted)], at[len(self.predicted) :]
+                keys, at = np.unique(self.grams[m - 1][self.used], return_inverse=True)
+                self._distinct[m] = keys, at[self.place[self.predicted]], at[self.place[self.predicted - 1]]
         return self._distinct[m]
 
 
@@ -252,10 +260,10 @@ def fit(blocks: DataFrame, n_shards: int, order: int = 2) -> tuple[KneserNey, li
     shards, orders, answers, words = [], [], [], (0, 0)
     for m in range(order, 0, -1):
         if m == order:
-            asked = blocks.select(*_BLOCK).mapInArrow(_ask_top(order, n_shards), _ASKED)
+            asked = [blocks.select(*_BLOCK).mapInArrow(_ask_top(order, n_shards), _ASKED)]
         else:
-            asked = blocks.select(*_BLOCK).groupBy("block").cogroup(answers[0].groupBy("block")).applyInArrow(
-                _ask_lower(m, order, n_shards), _ASKED)
+            asked = [own.cogroup(told).applyInArrow(_ask_lower(m, order, n_shards), _ASKED)
+                     for own, told in _by_part(blocks.select(*_BLOCK), answers[0])]
         told = _merged(asked, n_shards, m)
         model = told.filter(F.col("part").isNull()).select("shard", "keys", "cols", "stats")
         sums = model.agg(*[F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(8)]).first()
@@ -268,19 +276,26 @@ def fit(blocks: DataFrame, n_shards: int, order: int = 2) -> tuple[KneserNey, li
     return KneserNey(tuple(shards), tuple(orders), n_shards, *words), answers
 
 
-def _merged(asked: DataFrame, n_shards: int, m: int) -> DataFrame:
+def _merged(asked: list[DataFrame], n_shards: int, m: int) -> DataFrame:
     """What shards say, in folders by round of blocks; model rows have none."""
     rounds = min(ROUNDS, n_shards)
-    ranged = asked.withColumn("round", F.floor(F.col("shard").cast("long") * rounds / n_shards).cast("int"))
-    ranged = stage(ranged, f"asked-{m}", "round")
-    told = []
+    of_shard = F.floor(F.col("shard").cast("long") * rounds / n_shards).cast("int")
+    written, told = [stage(part.withColumn("round", of_shard), f"asked-{m}", "round") for part in asked], []
+    every = reduce(DataFrame.unionByName, written)
     for number in range(rounds):
-        own = ranged.filter(F.col("round") == number).drop("round").groupBy("shard").applyInArrow(_merge, _TOLD)
+        own = every.filter(F.col("round") == number).drop("round").groupBy("shard").applyInArrow(_merge, _TOLD)
         told.append(stage(own.withColumn("part", _part("block")), f"grams-{m}", "part"))
-    unstage(ranged)
+        for part in written:  # what this round has answered
+            delete_folder(part.sparkSession, f"{part.staged_at}/round={number}")
     return reduce(DataFrame.unionByName, told)
 
 
+def _by_part(blocks: DataFrame, told: DataFrame):
+    """Blocks and what they were told, grouped by block, round by round."""
+    for number in range(ROUNDS):
+        yield tuple(df.filter(F.col("part") == number).drop("part").groupBy("block") for df in (blocks.withColumn("part", _part("block")), told))
+
+
 def _part(block: str) -> Column:
     """The round in which a block is scored; null for none."""
     return F.when(F.col(block).isNotNull(), F.pmod(F.xxhash64(block), F.lit(ROUNDS)).cast("int"))
@@ -340,10 +355,7 @@ def _scored(blocks: DataFrame, answers: list[DataFrame], model: KneserNey) -> Da
         told = df if told is None else told.unionByName(df)
     facts = KneserNey((), model.orders, model.n_shards, model.train_tokens, model.vocabulary)
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
-    own, scored = blocks.select(*_BLOCK, "ids", _part("block").alias("part")), []
-    for number in range(ROUNDS):
-        both = (df.filter(F.col("part") == number).drop("part").groupBy("block") for df in (own, told))
-        scored.append(stage(next(both).cogroup(next(both)).applyInArrow(*_score(facts, kind)), "scores"))
+    scored = [stage(own.cogroup(some).applyInArrow(*_score(facts, kind)), "scores") for own, some in _by_part(blocks.select(*_BLOCK, "ids"), told)]
     return reduce(DataFrame.unionByName, scored)
 
 
@@ -355,7 +367,7 @@ def fit_and_score(docs: DataFrame, train: Column, order: int = 2, id_col: str =
     probability under add-one single words), score (log10 probability under the model).
     """
     n_shards = shard_count(text_size(docs, text_col))
-    blocks = cut(docs, split_words, id_col, text_col, train, "lm-blocks")
+    blocks = cut(docs, split_words, id_col, text_col, train, "lm-blocks", BLOCK_BYTES)
     model, answers = fit(blocks, n_shards, order)
     return _scored(blocks, answers, model), model
 
@@ -363,7 +375,7 @@ def fit_and_score(docs: DataFrame, train: Column, order: int = 2, id_col: str =
 def score(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of other texts under a fitted model; rows as in :func:`fit_and_score`."""
     order, n_shards = len(model.orders), model.n_shards
-    blocks = cut(docs, split_words, id_col, text_col, None, "lm-texts")
+    blocks = cut(docs, split_words, id_col, text_col, None, "lm-texts", BLOCK_BYTES)
 
     def ask(m: int):
         def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

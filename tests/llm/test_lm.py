@@ -12,7 +12,7 @@ from ridestats.llm import blocks, lm, queries
 
 @pytest.fixture(autouse=True)
 def small_blocks(monkeypatch):
-    monkeypatch.setattr(blocks, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 400)
     monkeypatch.setattr(blocks, "SHARD_BYTES", 700)
 
 
