@@ -48,8 +48,15 @@ def _tokenizer(content: bytes) -> tuple:
     added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
     if any(re.search(r"[\s.,]", token) for token in added):
         raise ValueError("added tokens with blanks, stops or commas cannot be found word by word")
-    found = re.compile("|".join(map(re.escape, added)).encode(), re.I) if added else None
-    return tokenizer, {}, found
+    if not added:
+        return tokenizer, {}, None
+    found, begins = re.compile("|".join(map(re.escape, added)).encode(), re.I), {token[:2].encode() for token in added}
+    plain = not any(b.isalpha() for token in begins for b in token.decode())
+
+    def stands_in(text: bytes) -> bool:  # in any case; how tokens begin rules most texts out
+        return (not plain or any(b in text for b in begins)) and found.search(text) is not None
+
+    return tokenizer, {}, stands_in
 
 
 def _encoded(words: list[bytes], content: bytes) -> list[bytes]:
@@ -76,7 +83,7 @@ def _ids(texts: pa.Array, content: bytes) -> tuple[np.ndarray, np.ndarray]:
     """
     data, ends = text_bytes(texts)
     added = _tokenizer(content)[2]
-    as_is = ((data == 0xCC) | (data == 0xCD)).any() or added is not None and added.search(memoryview(data)) is not None
+    as_is = ((data == 0xCC) | (data == 0xCD)).any() or added is not None and added(data.tobytes())
     words, counts = split_words(data, ends, lower=not as_is, stops=True)
     codes, distinct = coded(words)
     encoded = _encoded(distinct.to_pylist(), content)
