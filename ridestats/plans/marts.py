@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.pricing import INCLUDED_MINUTES, excess_revenue
-from ..sources.scratch import delete_folder, stage
+from ..sources.scratch import delete_folder, small_tasks, stage
 
 Star = Mapping[str, DataFrame]
 
@@ -25,6 +25,7 @@ MIN_GROUP = 5
 DEFAULT_DURATION = 35.0
 DEFAULT_BIKE_SHARE = 0.7
 LOST_SHARE = 0.6
+MONTH_PARTITIONS = 24  # into which months are dealt before large ones are split
 
 MART_COLUMNS = [
     "start_station_id", "end_station_id", "hour", "day_name", "is_weekend", "month",
@@ -78,11 +79,22 @@ def saved_mart(star: Star, path: str, refresh: bool = False, year: int | None =
     table, mark = f"{path}/trips/span={name}", f"{path}/marks/span={name}"
     mart = trip_mart(star, year)
     if refresh or not table_exists(spark, mark, "id bigint"):
-        mart.write.mode("overwrite").partitionBy("month").parquet(table)
+        _write_months(mart, table)
         spark.range(1).write.mode("overwrite").parquet(mark)
     return spark.read.schema(mart.schema).parquet(table).select(*MART_COLUMNS)
 
 
+def _write_months(mart: DataFrame, table: str, **options: str) -> None:
+    """Write the rows in folders by month.
+
+    The joins and the writers' sort run in stages of their own, in tasks of bounded size;
+    a month is in few files, split where it is large.
+    """
+    with small_tasks(mart.sparkSession):
+        by_month = mart.hint("rebalance", MONTH_PARTITIONS, "month")
+        by_month.write.mode("overwrite").options(**options).partitionBy("month").parquet(table)
+
+
 def source_months(star: Star, year: int | None = YEAR) -> DataFrame:
     """(month, rows, digest) of what the mart of each month is computed from.
 
@@ -131,7 +143,7 @@ def refreshed_mart(star: Star, path: str, year: int | None = YEAR) -> tuple[Data
         if months:
             some = F.col("month").isin([m for m in months if m is not None])
             some = some | F.col("month").isNull() if None in months else some
-            mart.where(some).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(table)
+            _write_months(mart.where(some), table, partitionOverwriteMode="dynamic")
             for r in changed:
                 if r["gone"]:
                     delete_folder(spark, f"{table}/month={'__HIVE_DEFAULT_PARTITION__' if r['month'] is None else r['month']}")

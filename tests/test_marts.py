@@ -2,10 +2,11 @@ import glob
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from star_frames import BALANCE, TRIPS, WEATHER, make_star, rows
 
 from ridestats.plans import marts
-from ridestats.sources import load_star, register_star, scratch_dir, stage, validate_dims, write_result
+from ridestats.sources import load_star, register_star, scratch, scratch_dir, stage, validate_dims, write_result
 from ridestats.sources.star import STAR
 
 
@@ -205,3 +206,32 @@ def test_a_refresh_that_broke_off_is_done_again(spark, tmp_path):
     spark.createDataFrame([(1, 0, "x")], "month int, rows bigint, digest string").write.mode("overwrite").parquet(f"{path}/prints/span=2024")
     mart, months = marts.refreshed_mart(star, path)
     assert months == [1, 2] and mart.where("month < 3").count() == 3
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_mart_is_written_in_tasks_of_bounded_size(spark, monkeypatch, tmp_path, again):
+    """One shuffle partition and large files do not make one large task; small months stay in one file."""
+    n, some = 40_000, make_star(spark)["trips"]
+    star = {name: stage(table, "dim") for name, table in make_star(spark).items()}  # of known size
+    star["trips"] = spark.range(n, numPartitions=4).selectExpr(
+        "concat('s', id % 5) start_station_id", "concat('e', id) end_station_id", "1 + id % 50 div 49 start_time_id",
+        "1 member_type_id", "1 bike_type_id", "double(xxhash64(id) % 10000) duracion_minutos").select(*[F.col(c).cast(some.schema[c].dataType) for c in some.columns])
+
+    def written(name):
+        if again:  # months are written by the refresh, not the first time
+            marts.refreshed_mart(make_star(spark), f"{tmp_path}/{name}")
+        mart = (marts.refreshed_mart(star, f"{tmp_path}/{name}")[0] if again else marts.saved_mart(star, f"{tmp_path}/{name}"))
+        assert mart.count() == n and mart.select(F.sum("duracion_minutos")).first() == star["trips"].select(F.sum("duracion_minutos")).first()
+        files = mart.groupBy("month", F.input_file_name()).count().collect()
+        return {m: sorted(r["count"] for r in files if r["month"] == m) for m in (1, 2)}
+
+    before = {k: spark.conf.get(k, None) for k in KEYS}
+    star["trips"] = star["trips"].repartition(16)
+    assert written("whole") == {1: [n - n // 50], 2: [n // 50]}
+    monkeypatch.setattr(scratch, "TASK_BYTES", 64 << 10)
+    found = written("parts")
+    assert len(found[1]) > 4 and max(found[1]) < n / 4 and len(found[2]) == 1
+    assert {k: spark.conf.get(k, None) for k in KEYS} == before
+
+
+KEYS = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.files.maxPartitionBytes")
