@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ridestats.llm.blocks import cut, runs_of, shard_count, text_size
 from ridestats.llm.packing import (
-    give_back, hashes, joined, pack_ints, pack_sorted, split_words, unpack_ints, unpack_sorted, unpack_strings,
+    give_back, joined, pack_ints, pack_sorted, split_words, unpack_ints, unpack_sorted, unpack_strings, word_hashes,
 )
 from ridestats.sources.scratch import delete_folder, stage
 
@@ -82,7 +82,7 @@ class _Block:
     def __init__(self, row, order: int):
         counts = unpack_ints(row["counts"]).astype(np.int64)
         codes = unpack_ints(row["codes"]).astype(np.int64)
-        words = hashes(unpack_strings(row["words"]))
+        words = word_hashes(unpack_strings(row["words"]))
         self.vocabulary = np.append(words, [START, END])
         self.lengths = counts + order  # start marks, words, end
         ends = np.cumsum(self.lengths)

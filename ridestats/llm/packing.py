@@ -24,6 +24,8 @@ _LOWER[0x41:0x5B] += 0x20
 _STOP, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
 _STOP[list(b".,")] = True
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_ONES = np.uint64(0xFFFF_FFFF_FFFF_FFFF)
+_LONG = 256  # bytes of words that are hashed one by one
 # Bytes after which a cut before a blank is safe for byte-pair patterns: not a blank of
 # any kind, nor the first byte of one outside ASCII.
 _SOLID = np.zeros(256, bool)
@@ -168,6 +170,33 @@ def hashes(words: pa.Array) -> np.ndarray:
     return np.fromiter((digest(w) for w in words.to_pylist()), np.uint64, len(words))
 
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hash of each word from its bytes, eight at a time for all words; unlike :func:`hashes`."""
+    words = words.cast(pa.large_binary())
+    if not len(words):
+        return np.empty(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    start, end = int(offsets[0]), int(offsets[-1])
+    body = np.zeros(end - start + 8, np.uint8)  # eight bytes can be read from every place
+    if end > start:
+        body[:-8] = np.frombuffer(words.buffers()[2], np.uint8)[start:end]
+    eight = np.ndarray(len(body) - 7, "<u8", body, strides=(1,))
+    at, left = offsets[:-1] - start, np.diff(offsets)
+    out = mix(left.astype(np.uint64) + np.uint64(0x57C5_9D2F))  # words that differ in zero bytes at the end
+    short = left <= _LONG
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = xxhash.xxh64_intdigest(body[at[i] : at[i] + left[i]])
+    todo = np.flatnonzero(short & (left > 0))
+    while len(todo):
+        rest = left[todo]
+        some = eight[at[todo]] & (_ONES >> (np.uint64(8) * (8 - np.minimum(rest, 8)).astype(np.uint64)))
+        out[todo] = joined(out[todo], some)
+        todo = todo[rest > 8]
+        at[todo] += 8
+        left[todo] -= 8
+    return out
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values, one to one."""
     values = values.astype(np.uint64, copy=True)

@@ -3,11 +3,13 @@ from __future__ import annotations
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from brute_lm import scores
-from ridestats.llm import blocks, lm, queries
+from ridestats.llm import blocks, lm, packing, queries
 
 
 @pytest.fixture(autouse=True)
@@ -50,3 +52,22 @@ def test_registered_query_scores_trigrams(spark, tmp_path):
     train = [t for i, t in rows if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2]
     want, smaller = (sorted(round(s[0], 6) for s in scores(train, [t for _, t in rows], order)) for order in (3, 2))
     assert got == want != smaller
+
+
+def test_words_are_hashed_together_by_their_bytes_alone(monkeypatch):
+    rnd = random.Random(5)
+    words = sorted({bytes(rnd.choice(b"ab\x00\xc3\xa9") for _ in range(n % 300)) for n in range(3000)} | {b"", b"a", b"a\x00", b"\x00" * 8, b"\x00" * 9, b"x" * 5000})
+    array = pa.array(words, pa.large_binary())
+    found = packing.word_hashes(array).tolist()
+    assert len(set(found)) == len(words)
+    assert packing.word_hashes(array[7:]).tolist() == found[7:] and packing.word_hashes(array[:0]).tolist() == []
+    assert [int(packing.word_hashes(pa.array([w], pa.large_binary()))[0]) for w in words[::50]] == found[::50]
+
+    def one_by_one(word):
+        raise AssertionError("words are hashed one by one")
+
+    monkeypatch.setattr(packing.xxhash, "xxh64_intdigest", one_by_one)
+    few = [w for w in words if len(w) < 200]
+    row = {"counts": packing.pack_ints(np.array([len(few)], np.uint32)), "codes": packing.pack_ints(np.arange(len(few), dtype=np.uint32)),
+           "words": packing.pack_strings(pa.array(few, pa.large_binary())), "flags": packing.pack_ints(np.ones(1, np.uint8))}
+    assert len(np.unique(lm._Block(row, 3).vocabulary)) == len(few) + 2
