@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..sources.scratch import stage
+from ..sources.scratch import small_tasks, stage
 from .explore import Filters, filtered
 from .marts import table_exists
 
@@ -57,13 +57,14 @@ def sorted_copy(
     rows, index = f"{path}/rows", f"{path}/index"
     schema = mart.select(*order).withColumn(_PLACE, F.lit(0).cast("long")).withColumn(_PART, F.lit(0)).schema
     if refresh or not table_exists(spark, index, "part int, n bigint"):
-        source = stage(mart.select(*order).withColumn(_PLACE, F.monotonically_increasing_id()), "copy-source")  # splits ties
-        files = max(1, -(-source.count() // file_rows))
-        by = [F.asc_nulls_last(c) for c in order]
-        ranged = source.repartitionByRange(files, *by, F.col(_PLACE)).sortWithinPartitions(*by, F.col(_PLACE))
-        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
-        placed = ranged.select(*order, place.alias(_PLACE), F.spark_partition_id().alias(_PART))
-        placed.write.mode("overwrite").partitionBy(_PART).parquet(rows)
+        with small_tasks(spark):
+            source = stage(mart.select(*order).withColumn(_PLACE, F.monotonically_increasing_id()), "copy-source")  # splits ties
+            files = max(1, -(-source.count() // file_rows))
+            by = [F.asc_nulls_last(c) for c in order]
+            ranged = source.repartitionByRange(files, *by, F.col(_PLACE)).sortWithinPartitions(*by, F.col(_PLACE))
+            place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+            placed = ranged.select(*order, place.alias(_PLACE), F.spark_partition_id().alias(_PART))
+            placed.write.mode("overwrite").partitionBy(_PART).parquet(rows)
         written = spark.read.schema(schema).parquet(rows)
         counts = written.groupBy(F.col(_PART).alias("part")).agg(F.count(F.lit(1)).alias("n"))
         counts.coalesce(1).write.mode("overwrite").parquet(index)
@@ -110,7 +111,8 @@ def walk(copy: SortedCopy, filters: Filters = Filters(), limit: int = 10) -> Dat
 
     The files are read once; what is left of each of them is numbered file by file.
     """
-    kept = stage(filtered(copy.rows, filters), "walk", _PART)
+    with small_tasks(copy.rows.sparkSession):
+        kept = stage(filtered(copy.rows, filters), "walk", _PART)
     sizes = kept.groupBy(_PART).agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     offsets = sizes.select(_PART, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

@@ -5,6 +5,7 @@ import pytest
 
 from ridestats.plans import browse, explore
 from ridestats.plans.explore import Filters
+from ridestats.sources import scratch, stage
 from test_explore import COLUMNS
 
 
@@ -85,3 +86,20 @@ def test_the_copy_is_kept_until_refreshed_and_may_be_empty(spark, folder):
     empty = browse.sorted_copy(mart.limit(0), f"{folder}/empty", ("hour",))
     assert empty.total == 0 and browse.page_after(empty).rows.count() == 0 and browse.walk(empty).count() == 0
     assert browse.page_after(empty).next is None and math.ceil(empty.total / 10) == 0
+
+
+def test_copy_and_walk_run_in_tasks_of_bounded_size(spark, folder, monkeypatch):
+    """The sort of the copy and the writers of a walk see small pieces of the files, whatever a session has set."""
+    seen = []
+
+    def staged(df, label, *parts):
+        seen.append((label, spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")))
+        return stage(df, label, *parts)
+
+    monkeypatch.setattr(browse, "stage", staged)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    copy = browse.sorted_copy(mart_of(spark), f"{folder}/bounded", ("hour",), file_rows=60)
+    assert browse.walk(copy, limit=50).count() == 420
+    size = str(scratch.TASK_BYTES)
+    assert seen == [("copy-source", size, size), ("walk", size, size)] and scratch.TASK_BYTES <= 16 << 20
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
