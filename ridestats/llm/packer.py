@@ -12,6 +12,9 @@ The pieces themselves stay distributed: each gets a running number among those o
 length (counts per task, summed up), and the number says which sequence of which pattern
 it goes to and where. No task sees more than its own rows and the plan, which has at most
 a few entries per length.
+
+Making and numbering pieces are jobs of their own: as one, each task would hold two Python
+workers, and all of them would come to hold a tokenizer, as Spark deals out idle workers in turn.
 """
 
 from __future__ import annotations
@@ -31,11 +34,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ridestats.llm.blocks import slices
 from ridestats.llm.packing import coded, give_back, spans, split_words, text_bytes
-from ridestats.sources.scratch import stage
+from ridestats.sources.scratch import small_batches, stage, unstage
 
 PART_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20  # that a worker is sent at a time
 END_ID = 0
 MET_WORDS = 250_000  # words whose ids a worker keeps
+ENCODE_WORDS = 8_192  # words that the library encodes at a time; what it returns of one takes over a kilobyte
 
 
 @lru_cache(maxsize=1)
@@ -64,8 +69,10 @@ def _encoded(words: list[bytes], content: bytes) -> list[bytes]:
     tokenizer, met, _ = _tokenizer(content)
     ids = list(map(met.get, words))
     new = [i for i, found in enumerate(ids) if found is None]
-    for i, encoded in zip(new, tokenizer.encode_batch_fast([words[i].decode() for i in new], add_special_tokens=False)):
-        ids[i] = array("I", encoded.ids).tobytes()
+    for at in range(0, len(new), ENCODE_WORDS):
+        some = new[at : at + ENCODE_WORDS]
+        for i, encoded in zip(some, tokenizer.encode_batch_fast([words[i].decode() for i in some], add_special_tokens=False)):
+            ids[i] = array("I", encoded.ids).tobytes()
     for i in new[: max(0, MET_WORDS - len(met))]:
         met[words[i]] = ids[i]
     return ids
@@ -85,10 +92,13 @@ def _ids(texts: pa.Array, content: bytes) -> tuple[np.ndarray, np.ndarray]:
     added = _tokenizer(content)[2]
     as_is = ((data == 0xCC) | (data == 0xCD)).any() or added is not None and added(data.tobytes())
     words, counts = split_words(data, ends, lower=not as_is, stops=True)
+    del data
     codes, distinct = coded(words)
+    del words
     encoded = _encoded(distinct.to_pylist(), content)
     per_word = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
     flat = np.frombuffer(b"".join(encoded), np.uint32)
+    del encoded, distinct
     starts = np.cumsum(per_word) - per_word
     sizes = per_word[codes]
     ends = np.cumsum(counts)
@@ -159,7 +169,10 @@ def pack(items: DataFrame, size: int = 2048, length_col: str = "length") -> Data
                 [*batch.columns, pa.array(np.full(len(lengths), own)), pa.array(ranks)], names=[*columns, task, rank])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
-    numbered = stage(items.mapInArrow(number, f"{fields}, `{task}` long, `{rank}` long"), "numbered-pieces")
+    with small_batches(items.sparkSession, BATCH_BYTES):
+        made = stage(items, "pieces")
+        numbered = stage(made.mapInArrow(number, f"{fields}, `{task}` long, `{rank}` long"), "numbered-pieces")
+    unstage(made)
     length = F.col(length_col).cast("long")
     counts = stage(numbered.groupBy(length.alias("n"), F.col(task).alias("t")).agg(F.count("*").alias("c")), "piece-counts")
     histogram = np.zeros(size + 1, np.int64)

@@ -151,3 +151,43 @@ def test_local_search_of_mid_sized_lengths_goes_on_until_nothing_grows(low, high
         under = [(p, t) for p, t in plan.items() if sum(k * c for k, c in p) < size]
         left = [(p, q) for p, t in under for q, u in under if (p != q or t > 1) and grows(p, q, size)]
         assert not left
+
+
+def test_tasks_hold_one_python_worker_and_small_batches(spark, monkeypatch):
+    plans = []
+
+    def stage(df, *rest, **more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return whole(df, *rest, **more)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"length": [1], "rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    whole = packer.stage
+    monkeypatch.setattr(packer, "stage", stage)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    items = spark.range(300, numPartitions=1).selectExpr("repeat(cast(id as string), 50000) as text").mapInArrow(sizes, "length long, rows long, bytes long")
+    placed = packer.pack(items, 64)
+    plans.append(placed._jdf.queryExecution().executedPlan().toString())
+    assert max(plan.count("MapInArrow") for plan in plans) == 1
+    rows = placed.collect()
+    assert sum(r.rows for r in rows) == 300 and max(r.bytes for r in rows) < 5 << 20
+    checked([(r.length, r.sequence_id, r.offset) for r in rows], 64)
+    assert spark.conf.get(limit) == before
+
+
+def test_library_is_given_a_bounded_number_of_words(monkeypatch):
+    given_words = []
+
+    class Counting:
+        def encode_batch_fast(self, words, **options):
+            given_words.append(len(words))
+            return LIBRARY.encode_batch_fast(words, **options)
+
+    monkeypatch.setattr(packer, "_tokenizer", lambda content: (Counting(), {}, None))
+    text = " ".join(f"w{i}" for i in range(30_000)) + " W7 w29999"
+    ids, lengths = packer._ids(pa.array([text, "w1"]), FILE)
+    assert ids.tolist() == [i for t in (text, "w1") for i in (*LIBRARY.encode(t, add_special_tokens=False).ids, 0)]
+    assert sum(given_words) == 30_000 and max(given_words) < 10_000 and lengths[1] == len(ids) - lengths[0]
