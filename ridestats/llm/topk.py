@@ -5,13 +5,16 @@ eigenvectors of their second moments (an SVD of the whole table, from sums that
 up) moves most of a vector's length into its first coordinates. Candidates are
 range-partitioned by descending length and cut into blocks of bounded size.
 
-The first round shows every query the blocks of the longest candidates; the last of its k
-best so far is what any later candidate must reach. The second round shows a block of
-queries the blocks whose longest vector can reach that for one of the queries. Inside a
-block, candidates come by descending length: queries for which they are too short
-(Cauchy-Schwarz on whole vectors) drop out, and for the others the inner product of the
-first coordinates plus the product of the residual lengths must reach the bound, once for
-few and once for more coordinates. What is left is multiplied exactly in whole numbers.
+The first round shows every query the blocks of the longest candidates, as many as the square
+root of their number; the last of its k best so far is what any later candidate must reach.
+The second round shows a block of queries the blocks whose longest vector can reach that for
+one of the queries. In both a task holds a few blocks of candidates, bounded in bytes, and
+block after block of queries passes by them: no pair of blocks is written, shuffled or
+broadcast, and of what a task finds it hands on the k best of each query. Inside a block,
+candidates come by descending length: queries for which they are too short (Cauchy-Schwarz on
+whole vectors) drop out, and for the others the inner product of the first coordinates plus the
+product of the residual lengths must reach the bound, once for few and once for more
+coordinates. What is left is multiplied exactly in whole numbers.
 
 Pruning works in doubles with a margin far above their rounding errors and drops only what
 lies below the bound, so no candidate and no tie is lost. Ties go to the smaller id.
@@ -26,6 +29,7 @@ named columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +37,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ridestats.llm.packing import give_back
-from ridestats.sources.scratch import stage
+from ridestats.sources.scratch import single_files, small_batches, small_files, stage
 
-BLOCK_BYTES = 2 << 20  # of whole numbers in a block of queries or candidates
-FIRST_BLOCKS = 2  # blocks of the longest candidates that every query meets in the first round
-RANGES = 1024  # most ranges of lengths; the driver knows the longest vector of each
+BLOCK_BYTES = 2 << 20  # of whole numbers in a block of candidates; one of queries has a quarter
+FIRST_BLOCKS = 2  # blocks of the longest candidates that every query meets in the first round, at least
+RANGES = 1024  # most ranges of lengths
+FILE_BLOCKS = 8  # blocks in a file; a task holds the candidates of one file
+TASKS = 4096  # of a round, unless there are more files of candidates
 CHUNK = 256  # candidates looked at together
+DENSE = 64  # where more than one in so many products is left, a matrix product makes them all
 MARGIN = 1e-9  # of the product of lengths
 ENERGY = (0.5, 0.8)  # shares of the squared lengths in the first and second partial sums
 _DOUBLES, _LONGS, _WHOLE = 2.0**52, 2.0**62, 2.0**53
@@ -67,65 +74,65 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: int =
     """
     if k < 1:
         raise ValueError("k >= 1 is needed")
+    spark = vectors.sparkSession
     whole = stage(whole_vectors(vectors, scale, id_col, vector_col), "whole-vectors")
     size, n, longest = whole.agg(F.max(F.size("v")), F.count(F.lit(1)), F.max("length")).first()
     size = max(size or 0, 1)
-    if (longest or 0.0) * (whole.filter(is_query).agg(F.max("length")).first()[0] or 0.0) >= _LONGS:
+    n_queries, longest_query = whole.filter(is_query).agg(F.count(F.lit(1)), F.max("length")).first()
+    if (longest or 0.0) * (longest_query or 0.0) >= _LONGS:
         raise ValueError("inner products may pass 2**62")
     rows = max(16, BLOCK_BYTES // (8 * size))
-    ranges = int(min(RANGES, max(1, -(-n // (4 * rows)))))
-    candidates = stage(_blocks(whole, rows, ranges, size), "candidate-blocks")
-    queries = stage(_blocks(whole.filter(is_query), rows, ranges, size), "query-blocks")
+    candidates = _blocks(whole, n, rows, size, "candidate-blocks")
+    queries = _blocks(whole.filter(is_query), n_queries, max(16, rows // 4), size, "query-blocks")
     search = _searcher(_rotation(whole, size), size, k)
-
-    # What the driver knows of the candidates: a number and a length for each range.
-    known = candidates.groupBy(F.shiftright("block", 32).alias("range")).agg(
-        F.max("longest").alias("longest"), F.count(F.lit(1)).cast("long").alias("blocks")).orderBy("range").collect()
-    table = F.array(*[F.struct(F.lit(r.range).cast("long").alias("range"), F.lit(r.longest).alias("longest"), F.lit(r.blocks).alias("blocks"))
-                      for r in known]) if known else F.array().cast("array<struct<range:long,longest:double,blocks:long>>")
-
-    def meet(asked: DataFrame, first: bool) -> DataFrame:
-        """Blocks of queries with the blocks of candidates that they need to see."""
-        near = F.filter(table, lambda r: r["longest"] >= F.col("need"))
-        each = asked.withColumn("r", F.explode(near)).withColumn(
-            "place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("r")["blocks"] - 1))).withColumn(
-            "block", F.shiftleft(F.col("r")["range"], 32) + F.col("place"))
-        front = F.col("block").isin(_first(known))
-        met = each.filter(front if first else ~front).drop("r", "place", "lengths").join(candidates, "block").filter("longest >= need")
-        return met.select("query_block", "query_ids", "query_vs", "bounds", "ids", "vs").mapInArrow(
+    blocks = candidates.count()
+    # Block numbers follow the order of lengths: the first ones hold the longest.
+    last = candidates.select("block").orderBy("block").limit(max(FIRST_BLOCKS, isqrt(blocks))).agg(F.max("block")).first()[0]
+    front = F.col("block") <= (-1 if last is None else last)
+
+    def meet(asked: DataFrame, some: DataFrame, label: str) -> DataFrame:
+        """The k best of each query in some blocks of candidates; those of a file are held by a task, queries pass by.
+
+        Sizes that Spark could go by say nothing of a product: the hint keeps it from sending either side to all tasks.
+        """
+        passing = asked.coalesce(max(1, TASKS // -(-max(blocks, 1) // FILE_BLOCKS)))
+        met = passing.hint("shuffle_replicate_nl").join(some.select("longest", "ids", "vs"), F.col("longest") >= F.col("need"))
+        found = met.select("query_block", "query_ids", "query_vs", "bounds", "ids", "vs").mapInArrow(
             search, "query_block long, query int, query_id long, vec_id long, score long")
+        with single_files(spark), small_batches(spark, 4 * BLOCK_BYTES):
+            return stage(best(found), label)
 
     def best(found: DataFrame) -> DataFrame:
-        """The k best of each query; what a block found is k rows a query at most."""
+        """The k best of each query; what a task found is k rows a query at most."""
         top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id"))), 1, k)
         return found.groupBy("query_block", "query", "query_id").agg(top.alias("top"))
 
     own = queries.select(F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("vs").alias("query_vs"), "lengths")
     none = F.lit(None).cast("array<bigint>")
-    top = stage(best(meet(own.withColumn("bounds", none).withColumn("need", F.lit(0.0)), True)), "first-products")
+    with small_files(spark, FILE_BLOCKS):
+        longest_ones = stage(candidates.filter(front), "front-blocks")
+    top = meet(own.withColumn("bounds", none).withColumn("need", F.lit(0.0)), longest_ones, "first-products")
     # By block the bounds of its queries, in their order, and the shortest candidate that matters.
     held = top.groupBy("query_block").agg(F.map_from_entries(F.collect_list(F.struct(
         "query", F.when(F.size("top") == k, -F.element_at("top", -1)["down"]).alias("bound")))).alias("held"))
     bounds = F.transform(F.sequence(F.lit(0), F.size("query_ids") - 1), lambda i: F.try_element_at("held", i))
     reach = F.zip_with("bounds", "lengths", lambda b, q: F.when((b > 0) & (q > 0), b / q * (1 - MARGIN)).otherwise(0.0))
-    asked = own.join(held, "query_block", "left").withColumn("bounds", bounds).withColumn("need", F.array_min(reach)).drop("held")
-    later = meet(asked, False).select("query_block", "query", "query_id", "score", "vec_id")
-    before = top.select("query_block", "query", "query_id", F.explode("top").alias("t")).select(
+    bounded = own.join(held, "query_block", "left").withColumn("bounds", bounds).withColumn("need", F.array_min(reach)).drop("held", "lengths")
+    with small_files(spark, FILE_BLOCKS):
+        asked = stage(bounded, "asked-blocks")
+    least = asked.agg(F.coalesce(F.min("need"), F.lit(0.0))).first()[0]
+    later = meet(asked, candidates.filter(~front & (F.col("longest") >= least)), "later-products")
+    each = top.unionByName(later).select("query_block", "query", "query_id", F.explode("top").alias("t")).select(
         "query_block", "query", "query_id", (-F.col("t")["down"]).alias("score"), F.col("t")["vec_id"].alias("vec_id"))
-    final = best(before.unionByName(later)).select("query_id", F.posexplode("top").alias("place", "t"))
+    final = best(each).select("query_id", F.posexplode("top").alias("place", "t"))
     return final.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("t")["vec_id"].alias("vec_id"),
                         (-F.col("t")["down"]).alias("score"))
 
 
-def _first(known: list) -> list[int]:
-    """The blocks of the first round: the longest candidates."""
-    return [r.range << 32 | b for r in known for b in range(r.blocks)][:FIRST_BLOCKS] if known else [-1]
-
+def _blocks(whole: DataFrame, n: int, rows: int, size: int, label: str) -> DataFrame:
+    """(block, longest, ids, lengths, vs): the ``n`` vectors by descending length, their components one after the other.
 
-def _blocks(whole: DataFrame, rows: int, ranges: int, size: int) -> DataFrame:
-    """(block, longest, ids, lengths, vs): vectors by descending length, their components one after the other.
-
-    Block numbers hold the range of lengths in their upper half.
+    Block numbers hold the range of lengths in their upper half. They are written, a few to a file.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,8 +163,11 @@ def _blocks(whole: DataFrame, rows: int, ranges: int, size: int) -> DataFrame:
              pa.ListArray.from_arrays(ends, lengths), pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))], names=names)
 
     names = ["block", "longest", "ids", "lengths", "vs"]
+    ranges = int(min(RANGES, max(1, -(-n // (4 * rows)))))
     ordered = whole.repartitionByRange(ranges, F.desc("length"), "id").sortWithinPartitions(F.desc("length"), "id")
-    return ordered.mapInArrow(cut, "block long, longest double, ids array<long>, lengths array<double>, vs array<long>")
+    made = ordered.mapInArrow(cut, "block long, longest double, ids array<long>, lengths array<double>, vs array<long>")
+    with small_files(whole.sparkSession, FILE_BLOCKS):
+        return stage(made, label)
 
 
 def _rotation(whole: DataFrame, size: int) -> np.ndarray:
@@ -185,36 +195,50 @@ def _rotation(whole: DataFrame, size: int) -> np.ndarray:
 
 
 def _searcher(rotation: np.ndarray, size: int, k: int):
+    """Search pairs of blocks; the k best of a block of queries are kept while pairs with it follow each other."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, q_ids, best = None, None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i] for name in batch.schema.names}
+                if row["query_block"].as_py() != block:
+                    if best is not None:
+                        yield told(block, q_ids, best)
+                    block, best = row["query_block"].as_py(), None
+                    q_ids, known = np.array(row["query_ids"].values), row["bounds"].values
+                    bounds = np.full(len(q_ids), -np.inf) if known is None else np.array(
+                        [-np.inf if b is None else b for b in known.to_pylist()], np.float64)
                 q, c = (np.asarray(row[x].values).reshape(-1, size) for x in ("query_vs", "vs"))
-                q_ids, c_ids = np.asarray(row["query_ids"].values), np.asarray(row["ids"].values)
-                told = row["bounds"].values
-                bounds = np.full(len(q), -np.inf) if told is None else np.array([-np.inf if b is None else b for b in told.to_pylist()], np.float64)
-                who, ids, scores = best_of_block(q, q_ids, c, c_ids, bounds, rotation, k)
+                best = best_of_block(q, q_ids, c, np.asarray(row["ids"].values), bounds, rotation, k, best)
                 give_back()
-                yield pa.RecordBatch.from_pydict(
-                    {"query_block": pa.array(np.full(len(who), row["query_block"].as_py()), pa.int64()), "query": pa.array(who, pa.int32()),
-                     "query_id": pa.array(q_ids[who], pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.int64())})
+        if best is not None:
+            yield told(block, q_ids, best)
+
+    def told(block: int, q_ids: np.ndarray, best: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        who, ids, scores = best
+        return pa.RecordBatch.from_pydict(
+            {"query_block": pa.array(np.full(len(who), block), pa.int64()), "query": pa.array(who, pa.int32()),
+             "query_id": pa.array(q_ids[who], pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.int64())})
 
     return search
 
 
 def best_of_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, bounds: np.ndarray, rotation: np.ndarray,
-                  k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                  k: int, before: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, id, score) of the k best candidates of each query that reach its bound.
 
     Candidates come by descending length. ``bounds``: scores that matter are not below.
+    ``before``: what other blocks have left of the same queries; the best of all are returned.
     """
     turned = [np.asarray(v, np.float64) @ rotation for v in (q, c)]
     tails = [np.sqrt(np.cumsum((t**2)[:, ::-1], axis=1)[:, ::-1]) for t in turned]  # lengths from a coordinate on
     energy = np.cumsum((turned[1] ** 2).sum(axis=0))
     cuts = sorted({int(np.searchsorted(energy, e * energy[-1])) + 1 for e in ENERGY} - {q.shape[1]}) if energy[-1] else []
     rest = [[np.append(t, np.zeros((len(t), 1)), axis=1)[:, h] for h in (0, *cuts)] for t in tails]
-    best_who, best_ids, best_scores = (np.empty(0, np.int64) for _ in range(3))
-    bounds = bounds.copy()
+    best_who, best_ids, best_scores = before or (np.empty(0, np.int64) for _ in range(3))
+    bounds, edges = bounds.copy(), np.full(len(bounds), np.iinfo(np.int64).max)  # at the bound, a smaller id than the edge matters
+    _raise(bounds, edges, best_who, best_ids, best_scores, k)
     q_long, c_long = rest[0][0], rest[1][0]
     for at in range(0, len(c), CHUNK):
         part = slice(at, min(at + CHUNK, len(c)))
@@ -232,23 +256,52 @@ def best_of_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.nda
         if alive is None:
             alive = np.ones((len(active), part.stop - at), bool)
         alive &= q_ids[active, None] != c_ids[None, part]
-        i, j = np.nonzero(alive)
-        if not len(i):
+        left = np.count_nonzero(alive)
+        if not left:
             continue
-        i, j = active[i], j + at
         kind = np.float64 if q_long.max() * c_long[at] < _DOUBLES else np.int64  # either is exact
-        scores = _products(q, c, i, j, kind)
-        reach = scores >= bounds[i]
+        if left * DENSE > alive.size:
+            i, j, scores = _dense(q[active].astype(kind), c[part].astype(kind), c_ids[part], alive, bounds[active], k)
+            i, j = active[i], j + at
+        else:
+            i, j = np.nonzero(alive)
+            i, j = active[i], j + at
+            scores = _products(q, c, i, j, kind)
+        reach = (scores > bounds[i]) | (scores == bounds[i]) & (c_ids[j] < edges[i])
+        if not reach.any():
+            continue
         who, ids, scores = (np.concatenate([a, b[reach]]) for a, b in zip((best_who, best_ids, best_scores), (i, c_ids[j], scores)))
         order = np.lexsort((ids, -scores, who))
         who, ids, scores = who[order], ids[order], scores[order]
         place = np.arange(len(who)) - np.searchsorted(who, who)
         best_who, best_ids, best_scores = (x[place < k] for x in (who, ids, scores))
-        last = place[place < k] == k - 1
-        bounds[best_who[last]] = np.maximum(bounds[best_who[last]], best_scores[last])
+        _raise(bounds, edges, best_who, best_ids, best_scores, k)
     return best_who, best_ids, best_scores
 
 
+def _raise(bounds: np.ndarray, edges: np.ndarray, who: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> None:
+    """Nothing behind the last of a query's k best, by score and id, matters any more; ``who`` ascends."""
+    last = np.arange(len(who)) - np.searchsorted(who, who) == k - 1
+    who, ids, scores = who[last], ids[last], scores[last]
+    higher = scores >= bounds[who]
+    bounds[who[higher]], edges[who[higher]] = scores[higher], ids[higher]
+
+
+def _dense(q: np.ndarray, c: np.ndarray, c_ids: np.ndarray, alive: np.ndarray, bounds: np.ndarray,
+           k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of c, score) of the k best of each row among those alive, from one matrix product; rows below their bound are left out."""
+    by_id = np.argsort(c_ids, kind="stable")
+    down = -(q @ c[by_id].T)
+    alive = alive[:, by_id]
+    down[~alive] = np.inf if down.dtype == np.float64 else np.iinfo(np.int64).max
+    rows = np.flatnonzero(alive.any(axis=1) & (down.min(axis=1) <= -bounds))
+    j = np.argsort(down[rows], axis=1, kind="stable")[:, :k]  # of equal scores the smaller ids
+    i = np.broadcast_to(rows[:, None], j.shape)
+    taken = alive[i, j]
+    i, j = i[taken], j[taken]
+    return i, by_id[j], (-down[i, j]).astype(np.int64)
+
+
 def _products(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray, kind: type) -> np.ndarray:
     """Inner products of the rows i of q and j of c, a bounded number at a time."""
     out, step = np.empty(len(i), np.int64), max(1, (1 << 20) // q.shape[1])

@@ -66,6 +66,25 @@ def test_a_block_by_itself(k, n, seed, scale):
     assert sorted(zip(*(x.tolist() for x in found))) == sorted(want)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.integers(1, 4), st.integers(1, 40), st.integers(0, 10**6), st.sampled_from([1, 2**28]), st.sampled_from([1, 10**9]), st.integers(1, 9))
+def test_ties_across_blocks(k, n, seed, scale, dense, cut):
+    rng = np.random.default_rng(seed)
+    v = rng.integers(-1, 2, (n, 3)) * scale  # many equal vectors
+    c = v[np.argsort(-np.sqrt((v.astype(float) ** 2).sum(axis=1)), kind="stable")]
+    ids, best = rng.integers(0, 2 * n, n), None
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(topk, "DENSE", dense)
+        patch.setattr(topk, "CHUNK", 4)
+        for at in range(0, n, cut):
+            best = topk.best_of_block(v, np.arange(n), c[at : at + cut], ids[at : at + cut], np.full(n, -np.inf), np.eye(3), k, best)
+    want = []
+    for i, x in enumerate(v.tolist()):
+        some = sorted((-sum(a * b for a, b in zip(x, y)), j) for j, y in zip(ids.tolist(), c.tolist()) if j != i)[:k]
+        want += [(i, j, -s) for s, j in some]
+    assert sorted(zip(*(x.tolist() for x in best))) == sorted(want)
+
+
 def test_few_rows_no_rows_and_products_that_are_too_large(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert got(topk.top_products(none, F.lit(True))) == []
@@ -89,6 +108,25 @@ def test_bounds_keep_most_candidates_from_being_multiplied(monkeypatch):
     assert sum(seen) < 0.2 * 100 * 4000
 
 
+def test_pairs_of_blocks_are_neither_broadcast_nor_shuffled(spark, monkeypatch):
+    plans, staged = [], topk.stage
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def seen(df, label, *parts):
+        plans.append(plan(df))
+        return staged(df, label, *parts)
+
+    monkeypatch.setattr(topk, "stage", seen)
+    rows = vectors(60, 4)
+    final = topk.top_products(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA), F.col("id") % 5 == 0)
+    plans.append(plan(final))
+    met = [p for p in plans if "query_vs" in p and "MapInArrow" in p]
+    assert len(met) == 2 and all("CartesianProduct" in p and "Broadcast" not in p and "SortMergeJoin" not in p for p in met)
+    assert got(final) == brute(rows, lambda i: i % 5 == 0, 5)
+
+
 def test_registered_query_agrees_with_its_sql(spark, tmp_path):
     rows = [(i, v) for i, v in vectors(220, 4) if i is not None and i != 1035 and i != 1030]
     spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
