@@ -15,6 +15,9 @@ once: runs of a symbol lose their first, and grow at their front.
 Entries that no reduced word has are left out early by a bit table of fixed size
 (``BITS``). A table that is full lets everything through: then the join alone decides.
 
+Joins are merged, by hint: Spark goes by the size of files or of what a step reads, and would send
+all neighbourhoods to the driver and every task where the vocabulary's file is small.
+
 Forms point to words at least twice as frequent, so chains of forms have at most the
 logarithm of the largest count as length and are followed by pointer doubling.
 
@@ -70,17 +73,17 @@ def variant_groups(words: DataFrame, least: int = 3, factor: int = 2, symbols: i
     reduced = stage(vocabulary.select("word", "at").mapInArrow(_reduced(symbols), "at long, key long"), "reduced-words")
     table = bit_table(reduced, "key", BITS)
     asked = vocabulary.select("word", "at").mapInArrow(_neighbours(symbols, table), "at long, key long")
-    met = asked.join(reduced.select("key", F.col("at").alias("near_at")), "key").filter("at <> near_at")
+    met = asked.join(reduced.select("key", F.col("at").alias("near_at")).hint("merge"), "key").filter("at <> near_at")
     own = vocabulary.select("at", "word")
     other = vocabulary.select(F.col("at").alias("near_at"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    pairs = met.select("at", "near_at").join(own, "at").join(other, "near_at").filter(F.levenshtein("word", "near", 1) == 1)
+    pairs = met.select("at", "near_at").join(own.hint("merge"), "at").join(other.hint("merge"), "near_at").filter(F.levenshtein("word", "near", 1) == 1)
     near = pairs.groupBy("at").agg(F.count_distinct("near_at").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("down"), "near")).alias("best"))
-    judged = vocabulary.join(near, "at", "left").select(
+    judged = vocabulary.join(near.hint("merge"), "at", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), (-F.col("best")["down"]).alias("best_n"), F.col("best")["near"].alias("best"))
     holds = F.col("best_n") >= factor * F.col("n")
     forms = stage(judged.select("word", "n", "n_near", F.when(holds, F.col("best")).alias("form"), F.when(holds, F.col("best_n")).alias("form_n")), "forms")
     roots = _roots(forms.filter("form is not null").select("word", F.col("form").alias("root")), forms, factor)
-    return forms.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return forms.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def _roots(links: DataFrame, forms: DataFrame, factor: int) -> DataFrame:
@@ -89,7 +92,7 @@ def _roots(links: DataFrame, forms: DataFrame, factor: int) -> DataFrame:
     longest, seen = largest.bit_length(), 1  # a form doubles the count at least
     while seen < longest:
         ahead = links.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        links = stage(links.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root")), "roots")
+        links = stage(links.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root")), "roots")
         seen *= 2
     return links
 

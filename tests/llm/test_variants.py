@@ -91,6 +91,24 @@ def test_chains_ties_and_empty_tables(spark):
     assert got(variants.spelling_variants(spark.createDataFrame([], "doc_id int, text string"))) == []
 
 
+def test_no_join_sends_a_side_to_all_tasks(spark, monkeypatch):
+    plans, staged = [], variants.stage
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def seen(df, label, *parts):
+        plans.append(plan(df))
+        return staged(df, label, *parts)
+
+    monkeypatch.setattr(variants, "stage", seen)
+    counts = {"aaaaa": 100, "aaaab": 50, "aaabb": 25}
+    final = variants.variant_groups(spark.createDataFrame([(w,) for w, n in counts.items() for _ in range(n)], "word string"))
+    plans.append(plan(final))
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
+    assert got(final) == brute(counts)
+
+
 @pytest.mark.parametrize("bits", [0, 20])
 def test_a_full_bit_table_loses_nothing(spark, monkeypatch, bits):
     rows = corpus()[:60]
